@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import chat, sharding
-from quarry.llm.shared import table
+from quarry.llm import chat, fingerprints, near_dedup, packing, sharding
+from quarry.llm.shared import staged, table
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -77,3 +77,40 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op10_sharding"] = op10_sharding
+
+
+def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents by 64-bit SimHash of 3-word shingles, linked at 3 or fewer differing bits."""
+    out = near_dedup.near_duplicates(table(spark, sf_dir, "documents"), size=3, bits=64, radius=3)
+    return out.select("doc_id", near_dedup.hex_of(["w0"]).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+QUERIES["op3_simhash_near_dedup"] = op3_simhash_near_dedup
+
+
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents and their edited texts by 128-bit SimHash; every fiftieth document searches all others within 3 bits."""
+    out = staged(fingerprints.edit_robustness(table(spark, sf_dir, "documents").select("doc_id", "text")), "compared")
+    prints = out.groupBy("f0", "f1").agg(F.count("*").alias("__n"))
+    hits = fingerprints.search(out.filter("doc_id % 50 = 0"), prints, radius=3)
+    # itself and its copies count, as they lie within any radius
+    near = hits.join(prints, ["f0", "f1"]).groupBy(F.col("q0").alias("f0"), F.col("q1").alias("f1")).agg(F.sum("__n").alias("__near"))
+    both = out.join(staged(near, "near"), ["f0", "f1"], "left")
+    return both.select(
+        "doc_id", "n_chars", "edited_sha256", near_dedup.hex_of(["f0", "f1"]).alias("fingerprint"), near_dedup.hex_of(["e0", "e1"]).alias("edited_fingerprint"),
+        "near_edited", "near_next", F.when(F.col("doc_id") % 50 == 0, F.col("__near")).alias("found_within_3"),
+    )
+
+
+QUERIES["op5_fingerprints"] = op5_fingerprints
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, tokenised and packed into sequences of 4096 tokens."""
+    import public_tokenizers
+
+    out = packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+QUERIES["op8_packing"] = op8_packing
