@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import chat, fingerprints, near_dedup, packing, sharding
+from quarry.llm import chat, decontamination, fingerprints, line_dedup, near_dedup, packing, sharding
 from quarry.llm.shared import staged, table
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -114,3 +114,26 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op8_packing"] = op8_packing
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with the benchmark items that each holds."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontamination.leaks(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+    item = F.struct("item_id", "coverage", "verbatim", "first_word", "last_word")
+    held = staged(found.groupBy("doc_id").agg(F.sort_array(F.collect_list(item)).alias("items")), "leaks")
+    return docs.select("doc_id").join(held, "doc_id", "left").select(
+        "doc_id", F.col("items").isNotNull().alias("contaminated"), F.coalesce(F.transform("items", lambda x: x["item_id"]), F.array().cast("array<bigint>")).alias("item_ids"), "items"
+    )
+
+
+QUERIES["op4_decontamination"] = op4_decontamination
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the runs of lines, of 50 words or more, that stand in an earlier place."""
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "text", F.aggregate("__removed", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["begin"] + 1).alias("n_removed"), F.col("__removed").alias("removed"))
+
+
+QUERIES["op6_line_dedup"] = op6_line_dedup
