@@ -11,6 +11,9 @@ are powers of two, which need no padding.
 from __future__ import annotations
 
 import os
+import re
+import struct
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -21,42 +24,69 @@ from pyspark.sql import functions as F
 LENGTH = 4096
 #: Open windows of one task before they are settled: 512 windows of 4096 four-byte ids are 8 MB.
 MAX_OPEN = 512
-MEMO = 300_000
+MEMO = 500_000
 
-_encoders: dict[str, ChunkEncoder] = {}
+_encoders: dict[str, WordEncoder] = {}
 
 
-class ChunkEncoder:
-    """Ids of whole texts, by blank-separated chunks that are encoded once and remembered.
+def _class(kind: str) -> str:
+    return "".join(re.escape(c) for c in map(chr, range(0x21, 0x180)) if unicodedata.category(c)[0] == kind)
 
-    It fits tokenizers that never join characters across a blank or line end and drop those, as word-end BPE does. A remembered
-    chunk has the ids that the tokenizer gave; the memory is emptied when MEMO chunks are in it.
+
+#: How the supported tokenizers cut lower-case text into words: runs of letters, contractions, single numerals, runs of other marks. Of
+#: the characters in _SIMPLE, which are composed already and which no version of Unicode classes differently; \u0307 comes from lowering.
+WORDS = re.compile(rf"[{_class('L')}]+|'(?:s|t|re|ve|m|ll|d)|[{_class('N')}]|[^\t\n\r \xa0{_class('L')}{_class('N')}]+")
+_SIMPLE = re.compile(r"[\t\n\r\x20-\x7e\xa0-\u017f]*")
+#: The character that stands for each byte in byte-level vocabularies: printable ones for themselves, others from U+0100 on.
+_PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_BYTES = {b: 0x100 + i for i, b in enumerate(x for x in range(256) if x not in _PRINTABLE)}
+
+
+class _Remembered(dict):
+    """Ids of words; a missing one is encoded by the tokenizer's model."""
+
+    def __init__(self, model):
+        super().__init__()
+        self.tokenize = model.tokenize
+
+    def __missing__(self, word: str) -> bytes:
+        ids = [t.id for t in self.tokenize(word.encode().decode("latin-1").translate(_BYTES))]
+        self[word] = out = struct.pack(f"<{len(ids)}I", *ids)
+        return out
+
+
+class WordEncoder:
+    """Ids of whole texts by a word-end byte-level BPE tokenizer file, each different word encoded once and remembered.
+
+    Common texts are cut into words here and each new word goes through the tokenizer's own model; a text with
+    other characters, or one that might hold an added token, goes through the whole tokenizer. The memory is emptied when MEMO words are in it.
     """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.memo = Tokenizer.from_file(path), {}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.memo = _Remembered(self.tokenizer.model)
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids as little-endian unsigned 32-bit integers."""
-        chunks = [t.replace("\n", " ").split(" ") for t in texts]
-        memo = self.memo
-        if len(memo) > MEMO:
-            memo.clear()
-        new = list({c for cs in chunks for c in cs if c not in memo})
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for c, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                memo[c] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join([memo[c] for c in cs]) for cs in chunks]
-
-
-def encoder(path: str) -> ChunkEncoder:
+        out = []
+        for text in texts:
+            if not _SIMPLE.fullmatch(text) or any(t in text for t in self.added):
+                out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
+                continue
+            if len(self.memo) > MEMO:
+                self.memo.clear()
+            out.append(b"".join(map(self.memo.__getitem__, WORDS.findall(text.lower()))))
+        return out
+
+
+def encoder(path: str) -> WordEncoder:
     """One for each worker process."""
     if path not in _encoders:
-        _encoders[path] = ChunkEncoder(path)
+        _encoders[path] = WordEncoder(path)
     return _encoders[path]
 
 

@@ -86,7 +86,7 @@ def test_placement_minimises_the_sum_of_squares():
 
 @settings(max_examples=200, deadline=None)
 @given(st.text(st.sampled_from("aZé \n\t\r\x0b\x1c\x85 ́ ßΣσ'sdlv1٣.,<|>endoftxarE😀你"), max_size=40))
-def test_remembered_chunks_have_the_tokenizers_ids(text):
+def test_remembered_words_have_the_tokenizers_ids(text):
     text = text.replace("E", "<|endoftext|>")
     got = packing.encoder(PATH).encode([text])[0]
     assert ids_of(got) == TOKENIZER.encode(text, add_special_tokens=False).ids
@@ -95,6 +95,12 @@ def test_remembered_chunks_have_the_tokenizers_ids(text):
 TOKENIZER = tokenizers.Tokenizer.from_file(PATH)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.characters(max_codepoint=0x24F), max_size=60))
+def test_simple_texts_have_the_tokenizers_ids(text):
+    assert ids_of(packing.encoder(PATH).encode([text])[0]) == TOKENIZER.encode(text, add_special_tokens=False).ids
+
+
 def test_odd_rows(odd_docs, no_docs):
     rows = packing.pack(odd_docs, PATH, 2).collect()
     assert sorted((r.doc_id or 0, r.doc_tokens) for r in rows if r.start == 0)[:5] == [(0, 4), (1, 8), (2, 8), (2, 8), (3, 1)]
