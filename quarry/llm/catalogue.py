@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import chat, decontamination, fingerprints, line_dedup, near_dedup, packing, sharding
+from quarry.llm import chat, decontamination, fingerprints, line_dedup, near_dedup, packing, quality, sharding, toxicity
 from quarry.llm.shared import staged, table
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -137,3 +137,29 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op6_line_dedup"] = op6_line_dedup
+
+
+def fold(key: str, parts: int):
+    return F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(parts))
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents scored by their nearest labelled examples; fold 0 of 5 is held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").filter(fold("doc_id", 5) != 0)
+    out = toxicity.score(docs, toxicity.fit(docs, labels))
+    return out.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "neighbours", "cosines")
+
+
+QUERIES["op1_toxicity"] = op1_toxicity
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents scored for quality by attention over their passages; fold 2 of 4 is held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").filter(fold("doc_id", 4) != 2)
+    out = quality.score(docs, quality.fit(docs, labels))
+    return out.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "n_passages", "top_passage", "top_attention")
+
+
+QUERIES["op2_quality"] = op2_quality
