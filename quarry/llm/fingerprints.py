@@ -67,11 +67,11 @@ def _compared(pairs: list[tuple]) -> list[pa.Array]:
 def edit_robustness(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_chars, edited_sha256, f0, f1, e0, e1, near_edited, near_next) for every row of docs.
 
-    Rows are ordered by (key, text); each is edited with the next one's beginning, the last with the first's.
+    Rows are ordered by key, those of one key by a hash of the text; each is edited with the next one's beginning, the last with the first's.
     Null text: empty; null keys come first; repeated rows stay and follow one another; an only
     row is its own next; an empty table gives no rows. Other columns are ignored.
 
-    One range exchange by (key, text) moves the text once. A task knows the next row of all its rows but
+    One range exchange by key and hash moves the text once. A task knows the next row of all its rows but
     the last; it also passes on its first and last text, two rows a partition, which are then matched.
     """
     kind = docs.schema[key].dataType.simpleString()
@@ -98,7 +98,8 @@ def edit_robustness(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
             yield pa.RecordBatch.from_arrays([pa.array([first[0], before[0]], keys_type), *empty, pa.array([part] * 2, pa.int32()), pa.array([1, 2], pa.int32()), pa.array([first[1], before[1]], pa.string())], names)
 
     rows = docs.select(F.col(key), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__t"))
-    ordered = rows.repartitionByRange(key, "__t").sortWithinPartitions(key, "__t")
+    # the exchange samples its keys to the driver, so a text is ordered by its hash
+    ordered = rows.withColumn("__tie", F.xxhash64("__t")).repartitionByRange(key, "__tie").sortWithinPartitions(key, "__tie").drop("__tie")
     seen = staged(ordered.mapInArrow(run, f"`{key}` {kind}, {_FIELDS}, __part int, __edge int, __text string"), "edited")
     heads = seen.filter("__edge = 1").select("__part", F.col("__text").alias("__head"))
     # two rows for each partition of the exchange: small whatever the data
