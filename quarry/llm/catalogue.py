@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import chat, decontamination, fingerprints, line_dedup, near_dedup, packing, quality, sharding, toxicity
+from quarry.llm import chat, decontamination, fingerprints, html_extract, line_dedup, near_dedup, packing, quality, sharding, toxicity
 from quarry.llm.shared import staged, table
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -163,3 +163,12 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op2_quality"] = op2_quality
+
+
+def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of all pages."""
+    out = html_extract.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+QUERIES["op9_html_extract"] = op9_html_extract
