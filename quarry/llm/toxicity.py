@@ -306,3 +306,15 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cols[0], pa.float64()), pa.array(cols[1], pa.list_(pa.int64())), pa.array(cols[2], pa.list_(pa.float64()))], [key, "score", "neighbours", "cosines"])
 
     return docs.select(key, F.col(text).cast("string").alias("__text")).mapInArrow(run, f"`{key}` {kind}, score double, neighbours array<bigint>, cosines array<double>")
+
+
+def rejected(docs: DataFrame, model: Model, threshold: float = 0.5, text: str = "text") -> DataFrame:
+    """docs without the rows that score at or above the threshold; columns stay as they are, and nothing is shuffled."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        cache: dict = {}
+        for batch in batches:
+            yield batch.filter(pa.array([sent.value.score(t or "", cache)[0] < threshold for t in batch.column(text).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -92,9 +92,45 @@ def test_components_of_a_long_chain(spark):
 
 
 def test_odd_rows(odd_docs, no_docs):
-    got = near_dedup.near_duplicates(odd_docs, size=3)
+    got = near_dedup.near_duplicates(odd_docs, size=3, bits=64, radius=3)
     assert got.columns == ["doc_id", "w0", "component"]
     rows = sorted((r.doc_id or 0, r.component, r.w0) for r in got.collect())
     assert [(a, b) for a, b, _ in rows] == [(0, None), (1, 1), (2, 1), (2, 1), (3, 3), (4, 3), (6, 6), (7, 3), (8, 8)]
     assert [c for a, _, c in rows if a in (3, 4, 7)] == [0, 0, 0]
     assert near_dedup.near_duplicates(no_docs).count() == 0
+
+
+def near_copies(seed=5, n=120):
+    rnd = random.Random(seed)
+    words = ["".join(rnd.choice("abcdefghij") for _ in range(rnd.randrange(2, 9))) for _ in range(3000)]
+    docs = []
+    for _ in range(n):
+        body = [rnd.choice(words) for _ in range(rnd.randrange(60, 500))]
+        docs.append(body)
+        for _ in range(rnd.randrange(3)):
+            other = list(body)
+            for _ in range(rnd.randrange(1, max(2, len(body) // 50))):
+                other[rnd.randrange(len(other))] = rnd.choice(words)
+            docs.append(other)
+    return [(i, " ".join(d)) for i, d in enumerate(docs)]
+
+
+@pytest.mark.parametrize("hot", [2000, 1])
+def test_default_recall_by_brute_force(spark, hot, monkeypatch):
+    docs = near_copies()
+    grams = [set(near_dedup.shingles_of(near_dedup.words_of(t.encode()), 5)) for _, t in docs]
+    alike = {(i, j): len(grams[i] & grams[j]) / len(grams[i] | grams[j]) for j in range(len(docs)) for i in range(j)}
+    monkeypatch.setattr(near_dedup, "HOT_NODES", hot)
+    monkeypatch.setattr(near_dedup.keyed_by_chunks, "__defaults__", (hot,))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    group = {r.doc_id: r.component for r in near_dedup.near_duplicates(df).collect()}
+    close = [p for p, s in alike.items() if s >= 0.8]
+    assert len(close) > 50 and sum(group[i] == group[j] for i, j in close) >= 0.9 * len(close)
+    assert not any(group[i] == group[j] for (i, j), s in alike.items() if s < 0.3)
+
+
+def test_one_of_each_group_stays(spark, odd_docs, no_docs):
+    out = near_dedup.without_copies(odd_docs)
+    assert out.columns == odd_docs.columns
+    assert sorted((r.doc_id or 0) for r in out.collect()) == [0, 1, 3, 6, 8]
+    assert near_dedup.without_copies(no_docs).count() == 0
