@@ -77,7 +77,7 @@ def hits(spec: S) -> Query:
 
 add("q_literal_lines", hits(S("License")), hits_sql(has("License")))
 add("q_single_char", hits(S("@", fixed=True)), hits_sql(has("@")))
-add("q_fixed_metachars", hits(S("1.0", fixed=True)), hits_sql(has("1.0")))
+add("q_fixed_metachars", hits(S("2.0.", fixed=True)), hits_sql(has("2.0.")))
 add("q_empty_pattern", hits(S("")), hits_sql("true"))
 add("q_literal_ci", hits(S("license", ignore_case=True)), hits_sql(f"contains({LOWER.format('line')}, 'license')"))
 add("q_dedup_line", hits(S("the")), hits_sql(has("the")))
@@ -125,7 +125,7 @@ REGEXES = [
     ("group", r"(ing|tion)s?\.", None),
     ("nested", r"(th(e|at) )+(of|in)", None),
     ("class", "[A-Z][aeiou]", None),
-    ("class_dash", "[a-]-[0-9-]", None),
+    ("class_dash", "[0-9-]{5}", None),
     ("negclass", "[^a-zA-Z .,]", None),
     ("digit", r"\d+\.\d+", None),
     ("word", r"\w+@\w+\.\w+", None),
