@@ -223,13 +223,17 @@ add("q_replace", over_docs(lambda d: report.replaced(d, S(r"\d+"), "<$n>")), "se
 
 # paths
 
-_PATH = F.concat(F.when(F.col("source").isin("src1", "src2"), ".git/").when(F.col("source") == "src3", "lib/node_modules/").otherwise("a/b/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit("."), "lang")
+
+def _path():
+    return F.concat(F.when(F.col("source").isin("src1", "src2"), ".git/").when(F.col("source") == "src3", "lib/node_modules/").otherwise("a/b/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit("."), "lang")
+
+
 P = "(select doc_id, case when source in ('src1', 'src2') then '.git/' when source = 'src3' then 'lib/node_modules/' else 'a/b/' end || source || '/' || doc_id || '.' || lang as path from documents)"
 RULES = paths.parse_rules("# comment\n*.es\n!*7.es\nsrc1*\n!a/b/src11/*\n")
 
 
 def with_path(keep) -> Query:
-    return lambda spark, sf_dir: docs_of(spark, sf_dir, "documents", "doc_id", "source", "lang").select("doc_id", _PATH.alias("path")).filter(keep(F.col("path")))
+    return lambda spark, sf_dir: docs_of(spark, sf_dir, "documents", "doc_id", "source", "lang").select("doc_id", _path().alias("path")).filter(keep(F.col("path")))
 
 
 _NAME = "regexp_extract(path, '[^/]*$')"

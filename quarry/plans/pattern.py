@@ -212,17 +212,19 @@ def _java_char(c: str) -> str:
 
 
 def _java_set(node: Set) -> str:
+    """Sets such as \\W inside a class are written as a choice, as nested classes mean different things to different engines."""
+
     def part(p) -> str:
         if isinstance(p, tuple):
             return f"{_java_char(p[0])}-{_java_char(p[1])}"
-        if isinstance(p, _SetName):
-            return SETS[p] if p.islower() else f"[^{SETS[p.lower()]}]"
-        return _java_char(p)
-
-    if node.negated and any(isinstance(p, _SetName) and p.isupper() for p in node.parts):
-        # how a negation reaches nested sets differs between Java versions
-        return f"(?:(?![{''.join(map(part, node.parts))}])(?s:.))"
-    return f"[{'^' if node.negated else ''}{''.join(map(part, node.parts))}]"
+        return SETS[p] if isinstance(p, _SetName) else _java_char(p)
+
+    outside = [f"[^{SETS[p.lower()]}]" for p in node.parts if isinstance(p, _SetName) and p.isupper()]
+    own = "".join(part(p) for p in node.parts if not (isinstance(p, _SetName) and p.isupper()))
+    if not outside:
+        return f"[{'^' if node.negated else ''}{own}]"
+    either = "|".join(([f"[{own}]"] if own else []) + outside)
+    return f"(?:(?!{either})(?s:.))" if node.negated else f"(?:{either})"
 
 
 def java(node: Node) -> str:
