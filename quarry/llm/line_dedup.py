@@ -122,7 +122,8 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_wo
     """
     columns = docs.columns
     runs = staged(repeated_runs(docs, key, text, min_words), "runs").withColumnsRenamed({key: "__key", "__same": "__other", "runs": "__runs"})
-    joined = docs.withColumn("__same", F.xxhash64(text)).join(runs, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__same") == F.col("__other")), "left")
+    # always by exchange and merge: which documents lose lines grows with the corpus, so it is no side to broadcast
+    joined = docs.withColumn("__same", F.xxhash64(text)).join(runs.hint("merge"), F.col(key).eqNullSafe(F.col("__key")) & (F.col("__same") == F.col("__other")), "left")
     def cut(batches):
         for batch in batches:
             texts, removed = [], []
