@@ -23,7 +23,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.shared import staged
@@ -151,43 +151,40 @@ class Model:
         return out
 
 
-def different(examples: list[tuple[int, list[str]]]) -> list[tuple[int, list[str]]]:
-    """One of each group of copies: of examples that share a signature, the three longer words of least hash (all terms of short texts), under either of two hashes."""
-    seen: set[tuple] = set()
+def signatures(terms: list[str]) -> list[int]:
+    """Two hashes that copies and most near copies share: each of the three longer words of least hash, of all terms of short texts."""
+    words = [t for t in terms if len(t) >= 7]
+    words = words if len(words) >= 8 else terms
     out = []
-    for y, terms in examples:
-        words = [t for t in terms if len(t) >= 7]
-        words = words if len(words) >= 8 else terms
-        signs = [(y, seed, *sorted(xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), seed) for w in words)[: 3 if len(words) >= 8 else None]) for seed in (1, 2)]
-        if not seen.intersection(signs):
-            out.append((y, terms))
-        seen.update(signs)
+    for seed in (1, 2):
+        least = sorted(xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), seed) for w in words)[: 3 if len(words) >= 8 else None]
+        out.append(xxhash.xxh64_intdigest(str(least)) >> 1)
     return out
 
 
-def chosen_terms(examples: list[tuple[int, list[str]]], max_terms: int = MAX_TERMS) -> list[str]:
-    """Terms that tell the labels apart, the most telling first. examples: (label, different terms)."""
-    examples = different(examples)
-    n = Counter(y for y, _ in examples)
-    seen = {0: Counter(), 1: Counter()}
-    for y, terms in examples:
-        seen[y].update(terms)
-    if not n[0] or not n[1]:
+def telling_terms(examples: DataFrame, max_terms: int = MAX_TERMS) -> list[str]:
+    """Terms that tell the labels apart, the most telling first, from examples(__y, terms, signs).
+
+    Of examples with a common signature under one label only the first counts. Counting is a grouped sum; only the terms chosen,
+    max_terms at most, come to the driver.
+    """
+    first = [F.row_number().over(Window.partitionBy("__y", F.col("signs")[i]).orderBy("__order")) == 1 for i in (0, 1)]
+    own = staged(examples.withColumn("__one", first[0] & first[1]).filter("__one").select("__y", F.explode("terms").alias("term"), "__order"), "example-terms")
+    size = {r["__y"]: r["n"] for r in own.groupBy("__y").agg(F.countDistinct("__order").alias("n")).collect()}
+    if not size.get(0) or not size.get(1):
         return []
-    candidates, out = seen[0].keys() | seen[1].keys(), []
-    least = 2 * np.log(max(len(candidates), 2))
-    for t in candidates:
-        k = np.array([seen[0][t], seen[1][t]], float)
-        size = np.array([n[0], n[1]], float)
-        shares = (k + 0.5) / (size + 1)
-        if shares.max() < MIN_LIFT * shares.min():
-            continue
-        p = k.sum() / size.sum()
-        rest = size - k
-        g = 2 * float((k * np.log(np.maximum(k, 1e-12) / (size * p))).sum() + (rest * np.log(np.maximum(rest, 1e-12) / np.maximum(size * (1 - p), 1e-12))).sum())
-        if g >= least:
-            out.append((-g, t))
-    return [t for _, t in sorted(out)[:max_terms]]
+    counted = staged(own.groupBy("term").agg(F.sum(1 - F.col("__y")).alias("k0"), F.sum("__y").alias("k1")), "term-counts")
+    least = 2 * float(np.log(max(counted.count(), 2)))
+    n0, n1 = F.lit(float(size[0])), F.lit(float(size[1]))
+    share0, share1 = (F.col("k0") + 0.5) / (n0 + 1), (F.col("k1") + 0.5) / (n1 + 1)
+    p = (F.col("k0") + F.col("k1")) / (n0 + n1)
+
+    def part(k, expected):
+        return F.when(k > 0, k * F.log(k / expected)).otherwise(0.0)
+
+    g = 2 * (part(F.col("k0"), n0 * p) + part(F.col("k1"), n1 * p) + part(n0 - F.col("k0"), n0 * (1 - p)) + part(n1 - F.col("k1"), n1 * (1 - p)))
+    told = counted.filter(F.greatest(share0, share1) >= MIN_LIFT * F.least(share0, share1)).withColumn("g", F.round(g, 9)).filter(F.col("g") >= least)
+    return [r.term for r in told.orderBy(F.col("g").desc(), "term").limit(max_terms).collect()]
 
 
 def fit_curve(raw: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float]:
@@ -206,7 +203,7 @@ def fit_curve(raw: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, flo
 
 
 def build(examples: list[tuple[int, int, list[str], list[int]]], shares: tuple[int, int], terms: list[str], frequency: dict[str, int], n_docs: int) -> Model:
-    """examples: (id, label, terms, counts), in any order; shares: how many labels of 0 and 1 there are in all."""
+    """examples: (id, label, terms of the vocabulary, counts); shares: how many labels of 0 and 1 there are in all."""
     place = {t: i for i, t in enumerate(terms)}
     idf = np.array([np.log((n_docs + 1) / (frequency.get(t, 0) + 1)) + 1 for t in terms])
     have = Counter(e[1] for e in examples)
@@ -237,15 +234,30 @@ def build(examples: list[tuple[int, int, list[str], list[int]]], shares: tuple[i
 
 
 def document_terms(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, terms, counts)."""
+    """(key, terms, counts, signs)."""
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches):
-        for batch in batches:
+        for batch in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
             found = [terms_of(t or "") for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([list(c) for c in found], pa.list_(pa.string())), pa.array([list(c.values()) for c in found], pa.list_(pa.int32()))], [key, "terms", "counts"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([list(c) for c in found], pa.list_(pa.string())), pa.array([list(c.values()) for c in found], pa.list_(pa.int32())), pa.array([signatures(list(c)) for c in found], pa.list_(pa.int64()))],
+                [key, "terms", "counts", "signs"],
+            )
+
+    return docs.select(key, F.col(text).cast("string").alias("__text")).mapInArrow(run, f"`{key}` {kind}, terms array<string>, counts array<int>, signs array<bigint>")
+
+
+def restricted(examples: DataFrame, key: str, terms: list[str]) -> DataFrame:
+    """(key, __y, terms, counts) of examples, with the given terms only."""
+    kind, known = examples.schema[key].dataType.simpleString(), frozenset(terms)
+
+    def run(batches):
+        for batch in batches:
+            kept = [[(t, n) for t, n in zip(ts, ns, strict=True) if t in known] for ts, ns in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([[t for t, _ in k] for k in kept], pa.list_(pa.string())), pa.array([[n for _, n in k] for k in kept], pa.list_(pa.int32()))], [key, "__y", "terms", "counts"])
 
-    return docs.select(key, F.col(text).cast("string").alias("__text")).mapInArrow(run, f"`{key}` {kind}, terms array<string>, counts array<int>")
+    return examples.select(key, "__y", "terms", "counts").mapInArrow(run, f"`{key}` {kind}, __y int, terms array<string>, counts array<int>")
 
 
 def document_frequencies(docs: DataFrame, text: str, terms: list[str]) -> tuple[dict[str, int], int]:
@@ -281,10 +293,13 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     # bounded by 2 * max_examples rows
     drawn = [known.filter(F.col("__y") == y).orderBy(F.xxhash64(key), key).limit(max_examples) for y in (0, 1)]
     picked = staged(drawn[0].unionByName(drawn[1]), "drawn")
-    rows = document_terms(docs.select(key, text).join(F.broadcast(picked.select(key)), key, "left_semi"), key, text).join(F.broadcast(picked), key).select(key, "__y", "terms", "counts").collect()
-    by_key = {r[0]: (int(r[0]), r[1], list(r[2]), list(r[3])) for r in sorted(rows, key=lambda r: (r[0], sorted(r[2])))}
-    examples = list(by_key.values())
-    terms = chosen_terms([(y, ts) for _, y, ts, _ in examples])
+    found = document_terms(docs.select(key, text).join(F.broadcast(picked.select(key)), key, "left_semi"), key, text).join(F.broadcast(picked), key)
+    # rows of one key are one example, the first by its terms
+    nth = F.row_number().over(Window.partitionBy(key).orderBy(F.xxhash64("terms", "counts")))
+    examples = staged(found.withColumn("__nth", nth).filter("__nth = 1").withColumn("__order", F.xxhash64(key)).drop("__nth"), "examples")
+    terms = telling_terms(examples)
+    rows = restricted(examples, key, terms).collect()
+    examples = [(int(r[0]), r[1], list(r[2]), list(r[3])) for r in sorted(rows, key=lambda r: r[0])]
     frequency, n_docs = document_frequencies(docs, text, terms)
     return build(examples, shares, terms, frequency, n_docs)
 
