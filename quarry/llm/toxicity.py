@@ -1,6 +1,7 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine, through a block-max inverted index.
 
-Terms are lower-case words and word beginnings of four letters. The vocabulary is chosen on labelled examples only: terms that are
+Terms are lower-case words and word beginnings of four to seven letters, the latter also as "twice or more" and "three times or more", as
+one such word may stand in any text and several of them not. The vocabulary is chosen on labelled examples only: terms that are
 MIN_LIFT times as frequent under one label as under the other, with a log-likelihood ratio that about one term in all passes by chance;
 copies and near copies among the examples count once there. A document's vector has (1 + ln tf) * idf for each such
 term, with document frequencies counted over the whole corpus, and length one.
@@ -37,23 +38,63 @@ BLOCK = 64
 SOFTEN = 0.05
 TIE = 1e-9
 
+#: Lengths of word beginnings.
+BEGINNINGS = (4, 5, 6, 7)
+
 _WORD = re.compile(r"[^\W\d_]+")
 
 
+#: How a beginning is marked as a term, and from how many occurrences on.
+MARKS = ((1, "*"), (2, "*2"), (3, "*3"))
+
+
 def terms_of(text: str) -> Counter:
-    """Counts of words, and of beginnings marked by *."""
+    """Counts of words, and of beginnings of longer words."""
     words = Counter(_WORD.findall(text.lower()))
-    for w, n in list(words.items()):
-        if len(w) > 4:
-            words[w[:4] + "*"] += n
+    begun: Counter = Counter()
+    for w, n in words.items():
+        for k in BEGINNINGS:
+            if len(w) > k:
+                begun[w[:k]] += n
+    for b, n in begun.items():
+        for least, mark in MARKS:
+            if n >= least:
+                words[b + mark] = n if least == 1 else 1
     return words
 
 
+class Vocabulary:
+    """Chosen terms by place, and what is quickly known of words that have none."""
+
+    def __init__(self, terms: list[str]):
+        self.place = {t: i for i, t in enumerate(terms)}
+        self.bases = {t.partition("*")[0] for t in terms if "*" in t}
+        self.stems = {b[: BEGINNINGS[0]] for b in self.bases}
+
+    def counts(self, text: str) -> dict[int, int]:
+        """terms_of for the terms that have a place, by place."""
+        out: dict[int, int] = {}
+        begun: dict[str, int] = {}
+        place, bases, stems = self.place, self.bases, self.stems
+        for w, n in Counter(_WORD.findall(text.lower())).items():
+            if w in place:
+                out[place[w]] = n
+            if w[: BEGINNINGS[0]] in stems:
+                for k in BEGINNINGS:
+                    if len(w) > k and (b := w[:k]) in bases:
+                        begun[b] = begun.get(b, 0) + n
+        for b, n in begun.items():
+            for least, mark in MARKS:
+                if n >= least and b + mark in place:
+                    out[place[b + mark]] = n if least == 1 else 1
+        return out
+
+
 @dataclass
 class Model:
-    """terms: place of each; idf; examples' vectors by block; calibration. Bounded by MAX_EXAMPLES and MAX_TERMS."""
+    """The vocabulary, idf by place, examples' vectors by block, calibration. Bounded by MAX_EXAMPLES and MAX_TERMS."""
 
-    terms: dict[str, int]
+    vocabulary: Vocabulary
     idf: np.ndarray
     labels: np.ndarray
     weights: np.ndarray
@@ -70,24 +111,11 @@ class Model:
         length = np.sqrt((w * w).sum())
         return at, w / length if length else w
 
-    def counts(self, text: str) -> dict[int, int]:
-        out: dict[int, int] = {}
-        get = self.terms.get
-        for w in _WORD.findall(text.lower()):
-            i = get(w)
-            if i is not None:
-                out[i] = out.get(i, 0) + 1
-            if len(w) > 4:
-                i = get(w[:4] + "*")
-                if i is not None:
-                    out[i] = out.get(i, 0) + 1
-        return out
-
     def index(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> None:
         """Postings of each term by block, and each block's largest weight."""
         blocks = (len(vectors) + BLOCK - 1) // BLOCK
-        self.block_max = np.zeros((len(self.terms), blocks), np.float32)
-        rows: list[list[tuple[int, float]]] = [[] for _ in self.terms]
+        self.block_max = np.zeros((len(self.idf), blocks), np.float32)
+        rows: list[list[tuple[int, float]]] = [[] for _ in self.idf]
         for e, (at, w) in enumerate(vectors):
             for i, x in zip(at.tolist(), w.tolist(), strict=True):
                 rows[i].append((e, x))
@@ -134,7 +162,7 @@ class Model:
 
     def score(self, text: str, cache: dict | None = None) -> tuple[float, list[int], list[float]]:
         """(score, neighbours' ids, cosines); cache keeps answers for equal vectors."""
-        counts = self.counts(text)
+        counts = self.vocabulary.counts(text)
         if not counts:
             return self.empty, [], []
         known = tuple(sorted(counts.items()))
@@ -153,7 +181,7 @@ class Model:
 
 def signatures(terms: list[str]) -> list[int]:
     """Two hashes that copies and most near copies share: each of the three longer words of least hash, of all terms of short texts."""
-    words = [t for t in terms if len(t) >= 7]
+    words = [t for t in terms if len(t) >= 7 and "*" not in t]
     words = words if len(words) >= 8 else terms
     out = []
     for seed in (1, 2):
@@ -204,7 +232,8 @@ def fit_curve(raw: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, flo
 
 def build(examples: list[tuple[int, int, list[str], list[int]]], shares: tuple[int, int], terms: list[str], frequency: dict[str, int], n_docs: int) -> Model:
     """examples: (id, label, terms of the vocabulary, counts); shares: how many labels of 0 and 1 there are in all."""
-    place = {t: i for i, t in enumerate(terms)}
+    vocabulary = Vocabulary(terms)
+    place = vocabulary.place
     idf = np.array([np.log((n_docs + 1) / (frequency.get(t, 0) + 1)) + 1 for t in terms])
     have = Counter(e[1] for e in examples)
     weight = {y: shares[y] / have[y] if have[y] else 0.0 for y in (0, 1)}
@@ -219,7 +248,7 @@ def build(examples: list[tuple[int, int, list[str], list[int]]], shares: tuple[i
         else:
             bare[y] += weight[y]
     empty = (bare[1] + prior) / (sum(bare) + 1)
-    model = Model(place, idf, np.zeros(0), np.zeros(0), np.zeros(0, np.int64), prior, empty)
+    model = Model(vocabulary, idf, np.zeros(0), np.zeros(0), np.zeros(0, np.int64), prior, empty)
     made = [(model.vector(c), i, y) for i, y, c in rows]
     # alike examples in one block: by their heaviest terms, then by content; keeps the blocks' bounds tight
     made.sort(key=lambda m: ([int(x) for x in m[0][0][np.argsort(-m[0][1], kind="stable")][:3]], m[0][0].tolist(), m[0][1].tolist(), m[2]))
@@ -262,23 +291,20 @@ def restricted(examples: DataFrame, key: str, terms: list[str]) -> DataFrame:
 
 def document_frequencies(docs: DataFrame, text: str, terms: list[str]) -> tuple[dict[str, int], int]:
     """In how many rows of docs each of the given terms occurs, and how many rows there are. Each task adds up before the shuffle."""
-    place = {t: i for i, t in enumerate(terms)}
+    vocabulary = Vocabulary(terms)
 
     def run(batches):
-        total, rows = np.zeros(len(place), np.int64), 0
+        total, rows = np.zeros(len(terms), np.int64), 0
         for batch in batches:
             rows += batch.num_rows
             for t in batch.column(0).to_pylist():
-                if t:
-                    words = set(_WORD.findall(t.lower()))
-                    words |= {w[:4] + "*" for w in words if len(w) > 4}
-                    for w in words & place.keys():
-                        total[place[w]] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(np.arange(len(place)), -1)), pa.array(np.append(total, rows))], ["term", "n"])
+                for i in vocabulary.counts(t) if t else ():
+                    total[i] += 1
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(np.arange(len(terms)), -1)), pa.array(np.append(total, rows))], ["term", "n"])
 
     # as many rows as there are terms in the vocabulary, whatever the data
     found = {r.term: r.n for r in docs.select(F.col(text).cast("string")).mapInArrow(run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    return {t: found.get(i, 0) for t, i in place.items()}, found.get(-1, 0)
+    return {t: found.get(i, 0) for t, i in vocabulary.place.items()}, found.get(-1, 0)
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", max_examples: int = MAX_EXAMPLES) -> Model:

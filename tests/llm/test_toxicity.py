@@ -39,7 +39,7 @@ def test_index_equals_full_comparison():
     dense = np.zeros((len(model.ids), n_terms))
     by_id = {e[0]: e for e in examples}
     for row, i in enumerate(model.ids.tolist()):
-        at, w = model.vector({model.terms[t]: c for t, c in zip(by_id[i][2], by_id[i][3], strict=True)})
+        at, w = model.vector({model.vocabulary.place[t]: c for t, c in zip(by_id[i][2], by_id[i][3], strict=True)})
         dense[row, at] = w
     for _ in range(200):
         at = np.sort(rng.choice(n_terms, rng.integers(1, 6), replace=False))
@@ -55,7 +55,7 @@ def test_index_equals_full_comparison():
 def test_blocks_are_skipped(small):
     docs, labels = small
     model = toxicity.fit(docs, labels)
-    assert {"vile", "rotten", "nasty", "hatefulness"} <= set(model.terms)
+    assert {"vile", "rotten", "nasty", "hatefulness"} <= set(model.vocabulary.place)
     assert model.score("some vile and rotten text")[0] > 0.8 > 0.2 > model.score("word and word")[0]
     assert model.score("some vile text")[1], "evidence"
 
@@ -79,4 +79,12 @@ def test_odd_rows(spark, small, odd_docs, no_docs):
     assert toxicity.score(no_docs, model).count() == 0
     none = toxicity.fit(no_docs, labels.limit(0))
     assert toxicity.score(odd_docs, none).filter("score >= 0 and score <= 1").count() == odd_docs.count()
-    assert toxicity.fit(no_docs, labels).terms == {}
+    assert toxicity.fit(no_docs, labels).vocabulary.place == {}
+
+
+def test_known_terms_are_those_of_all():
+    text = "Abcdefgh abcdefxx abcdzzzz, abc ABCDEFGH é_éééé 12abcde"
+    every = toxicity.terms_of(text)
+    assert every["abcd*"] == 5 and every["abcdef*3"] == 1 and "abcdz*2" not in every and every["abcdefgh"] == 2
+    chosen = ["abcdefgh", "abcd*3", "abcdef*", "abcdef*2", "abcdz*2", "none", "abcdefg*"]
+    assert toxicity.Vocabulary(chosen).counts(text) == {i: every[t] for i, t in enumerate(chosen) if t in every}
