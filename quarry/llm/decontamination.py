@@ -4,6 +4,8 @@ Canonical template: a text's words without outer punctuation, in lower case, wit
 number, names (capitalised words inside a sentence; neighbouring ones are one) and the word that opens a sentence, whose
 capital tells nothing. Five neighbouring template words are a window; one with fewer than two plain words is too common and
 doesn't count.
+A second form of each text keeps names and opening words as plain words, so that a copy with other punctuation or capitals,
+whose sentences open elsewhere, is still found.
 
 Windows of documents and of benchmark items are hash-joined. Where matched windows within a stretch of a document cover at least
 0.8 of an item's windows, the slots are checked: each value in the item has to stand for one value in the document
@@ -13,6 +15,7 @@ throughout (0.8 of them, at least). Equal values are a verbatim copy, others a r
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -33,6 +36,7 @@ MEMO = 300_000
 NUMBERS = frozenset("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split())
 UNITS = frozenset("% percent km kilometer kilometers kilometre kilometres m meter meters metre metres cm mm mile miles foot feet ft inch inches yard yards kg kilogram kilograms g gram grams mg lb lbs pound pounds ounce ounces oz ton tons l liter liters litre litres ml gallon gallons s sec second seconds min minute minutes h hour hours day days week weeks month months year years dollar dollars cent cents euro euros degree degrees mph kmh".split())
 _NUMBER = re.compile(r"[+\-]?[$€£]?\d[\d.,:/]*\w{0,3}%?")
+_ENDING = tuple(".!?:;")
 _OUTER = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c not in "%$") + "“”‘’«»„…–—¿¡·"
 
 PLAIN, NUMBER, UNIT, NAME, OPENING = range(5)
@@ -41,44 +45,65 @@ _MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD
 ENDS, EMPTY, IS_NUMBER, IS_UNIT, CAPITAL = 1, 2, 4, 8, 16
 
 
-class Templates:
-    """Template windows of texts; what a word is by itself is remembered, MEMO words at most."""
+class _Words(dict):
+    """Place of each word seen, with its flags, hash and value; what a word is by itself is found out once."""
 
     def __init__(self):
-        self.clear()
-
-    def clear(self) -> None:
-        self.place: dict[str, int] = {}
+        super().__init__()
         self.values: list[str] = []
-        self.hash = np.zeros(1024, np.uint64)
-        self.flag = np.zeros(1024, np.uint8)
-
-    def _learn(self, word: str) -> int:
-        at = len(self.values)
-        if at == len(self.hash):
-            self.hash, self.flag = np.concatenate([self.hash, self.hash]), np.concatenate([self.flag, self.flag])
-        core = word.strip(_OUTER)
+        self.hash, self.flag = array("Q"), array("B")
+
+    def __missing__(self, word: str) -> int:
+        if word.isalpha():
+            core, flag = word, 0
+        else:
+            core = word.strip(_OUTER)
+            flag = ENDS if word.rstrip("\"'”’»)]")[-1:] in _ENDING else 0
         low = core.lower()
-        flag = ENDS * (word.rstrip("\"'”’»)]")[-1:] in tuple(".!?:;")) | EMPTY * (not core)
-        if core and (_NUMBER.fullmatch(core) or low in NUMBERS):
+        if not core:
+            flag |= EMPTY
+        elif low in NUMBERS or (not core.isalpha() and _NUMBER.fullmatch(core)):
             flag |= IS_NUMBER
         elif low in UNITS:
             flag |= IS_UNIT
-        if core[:1].isupper() and not (len(core) > 1 and core.isupper()):
+        if low is not core and low != core and core[0].isupper() and (len(core) == 1 or not core.isupper()):
             flag |= CAPITAL
-        self.place[word] = at
+        self[word] = at = len(self.values)
         self.values.append(low)
-        self.hash[at], self.flag[at] = xxhash.xxh64_intdigest(low.encode("utf-8", "surrogatepass")), flag
+        self.hash.append(xxhash.xxh64_intdigest(low.encode("utf-8", "surrogatepass")))
+        self.flag.append(flag)
         return at
 
-    def windows(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(hashes, usable) of the windows; (kind, word) of each template word, to read slots from."""
-        if len(self.values) > MEMO:
-            self.clear()
-        place = self.place
-        words = text.split()
-        at = np.array([place[w] if w in place else self._learn(w) for w in words], np.int64)
-        flag = self.flag[at]
+
+def _windows(kind: np.ndarray, own: np.ndarray, at: np.ndarray, form: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    n = len(at) - WINDOW + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64), np.zeros(0, bool), kind, at
+    code = np.where(kind == PLAIN, own, _HASHES[kind])
+    code ^= code >> np.uint64(29)
+    out = code[:n] * _MIX[form]
+    for i in range(1, WINDOW):
+        out += code[i : i + n] * _MIX[i]
+        out ^= out >> np.uint64(31)
+        out *= _MIX[form]
+    plain = np.concatenate(([0], np.cumsum(kind == PLAIN)))
+    return out, plain[WINDOW:] - plain[:-WINDOW] >= 2, kind, at
+
+
+class Templates:
+    """Template windows of texts; MEMO different words are remembered at most."""
+
+    def __init__(self):
+        self.words = _Words()
+
+    def forms(self, text: str) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """For each form: (hashes, usable) of the windows; (kind, word) of each template word, to read slots from."""
+        if len(self.words) > MEMO:
+            self.words = _Words()
+        split = text.split()
+        at = np.fromiter(map(self.words.__getitem__, split), np.int64, len(split))
+        # copies, as the arrays grow with the next text
+        flag, own = np.array(self.words.flag, copy=None)[at], np.array(self.words.hash, copy=None)[at]
         opens = np.ones(len(at), bool)
         opens[1:] = flag[:-1] & ENDS > 0
         empty = flag & EMPTY > 0
@@ -86,63 +111,65 @@ class Templates:
             for i in np.flatnonzero(empty):
                 if i + 1 < len(at) and opens[i]:
                     opens[i + 1] = True
-            at, flag, opens = at[~empty], flag[~empty], opens[~empty]
+            at, flag, own, opens = at[~empty], flag[~empty], own[~empty], opens[~empty]
+        kind = np.where(flag & CAPITAL > 0, NAME, PLAIN).astype(np.int8)
+        kind[opens] = OPENING
         number = flag & IS_NUMBER > 0
-        behind = np.zeros(len(at), bool)
-        behind[1:] = number[:-1]
-        kind = np.where(number, NUMBER, np.where((flag & IS_UNIT > 0) & behind, UNIT, np.where(opens, OPENING, np.where(flag & CAPITAL > 0, NAME, PLAIN))))
+        if number.any():
+            behind = np.zeros(len(at), bool)
+            behind[1:] = number[:-1]
+            kind[(flag & IS_UNIT > 0) & behind] = UNIT
+            kind[number] = NUMBER
+        loose = np.where((kind == NUMBER) | (kind == UNIT), kind, PLAIN)
         again = np.zeros(len(at), bool)
         again[1:] = (kind[1:] == NAME) & (kind[:-1] == NAME)
-        at, kind = at[~again], kind[~again]
-        n = len(at) - WINDOW + 1
-        if n <= 0:
-            return np.zeros(0, np.uint64), np.zeros(0, bool), kind, at
-        code = np.where(kind == PLAIN, self.hash[at], _HASHES[kind])
-        out = np.zeros(n, np.uint64)
-        for i in range(WINDOW):
-            part = (code[i : i + n] ^ (code[i : i + n] >> np.uint64(29))) * _MIX[i]
-            out = (out + (part ^ (part >> np.uint64(32)))) * _MIX[0]
-        plain = np.concatenate(([0], np.cumsum(kind == PLAIN)))
-        return out, plain[WINDOW:] - plain[:-WINDOW] >= 2, kind, at
+        second = _windows(loose, own, at, 1)
+        if again.any():
+            at, kind, own = at[~again], kind[~again], own[~again]
+        return [_windows(kind, own, at, 0), second]
 
     def slots(self, kind: np.ndarray, at: np.ndarray, i: int) -> str:
         """Kinds and values of a window's placeholders, in order."""
-        return "\x1f".join([f"{kind[k]}{self.values[at[k]]}" for k in range(i, i + WINDOW) if kind[k]])
+        return "\x1f".join([f"{kind[k]}{self.words.values[at[k]]}" for k in range(i, i + WINDOW) if kind[k]])
 
 
 _templates = Templates()
 
 
 def template_windows(rows: DataFrame, key: str, text: str, sent: np.ndarray | None = None) -> DataFrame:
-    """(key, pos, window, slots, n): usable windows, only those in the sorted hashes `sent` if given; n counts all usable ones of the row."""
+    """(key, form, pos, window, slots, n): usable windows, only those in the sorted hashes `sent` if given; n counts all usable ones of the row and form."""
     kind_of = rows.schema[key].dataType.simpleString()
-    names = [key, "pos", "window", "slots", "n"]
+    names = [key, "form", "pos", "window", "slots", "n"]
+    types = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.int32())
+
+    def found_in(text: str, i: int):
+        for form, (hashes, use, kind, at) in enumerate(_templates.forms(text)):
+            n = int(use.sum())
+            if sent is not None and n:
+                if not len(sent):
+                    return
+                use = use & (sent[np.minimum(np.searchsorted(sent, hashes), len(sent) - 1)] == hashes)
+            for j in np.flatnonzero(use).tolist():
+                yield i, form, j, int(hashes[j].view(np.int64)), _templates.slots(kind, at, j), n
 
     def run(batches):
         for batch in batches:
-            keys, pos, found, slots, count = [], [], [], [], []
+            found: list[tuple] = []
+
+            def out(batch=batch):
+                place, *rest = (pa.array(c, t) for c, t in zip(zip(*found, strict=True), types, strict=True))
+                return pa.RecordBatch.from_arrays([batch.column(0).take(place), *rest], names)
+
             for i, t in enumerate(batch.column(1).to_pylist()):
-                if not t:
-                    continue
-                hashes, use, kind, at = _templates.windows(t)
-                n = int(use.sum())
-                if sent is not None and len(hashes):
-                    if not len(sent):
-                        continue
-                    use = use & (sent[np.minimum(np.searchsorted(sent, hashes), len(sent) - 1)] == hashes)
-                for j in np.flatnonzero(use).tolist():
-                    keys.append(i)
-                    pos.append(j)
-                    found.append(hashes[j])
-                    slots.append(_templates.slots(kind, at, j))
-                    count.append(n)
-                if len(keys) > 50_000:
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keys)), pa.array(pos, pa.int32()), pa.array(np.array(found, np.uint64).view(np.int64)), pa.array(slots, pa.string()), pa.array(count, pa.int32())], names)
-                    keys, pos, found, slots, count = [], [], [], [], []
-            if keys:
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keys)), pa.array(pos, pa.int32()), pa.array(np.array(found, np.uint64).view(np.int64)), pa.array(slots, pa.string()), pa.array(count, pa.int32())], names)
-
-    return rows.select(key, F.col(text).cast("string").alias("__text")).mapInArrow(run, f"`{key}` {kind_of}, pos int, window bigint, slots string, n int")
+                if t:
+                    found.extend(found_in(t, i))
+                if len(found) > 50_000:
+                    yield out()
+                    found.clear()
+            if found:
+                yield out()
+
+    return rows.select(key, F.col(text).cast("string").alias("__text")).mapInArrow(run, f"`{key}` {kind_of}, form int, pos int, window bigint, slots string, n int")
 
 
 def judge(hits: list[tuple], n: int, coverage: float) -> tuple | None:
@@ -195,14 +222,19 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
     if count <= max_sent:
         sent = np.unique(np.array([r[0] for r in items.select("window").distinct().collect()], np.int64).view(np.uint64))
     mine = template_windows(docs.filter(F.col(key).isNotNull()), key, text, sent)
-    theirs = items.select(F.col(item_key).alias("__item"), F.col("pos").alias("__pos"), "window", F.col("slots").alias("__slots"), F.col("n").alias("__n"))
-    both = mine.join(theirs, "window").select(F.xxhash64(key, "__item").alias("__pair"), F.col(key).cast("long").alias("__key"), F.col("__item").cast("long").alias("__item"), "pos", "__pos", "slots", "__slots", "__n")
+    theirs = items.select(F.col(item_key).alias("__item"), "form", F.col("pos").alias("__pos"), "window", F.col("slots").alias("__slots"), F.col("n").alias("__n"))
+    both = mine.join(theirs, ["window", "form"]).select(F.xxhash64(key, "__item").alias("__pair"), F.col(key).cast("long").alias("__key"), F.col("__item").cast("long").alias("__item"), "form", "__n", "pos", "__pos", "slots", "__slots")
 
     def work(part: pa.Table):
         rows = defaultdict(list)
-        for _, k, item, *hit, n in zip(*[c.to_pylist() for c in part.columns], strict=True):
-            rows[k, item, n].append(tuple(hit))
-        out = [(k, item, *found) for (k, item, n), hits in rows.items() if (found := judge([(a, b, c, d) for a, b, c, d in hits], n, coverage))]
+        for _, k, item, form, n, *hit in zip(*[c.to_pylist() for c in part.columns], strict=True):
+            rows[k, item, form, n].append(tuple(hit))
+        best: dict[tuple, tuple] = {}
+        for (k, item, _, n), hits in sorted(rows.items()):
+            found = judge(hits, n, coverage)
+            if found and ((k, item) not in best or found[0] > best[k, item][0]):
+                best[k, item] = found
+        out = [(*pair, *found) for pair, found in best.items()]
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.bool_(), pa.int64(), pa.int64()), strict=True)], ["key", "item", "coverage", "verbatim", "first_word", "last_word"])
 

@@ -34,7 +34,8 @@ CASES = [
     ("inconsistent", ITEM.replace("Anna Berg", "Maria", 1).replace("12", "3").replace("Paul", "Anna Berg").replace("with Anna Berg", "with Otto"), None, False),
     ("half", " ".join(ITEM.split()[:12]), False, None),
     ("other", "The weather was fine and nobody in town wanted to leave the market square before noon on that day.", False, None),
-    ("upper", ITEM.replace("Yesterday the farmer", "yesterday The Farmer"), None, None),
+    ("capitals", ITEM.upper(), True, True),
+    ("no marks", "so it was " + ITEM.lower().replace(".", "").replace("anna", "anna,"), True, True),
 ]
 
 
