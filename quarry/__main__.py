@@ -71,7 +71,7 @@ def run(argv: list[str], spark: SparkSession | None = None, out=None) -> int:
     found = tree.files(spark, roots or ["."], max_depth=o.max_depth, ext=o.type)
     docs = tree.as_documents(found).filter(paths.included(F.col("path"), o.include, o.exclude))
     if o.index_build:
-        TrigramIndex(spark, o.index_build).build(docs)
+        TrigramIndex(spark, o.index_build, version=["size", "mtime"]).build(docs)
         return 0
     total = 0
     if o.count or o.files:
@@ -85,7 +85,7 @@ def run(argv: list[str], spark: SparkSession | None = None, out=None) -> int:
         return 0 if total else 1
     plain = not (spec.before or spec.after)
     if o.index:
-        lines = TrigramIndex(spark, o.index).search(docs, spec).join(docs.select("doc_id", "path"), "doc_id").select("path", "line_no", "line")
+        lines = TrigramIndex(spark, o.index, version=["size", "mtime"]).search(docs, spec).join(docs.select("doc_id", "path"), "doc_id").select("path", "line_no", "line")
     else:
         lines = report.first_matches(docs, spec, "path") if plain else report.with_context(docs, spec, "path")
     lines = lines.orderBy("path", "line_no")

@@ -35,10 +35,12 @@ def distinct_trigrams(docs: DataFrame, key: str = "doc_id", text: str = "text")
 def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(trigram, key, loc_mask, next_mask). Binary documents are left out.
 
-    Each occurrence is a short row that is folded into its (document, trigram) before the shuffle.
+    The one exchange is of texts by key. It serves the grouping by (key, trigram) behind it, whose rows, one for each
+    occurrence and later a fifth of the text's bytes in postings, then never leave their task.
     """
     windows = F.regexp_extract_all(latin1(F.col(text)), F.lit("(?s)(?=(.{3,4}))"), F.lit(1))
-    each = docs.filter(not_binary(F.col(text))).select(key, F.posexplode(windows).alias("__pos", "__chars"))
+    dealt = docs.filter(not_binary(F.col(text))).select(key, text).repartition(key)
+    each = dealt.select(key, F.posexplode(windows).alias("__pos", "__chars"))
     at_end = F.length("__chars") == 3
     return (
         each.select(
@@ -47,8 +49,9 @@ def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
             F.expr("shiftleft(1, __pos % 8)").alias("__loc"),
             F.when(at_end, 255).otherwise(F.expr("shiftleft(1, ascii(substring(__chars, 4, 1)) % 8)")).alias("__next"),
         )
-        .groupBy("trigram", key)
+        .groupBy(key, "trigram")
         .agg(F.bit_or("__loc").alias("loc_mask"), F.bit_or("__next").alias("next_mask"))
+        .select("trigram", key, "loc_mask", "next_mask")
     )
 
 
@@ -62,8 +65,10 @@ def statistics(postings_: DataFrame, docs: DataFrame, key: str = "doc_id") -> Da
     return docs.agg(F.count(F.col(key)).alias("files")).crossJoin(per)  # one row each
 
 
-def snapshot(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, size, fingerprint): what staleness compares."""
+def snapshot(docs: DataFrame, key: str = "doc_id", text: str = "text", version: list[str] | None = None) -> DataFrame:
+    """(key, size, fingerprint): what staleness compares. With version columns (size and time of a file, say) texts aren't read."""
+    if version:
+        return docs.select(key, F.lit(0).cast("bigint").alias("size"), F.xxhash64(*version).alias("fingerprint"))
     return docs.select(key, F.octet_length(F.coalesce(F.col(text), F.lit(""))).cast("bigint").alias("size"), F.xxhash64(text).alias("fingerprint"))
 
 
@@ -136,8 +141,11 @@ def indexed_lines(docs: DataFrame, postings_: DataFrame, spec: SearchSpec, key:
 class TrigramIndex:
     """The index of one corpus in a folder: build, check, search; falls back to a full scan."""
 
-    def __init__(self, spark: SparkSession, path: str, key: str = "doc_id", text: str = "text"):
-        self.spark, self.path, self.key, self.text = spark, path.rstrip("/"), key, text
+    def __init__(self, spark: SparkSession, path: str, key: str = "doc_id", text: str = "text", version: list[str] | None = None):
+        self.spark, self.path, self.key, self.text, self.version = spark, path.rstrip("/"), key, text, version
+
+    def snapshot(self, docs: DataFrame) -> DataFrame:
+        return snapshot(docs, self.key, self.text, self.version)
 
     def build(self, docs: DataFrame, partitions: int | None = None) -> None:
         """Writes all tables; meta comes last and marks the index as whole."""
@@ -145,7 +153,7 @@ class TrigramIndex:
         made = postings(docs, self.key, self.text)
         dealt = made.repartitionByRange(partitions, "trigram", self.key) if partitions else made.repartitionByRange("trigram", self.key)
         dealt.sortWithinPartitions("trigram", self.key).write.mode("overwrite").parquet(f"{self.path}/postings")
-        snapshot(docs, self.key, self.text).write.mode("overwrite").parquet(f"{self.path}/files")
+        self.snapshot(docs).write.mode("overwrite").parquet(f"{self.path}/files")
         self.spark.createDataFrame([(VERSION,)], "version int").write.mode("overwrite").parquet(f"{self.path}/meta")
 
     def postings(self) -> DataFrame:
@@ -161,7 +169,7 @@ class TrigramIndex:
             return False
 
     def stale(self, docs: DataFrame) -> bool:
-        return not changes(self.files(), snapshot(docs, self.key, self.text), self.key).isEmpty()
+        return not changes(self.files(), self.snapshot(docs), self.key).isEmpty()
 
     def search(self, docs: DataFrame, spec: SearchSpec, rebuild: bool = True) -> DataFrame:
         """Matching lines. A missing, invalid or stale index is built anew, or, without rebuild, not used."""
@@ -173,11 +181,11 @@ class TrigramIndex:
 
     def refresh(self, docs: DataFrame) -> None:
         """Brings the index up to docs, extracting trigrams of new and changed documents only."""
-        diff = changes(self.files(), snapshot(docs, self.key, self.text), self.key)
+        diff = changes(self.files(), self.snapshot(docs), self.key)
         kept = self.postings().join(diff, self.key, "left_anti")
         fresh = postings(docs.join(diff.filter("change != 'removed'"), self.key, "left_semi"), self.key, self.text)
         merged = kept.unionByName(fresh.select(*kept.columns)).repartitionByRange("trigram", self.key).sortWithinPartitions("trigram", self.key)
         merged.write.mode("overwrite").parquet(f"{self.path}/postings-next")
-        snapshot(docs, self.key, self.text).write.mode("overwrite").parquet(f"{self.path}/files-next")
+        self.snapshot(docs).write.mode("overwrite").parquet(f"{self.path}/files-next")
         self.spark.read.parquet(f"{self.path}/postings-next").write.mode("overwrite").parquet(f"{self.path}/postings")
         self.spark.read.parquet(f"{self.path}/files-next").write.mode("overwrite").parquet(f"{self.path}/files")

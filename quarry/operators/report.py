@@ -45,12 +45,13 @@ def total(docs: DataFrame, spec: SearchSpec, text: str = "text") -> DataFrame:
 
 
 def first_matches(docs: DataFrame, spec: SearchSpec, key="doc_id", text: str = "text") -> DataFrame:
-    """matching_lines, the first max_count of each document."""
-    found = matching_lines(docs, spec, key, text)
+    """matching_lines, the first max_count of each document, cut off in the line array: no shuffle."""
     if spec.max_count is None:
-        return found
-    nth = F.row_number().over(Window.partitionBy(*_keys(key)).orderBy("line_no"))
-    return found.withColumn("__n", nth).filter(F.col("__n") <= spec.max_count).drop("__n")
+        return matching_lines(docs, spec, key, text)
+    early = may_match(F.col(text), spec)
+    numbered = F.transform(line_array(F.col(text)), lambda line, i: F.struct((i + 1).cast("bigint").alias("line_no"), line.alias("line")))
+    hits = F.slice(F.filter(numbered, lambda x: matches(x["line"], spec)), 1, spec.max_count)
+    return (docs if early is None else docs.filter(early)).select(*_keys(key), F.inline(hits))
 
 
 def with_context(docs: DataFrame, spec: SearchSpec, key="doc_id", text: str = "text") -> DataFrame:

@@ -87,6 +87,6 @@ def files(spark: SparkSession, roots: str | list[str] = ".", **how) -> DataFrame
 
 
 def as_documents(found: DataFrame) -> DataFrame:
-    """(doc_id, path, text): text files of files(); bytes that are no UTF-8 are read as U+FFFD; binary and empty files are left out."""
-    docs = found.filter(F.col("content").isNotNull() & (F.col("size") > 0)).select(F.xxhash64("path").alias("doc_id"), "path", F.expr("make_valid_utf8(cast(content as string))").alias("text"))
+    """(doc_id, path, text, size, mtime): text files of files(); bytes that are no UTF-8 are read as U+FFFD; binary and empty files are left out."""
+    docs = found.filter(F.col("content").isNotNull() & (F.col("size") > 0)).select(F.xxhash64("path").alias("doc_id"), "path", F.expr("make_valid_utf8(cast(content as string))").alias("text"), "size", "mtime")
     return docs.filter(not_binary(F.col("text")))

@@ -179,3 +179,17 @@ def test_plans_push_down(spark, tmp_path):
     assert "StringContains(text,line 7)" in plan and "other" not in plan and "Exchange" not in plan
     counted = report.counts(spark.read.parquet(str(tmp_path / "d")), S("line 7"))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in counted and "Generate" not in counted
+    capped = report.first_matches(spark.read.parquet(str(tmp_path / "d")), S("line", max_count=1))
+    assert "Exchange" not in capped._jdf.queryExecution().executedPlan().toString() and capped.count() == 100
+    made = postings(spark.read.parquet(str(tmp_path / "d")))._jdf.queryExecution().executedPlan().toString()
+    assert made.count("Exchange") == 1 and "other" not in made
+
+
+def test_staleness_by_version(spark, tmp_path):
+    rows = [(1, "abc TODO", 5), (2, "def", 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, v long")
+    index = TrigramIndex(spark, str(tmp_path / "index"), version=["v"])
+    index.build(docs)
+    assert not index.stale(docs) and index.stale(docs.withColumn("v", F.col("v") + 1))
+    plan = index.snapshot(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "text" not in plan.split("\n")[0]
