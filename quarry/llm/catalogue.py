@@ -19,7 +19,14 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     probe = spark.range(1).select(
         F.lit(-7).cast("long").alias("conv_id"),
-        F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("turn"), F.lit(r).alias("role"), F.lit(said).alias("text")) for i, r in enumerate(("user", "assistant"))])).alias("x"),
+        F.explode(
+            F.array(
+                *[
+                    F.struct(F.lit(i).cast("long").alias("turn"), F.lit(r).alias("role"), F.lit(said).alias("text")) for i,
+                    r in enumerate(("user", "assistant"))
+                ]
+            )
+        ).alias("x"),
     ).select("conv_id", "x.*")
     out = chat.format_chat(rows.unionByName(probe))
     back = out.withColumn("turns", chat.parsed(F.col("formatted"))).withColumn("loss", chat.loss_text(F.col("segments")))
@@ -67,7 +74,11 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     out = sharding.shard(
         meta,
-        {"lang_cell": sharding.quantised_name(F.col("lang"), 8), "source_cell": sharding.quantised_name(F.col("source"), 8), "size_cell": sharding.quantised_log(F.col("size"), 8)},
+        {
+            "lang_cell": sharding.quantised_name(F.col("lang"), 8),
+            "source_cell": sharding.quantised_name(F.col("source"), 8),
+            "size_cell": sharding.quantised_log(F.col("size"), 8),
+        },
         SHARDS, F.col("size"), key="row", group=F.col("same"),
     )
     return out.select(
@@ -94,7 +105,9 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     prints = out.groupBy("f0", "f1").agg(F.count("*").alias("__n"))
     hits = fingerprints.search(out.filter("doc_id % 50 = 0"), prints, radius=3)
     # itself and its copies count, as they lie within any radius
-    near = hits.join(prints, ["f0", "f1"]).groupBy(F.col("q0").alias("f0"), F.col("q1").alias("f1")).agg(F.sum("__n").alias("__near"))
+    near = hits.join(prints, ["f0", "f1"]).groupBy(
+        F.col("q0").alias("f0"), F.col("q1").alias("f1")
+    ).agg(F.sum("__n").alias("__near"))
     both = out.join(staged(near, "near"), ["f0", "f1"], "left")
     return both.select(
         "doc_id", "n_chars", "edited_sha256", near_dedup.hex_of(["f0", "f1"]).alias("fingerprint"), near_dedup.hex_of(["e0", "e1"]).alias("edited_fingerprint"),
@@ -109,7 +122,9 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, tokenised and packed into sequences of 4096 tokens."""
     import public_tokenizers
 
-    out = packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    out = packing.pack(
+        table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"), end_id=2
+    )
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
@@ -123,7 +138,9 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     item = F.struct("item_id", "coverage", "verbatim", "first_word", "last_word")
     held = staged(found.groupBy("doc_id").agg(F.sort_array(F.collect_list(item)).alias("items")), "leaks")
     return docs.select("doc_id").join(held, "doc_id", "left").select(
-        "doc_id", F.col("items").isNotNull().alias("contaminated"), F.coalesce(F.transform("items", lambda x: x["item_id"]), F.array().cast("array<bigint>")).alias("item_ids"), "items"
+        "doc_id", F.col("items").isNotNull().alias("contaminated"), F.coalesce(
+            F.transform("items", lambda x: x["item_id"]), F.array().cast("array<bigint>")
+        ).alias("item_ids"), "items"
     )
 
 
@@ -133,7 +150,12 @@ QUERIES["op4_decontamination"] = op4_decontamination
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the runs of lines, of 50 words or more, that stand in an earlier place."""
     out = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "text", F.aggregate("__removed", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["begin"] + 1).alias("n_removed"), F.col("__removed").alias("removed"))
+    return out.select(
+        "doc_id",
+        "text",
+        F.aggregate("__removed", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["begin"] + 1).alias("n_removed"),
+        F.col("__removed").alias("removed"),
+    )
 
 
 QUERIES["op6_line_dedup"] = op6_line_dedup
@@ -148,7 +170,14 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").filter(fold("doc_id", 5) != 0)
     out = toxicity.score(docs, toxicity.fit(docs, labels))
-    return out.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "neighbours", "cosines")
+    return out.select(
+        "doc_id",
+        (fold("doc_id", 5) == 0).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        "neighbours",
+        "cosines",
+    )
 
 
 QUERIES["op1_toxicity"] = op1_toxicity
@@ -159,7 +188,15 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").filter(fold("doc_id", 4) != 2)
     out = quality.score(docs, quality.fit(docs, labels))
-    return out.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "n_passages", "top_passage", "top_attention")
+    return out.select(
+        "doc_id",
+        (fold("doc_id", 4) == 2).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"),
+        "n_passages",
+        "top_passage",
+        "top_attention",
+    )
 
 
 QUERIES["op2_quality"] = op2_quality

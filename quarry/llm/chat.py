@@ -26,7 +26,14 @@ def unescaped(text: Column) -> Column:
     return F.regexp_replace(text, rf"([<\[])\\(\\*){CONTROL}", r"$1$2$3")
 
 
-def format_chat(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", loss_role: str = "assistant") -> DataFrame:
+def format_chat(
+    rows: DataFrame,
+    conv: str = "conv_id",
+    turn: str = "turn",
+    role: str = "role",
+    text: str = "text",
+    loss_role: str = "assistant",
+) -> DataFrame:
     """(conv, n_turns, n_blocks, formatted, segments) for every conversation of rows.
 
     segments is an array of (text, loss) structs whose texts, joined, are `formatted`; loss marks
@@ -39,7 +46,11 @@ def format_chat(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role
     """
     turns = rows.select(
         F.col(conv).alias("__conv"),
-        F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).alias("__turn"),
+        F.struct(
+            F.col(turn).alias("turn"),
+            F.coalesce(F.col(role).cast("string"), F.lit("")).alias("role"),
+            F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"),
+        ).alias("__turn"),
     )
     sorted_ = turns.groupBy("__conv").agg(F.array_sort(F.collect_list("__turn")).alias("t"))
     n = F.size("t")
@@ -61,7 +72,9 @@ def format_chat(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role
         )
 
     out = sorted_.withColumn("segments", F.filter(F.flatten(F.transform("t", pieces)), lambda s: s["text"] != ""))
-    starts = F.aggregate(F.transform("t", lambda x, i: opens(i.cast("int")).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
+    starts = F.aggregate(
+        F.transform("t", lambda x, i: opens(i.cast("int")).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x
+    )
     return out.select(
         F.col("__conv").alias(conv),
         n.cast("long").alias("n_turns"),

@@ -33,8 +33,12 @@ MAX_SENT = 2_000_000
 MEMO = 300_000
 
 #: Number words and units.
-NUMBERS = frozenset("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split())
-UNITS = frozenset("% percent km kilometer kilometers kilometre kilometres m meter meters metre metres cm mm mile miles foot feet ft inch inches yard yards kg kilogram kilograms g gram grams mg lb lbs pound pounds ounce ounces oz ton tons l liter liters litre litres ml gallon gallons s sec second seconds min minute minutes h hour hours day days week weeks month months year years dollar dollars cent cents euro euros degree degrees mph kmh".split())
+NUMBERS = frozenset(
+    "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split()
+)
+UNITS = frozenset(
+    "% percent km kilometer kilometers kilometre kilometres m meter meters metre metres cm mm mile miles foot feet ft inch inches yard yards kg kilogram kilograms g gram grams mg lb lbs pound pounds ounce ounces oz ton tons l liter liters litre litres ml gallon gallons s sec second seconds min minute minutes h hour hours day days week weeks month months year years dollar dollars cent cents euro euros degree degrees mph kmh".split()
+)
 _NUMBER = re.compile(r"[+\-]?[$€£]?\d[\d.,:/]*\w{0,3}%?")
 _ENDING = tuple(".!?:;")
 _OUTER = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c not in "%$") + "“”‘’«»„…–—¿¡·"
@@ -75,7 +79,9 @@ class _Words(dict):
         return at
 
 
-def _windows(kind: np.ndarray, own: np.ndarray, at: np.ndarray, form: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _windows(
+    kind: np.ndarray, own: np.ndarray, at: np.ndarray, form: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     n = len(at) - WINDOW + 1
     if n <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, bool), kind, at
@@ -169,7 +175,9 @@ def template_windows(rows: DataFrame, key: str, text: str, sent: np.ndarray | No
             if found:
                 yield out()
 
-    return rows.select(key, F.col(text).cast("string").alias("__text")).mapInArrow(run, f"`{key}` {kind_of}, form int, pos int, window bigint, slots string, n int")
+    return rows.select(key, F.col(text).cast("string").alias("__text")).mapInArrow(
+        run, f"`{key}` {kind_of}, form int, pos int, window bigint, slots string, n int"
+    )
 
 
 def judge(hits: list[tuple], n: int, coverage: float) -> tuple | None:
@@ -207,7 +215,16 @@ def judge(hits: list[tuple], n: int, coverage: float) -> tuple | None:
     return min(1.0, best[0] / n), same >= total, hits[best[1]][0], hits[best[2]][0] + WINDOW - 1
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", coverage: float = COVERAGE, max_sent: int = MAX_SENT) -> DataFrame:
+def leaks(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    item_key: str = "item_id",
+    item_text: str = "text",
+    coverage: float = COVERAGE,
+    max_sent: int = MAX_SENT,
+) -> DataFrame:
     """(key, item, coverage, verbatim, first_word, last_word): each benchmark item that a document holds.
 
     Both keys have to be integers; rows whose key or text is null hold nothing and are no item; texts and items of fewer than five
@@ -222,8 +239,25 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
     if count <= max_sent:
         sent = np.unique(np.array([r[0] for r in items.select("window").distinct().collect()], np.int64).view(np.uint64))
     mine = template_windows(docs.filter(F.col(key).isNotNull()), key, text, sent)
-    theirs = items.select(F.col(item_key).alias("__item"), "form", F.col("pos").alias("__pos"), "window", F.col("slots").alias("__slots"), F.col("n").alias("__n"))
-    both = mine.join(theirs, ["window", "form"]).select(F.xxhash64(key, "__item").alias("__pair"), F.col(key).cast("long").alias("__key"), F.col("__item").cast("long").alias("__item"), "form", "__n", "pos", "__pos", "slots", "__slots")
+    theirs = items.select(
+        F.col(item_key).alias("__item"),
+        "form",
+        F.col("pos").alias("__pos"),
+        "window",
+        F.col("slots").alias("__slots"),
+        F.col("n").alias("__n"),
+    )
+    both = mine.join(theirs, ["window", "form"]).select(
+        F.xxhash64(key, "__item").alias("__pair"),
+        F.col(key).cast("long").alias("__key"),
+        F.col("__item").cast("long").alias("__item"),
+        "form",
+        "__n",
+        "pos",
+        "__pos",
+        "slots",
+        "__slots",
+    )
 
     def work(part: pa.Table):
         rows = defaultdict(list)
@@ -236,7 +270,19 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
                 best[k, item] = found
         out = [(*pair, *found) for pair, found in best.items()]
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.bool_(), pa.int64(), pa.int64()), strict=True)], ["key", "item", "coverage", "verbatim", "first_word", "last_word"])
-
-    out = grouped(both, "__pair", work, "key bigint, item bigint, coverage double, verbatim boolean, first_word bigint, last_word bigint")
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(c, t) for c,
+                    t in zip(
+                        zip(*out, strict=True),
+                        (pa.int64(), pa.int64(), pa.float64(), pa.bool_(), pa.int64(), pa.int64()),
+                        strict=True,
+                    )
+                ],
+                ["key", "item", "coverage", "verbatim", "first_word", "last_word"],
+            )
+
+    out = grouped(
+        both, "__pair", work, "key bigint, item bigint, coverage double, verbatim boolean, first_word bigint, last_word bigint"
+    )
     return out.withColumnRenamed("key", key).withColumnRenamed("item", item_key)

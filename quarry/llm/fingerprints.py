@@ -92,10 +92,28 @@ def edit_robustness(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
                 first, before = first or now, now
             if pairs:
                 n = len(pairs)
-                yield pa.RecordBatch.from_arrays([pa.array(keys, keys_type), *_compared(pairs), pa.array([part] * n, pa.int32()), pa.array([0] * n, pa.int32()), pa.nulls(n, pa.string())], names)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(keys, keys_type),
+                        *_compared(pairs),
+                        pa.array([part] * n, pa.int32()),
+                        pa.array([0] * n, pa.int32()),
+                        pa.nulls(n, pa.string()),
+                    ],
+                    names,
+                )
         if first:
             empty = [pa.nulls(2, x) for x in (pa.int64(), pa.string(), *[pa.int64()] * 4, pa.float64(), pa.float64())]
-            yield pa.RecordBatch.from_arrays([pa.array([first[0], before[0]], keys_type), *empty, pa.array([part] * 2, pa.int32()), pa.array([1, 2], pa.int32()), pa.array([first[1], before[1]], pa.string())], names)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([first[0], before[0]], keys_type),
+                    *empty,
+                    pa.array([part] * 2, pa.int32()),
+                    pa.array([1, 2], pa.int32()),
+                    pa.array([first[1], before[1]], pa.string()),
+                ],
+                names,
+            )
 
     rows = docs.select(F.col(key), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__t"))
     # the exchange samples its keys to the driver, so a text is ordered by its hash
@@ -106,13 +124,18 @@ def edit_robustness(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     w = Window.orderBy("__part")
     follow = heads.select(
         "__part",
-        F.coalesce(F.lead("__head").over(w), F.first("__head").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("__next"),
+        F.coalesce(
+            F.lead("__head").over(w), F.first("__head").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+        ).alias("__next"),
     )
     tails = seen.filter("__edge = 2").select(key, "__part", "__text").join(follow, "__part").select(key, "__text", "__next")
 
     def last(batches):
         for batch in batches:
-            pairs = [(t, fingerprint(t), o, fingerprint(o)) for t, o in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            pairs = [
+                (t, fingerprint(t), o, fingerprint(o)) for t,
+                o in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)
+            ]
             yield pa.RecordBatch.from_arrays([batch.column(0), *_compared(pairs)], names[:-3])
 
     ends = tails.mapInArrow(last, f"`{key}` {kind}, {_FIELDS}")

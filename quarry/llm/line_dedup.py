@@ -88,7 +88,13 @@ def line_windows(docs: DataFrame, key: str, text: str, min_words: int) -> DataFr
                     rows = pa.array(np.concatenate(rows))
                     begin, end, *hashes = (np.concatenate(x) for x in zip(*found, strict=True))
                     yield pa.RecordBatch.from_arrays(
-                        [part.column(0).take(rows), part.column(1).take(rows), pa.array(begin.astype(np.int32)), pa.array(end.astype(np.int32)), *[pa.array(h.view(np.int64)) for h in hashes]], names
+                        [
+                            part.column(0).take(rows),
+                            part.column(1).take(rows),
+                            pa.array(begin.astype(np.int32)),
+                            pa.array(end.astype(np.int32)),
+                            *[pa.array(h.view(np.int64)) for h in hashes],
+                        ], names
                     )
 
     rows = docs.select(key, F.xxhash64(text).alias("__same"), F.col(text).cast("binary").alias("__text"))
@@ -121,9 +127,13 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_wo
     keep what the first keeps. An empty table gives no rows.
     """
     columns = docs.columns
-    runs = staged(repeated_runs(docs, key, text, min_words), "runs").withColumnsRenamed({key: "__key", "__same": "__other", "runs": "__runs"})
+    runs = staged(repeated_runs(docs, key, text, min_words), "runs").withColumnsRenamed(
+        {key: "__key", "__same": "__other", "runs": "__runs"}
+    )
     # always by exchange and merge: which documents lose lines grows with the corpus, so it is no side to broadcast
-    joined = docs.withColumn("__same", F.xxhash64(text)).join(runs.hint("merge"), F.col(key).eqNullSafe(F.col("__key")) & (F.col("__same") == F.col("__other")), "left")
+    joined = docs.withColumn("__same", F.xxhash64(text)).join(
+        runs.hint("merge"), F.col(key).eqNullSafe(F.col("__key")) & (F.col("__same") == F.col("__other")), "left"
+    )
     def cut(batches):
         for batch in batches:
             texts, removed = [], []
@@ -142,8 +152,15 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_wo
                     t = "\n".join(kept + lines[at:])
                 texts.append(t)
                 removed.append([{"begin": a, "end": b} for a, b in spans])
-            arrays = {c: batch.column(c) for c in columns} | {text: pa.array(texts, pa.string()), "__removed": pa.array(removed, pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())])))}
+            arrays = {c: batch.column(c) for c in columns} | {
+                text: pa.array(texts, pa.string()),
+                "__removed": pa.array(removed, pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))),
+            }
             yield pa.RecordBatch.from_arrays(list(arrays.values()), list(arrays))
 
-    schema = T.StructType([T.StructField(f.name, T.StringType() if f.name == text else f.dataType) for f in docs.schema] + [T.StructField("__removed", RUNS)])
+    schema = T.StructType(
+        [
+            T.StructField(f.name, T.StringType() if f.name == text else f.dataType) for f in docs.schema
+        ] + [T.StructField("__removed", RUNS)]
+    )
     return joined.select(*columns, "__runs").mapInArrow(cut, schema)

@@ -71,7 +71,9 @@ def chunks_of(words: list[bytes]) -> list[int]:
     return [h - (h >> 63 << 64) for h in sorted(out)[:SAMPLE]]
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, bits: int = 64, chunks: bool = False) -> DataFrame:
+def fingerprints(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, bits: int = 64, chunks: bool = False
+) -> DataFrame:
     """(key, w0, w1, ...) for every row: the fingerprint's words as longs, w0 the most significant; with `chunks`, also the sampled
     chunks' hashes. Null text: as empty, zero, no chunks."""
     if bits not in (64, 128, 256, 512):
@@ -96,7 +98,10 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
 def block_keys(word: Column, radius: int, bits: int = 64) -> list[Column]:
     """radius + 1 keys of which two words within the radius share one: block number and block."""
     cuts = [bits * i // (radius + 1) for i in range(radius + 2)]
-    return [F.shiftrightunsigned(word, a).bitwiseAND((1 << (b - a)) - 1) * (radius + 1) + i for i, (a, b) in enumerate(zip(cuts, cuts[1:]))]
+    return [
+        F.shiftrightunsigned(word, a).bitwiseAND((1 << (b - a)) - 1) * (radius + 1) + i for i,
+        (a, b) in enumerate(zip(cuts, cuts[1:]))
+    ]
 
 
 def keyed_by_blocks(nodes: DataFrame, radius: int, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -116,7 +121,9 @@ def keyed_by_blocks(nodes: DataFrame, radius: int, hot_rows: int = HOT_ROWS) ->
     # the other bits of the word, closed up
     rest = F.array(
         *[
-            (F.shiftleft(F.shiftrightunsigned("w0", b), a) if b < 64 else F.lit(0).cast("long")).bitwiseOR(F.col("w0").bitwiseAND((1 << a) - 1))
+            (
+                F.shiftleft(F.shiftrightunsigned("w0", b), a) if b < 64 else F.lit(0).cast("long")
+            ).bitwiseOR(F.col("w0").bitwiseAND((1 << a) - 1))
             for a, b in zip(cuts, cuts[1:])
         ]
     )[F.col("__block")]
@@ -136,8 +143,12 @@ def keyed_by_chunks(nodes: DataFrame, words: list[str], hot_nodes: int = HOT_NOD
     """
     each = nodes.select("node", F.size("chunks").alias("__size"), F.explode("chunks").alias("chunk"))
     shared = each.groupBy("chunk").agg(F.count("*").alias("__df")).filter("__df > 1")
-    known = each.join(shared, "chunk").groupBy("node").agg(F.first("__size").alias("__size"), F.sort_array(F.collect_list(F.struct("__df", "chunk"))).alias("__known"))
-    able = known.filter(F.size("__known") >= F.ceil(F.col("__size") * MIN_SHARED)).select("node", F.explode(F.slice("__known", 1, RAREST)).alias("__c"))
+    known = each.join(shared, "chunk").groupBy("node").agg(
+        F.first("__size").alias("__size"), F.sort_array(F.collect_list(F.struct("__df", "chunk"))).alias("__known")
+    )
+    able = known.filter(F.size("__known") >= F.ceil(F.col("__size") * MIN_SHARED)).select(
+        "node", F.explode(F.slice("__known", 1, RAREST)).alias("__c")
+    )
     met = able.select("node", F.col("__c.chunk").alias("chunk"))
     size = met.groupBy("chunk").agg(F.count("*").alias("__n")).filter("__n > 1")
     keyed = staged(met.join(size, "chunk").join(nodes.select("node", *words), "node"), "met")
@@ -167,7 +178,9 @@ def links(keyed: DataFrame, words: list[str], radius: int) -> DataFrame:
     return grouped(keyed, "key", work, "u bigint, v bigint")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, bits: int = 256, radius: int = 48) -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, bits: int = 256, radius: int = 48
+) -> DataFrame:
     """(key, w0, ..., component) for every row of docs; component is the smallest key that its links reach.
 
     Two documents link if their fingerprints differ in at most `radius` bits. With 64 bits every link is found. The default, 48 of 256 bits of

@@ -189,7 +189,15 @@ class Packer:
             left -= size
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int, key: str = "doc_id", text: str = "text", length: int = LENGTH, max_open: int = MAX_OPEN) -> DataFrame:
+def pack(
+    docs: DataFrame,
+    tokenizer: str,
+    end_id: int,
+    key: str = "doc_id",
+    text: str = "text",
+    length: int = LENGTH,
+    max_open: int = MAX_OPEN,
+) -> DataFrame:
     """(key, start, length, ids, doc_tokens, sequence_id, offset): one row for each piece of a document.
 
     ids are little-endian unsigned 32-bit integers. Every document ends with end_id, so a null or empty text is one piece with that id alone.
@@ -218,13 +226,25 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, key: str = "doc_id", text
             packer.closed = []
             for i in range(0, len(rows), 2048):
                 cols = list(zip(*rows[i : i + 2048], strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (keys_type, pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(c, t) for c,
+                        t in zip(
+                            cols,
+                            (keys_type, pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()),
+                            strict=True,
+                        )
+                    ],
+                    names,
+                )
 
         for batch in batches:
             keys_type = batch.schema.field(0).type
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                for doc, ids in zip(part.column(0).to_pylist(), encoder(tokenizer).encode(part.column(1).to_pylist()), strict=True):
+                for doc, ids in zip(
+                    part.column(0).to_pylist(), encoder(tokenizer).encode(part.column(1).to_pylist()), strict=True
+                ):
                     ids += end
                     packer.add((doc, len(ids) // 4), ids)
                 yield from out()
@@ -233,4 +253,6 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, key: str = "doc_id", text
             yield from out()
 
     rows = docs.select(key, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__text"))
-    return rows.mapInArrow(run, f"`{key}` {kind}, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint")
+    return rows.mapInArrow(
+        run, f"`{key}` {kind}, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
+    )

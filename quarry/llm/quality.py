@@ -95,7 +95,15 @@ class Model:
         dtg = de[:, None] * p["w"]
         dt, dg = dtg * g * (1 - t * t), dtg * t * g * (1 - g)
         du = (a[:, None] * dz + dt @ p["V"].T + dg @ p["U"].T) * (1 - h * h)
-        return {"W": x.T @ du, "b": du.sum(0), "V": h.T @ dt, "U": h.T @ dg, "w": (t * g).T @ de, "c": f["z"].T @ ds, "c0": ds.sum(keepdims=True)}
+        return {
+            "W": x.T @ du,
+            "b": du.sum(0),
+            "V": h.T @ dt,
+            "U": h.T @ dg,
+            "w": (t * g).T @ de,
+            "c": f["z"].T @ ds,
+            "c0": ds.sum(keepdims=True),
+        }
 
 
 def train(bags: list[np.ndarray], y: np.ndarray, weight: np.ndarray, prior: float) -> Model:
@@ -123,15 +131,22 @@ def train(bags: list[np.ndarray], y: np.ndarray, weight: np.ndarray, prior: floa
                 dk = grad[k] + DECAY * v
                 first[k] = 0.9 * first[k] + 0.1 * dk
                 second[k] = 0.999 * second[k] + 0.001 * dk * dk
-                v -= RATE * 0.5 * (1 + np.cos(np.pi * epoch / EPOCHS)) * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
+                v -= RATE * 0.5 * (1 + np.cos(np.pi * epoch / EPOCHS)) * (first[k] / (1 - 0.9**step)) / (
+                    np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8
+                )
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", max_bags: int = MAX_BAGS) -> Model:
+def fit(
+    docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", max_bags: int = MAX_BAGS
+) -> Model:
     """Learns from at most max_bags rows of labels(key, label) for each label, drawn by a hash of the key and weighed by their
     label's share. Rows with a null key or label, or without a document, teach nothing; of several labels of one key the
     largest holds. Without documents of both labels every score is the smoothed share of label 1."""
-    known = staged(labels.filter(F.col(key).isNotNull() & F.col(label).isin(0, 1)).groupBy(key).agg(F.max(label).cast("int").alias("__y")), "labels")
+    known = staged(
+        labels.filter(F.col(key).isNotNull() & F.col(label).isin(0, 1)).groupBy(key).agg(F.max(label).cast("int").alias("__y")),
+        "labels",
+    )
     counted = {r["__y"]: r["count"] for r in known.groupBy("__y").count().collect()}
     # bounded by 2 * max_bags rows
     drawn = [known.filter(F.col("__y") == v).orderBy(F.xxhash64(key), key).limit(max_bags) for v in (0, 1)]
@@ -140,7 +155,9 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     def bags(batches):
         for batch in batches:
             found = [passages(t or b"") for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f.astype("<f4").tobytes() for f in found], pa.binary())], [key, "bag"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([f.astype("<f4").tobytes() for f in found], pa.binary())], [key, "bag"]
+            )
 
     kind = docs.schema[key].dataType.simpleString()
     texts = docs.select(key, F.col(text).cast("binary").alias("__text")).join(F.broadcast(picked.select(key)), key, "left_semi")
@@ -150,7 +167,12 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     have = Counter(y.tolist())
     weight = np.array([counted[int(v)] / have[v] for v in y])
     prior = (counted.get(1, 0) + 1) / (sum(counted.values()) + 2)
-    return train([np.frombuffer(r[2], "<f4").reshape(-1, FEATURES) for r in rows], y, weight / weight.mean() if len(weight) else weight, prior)
+    return train(
+        [np.frombuffer(r[2], "<f4").reshape(-1, FEATURES) for r in rows],
+        y,
+        weight / weight.mean() if len(weight) else weight,
+        prior,
+    )
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -170,8 +192,16 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
                 scores = f["score"] if model.trained else np.full(len(bags), model.prior)
                 tops = [int(np.argmax(f["a"][s : s + n])) for s, n in zip(starts, f["count"], strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(scores, pa.float64()), pa.array(f["count"], pa.int64()), pa.array(tops, pa.int64()), pa.array([float(f["a"][s + t]) for s, t in zip(starts, tops, strict=True)], pa.float64())],
+                    [
+                        part.column(0),
+                        pa.array(scores, pa.float64()),
+                        pa.array(f["count"], pa.int64()),
+                        pa.array(tops, pa.int64()),
+                        pa.array([float(f["a"][s + t]) for s, t in zip(starts, tops, strict=True)], pa.float64()),
+                    ],
                     [key, "score", "n_passages", "top_passage", "top_attention"],
                 )
 
-    return docs.select(key, F.col(text).cast("binary").alias("__text")).mapInArrow(run, f"`{key}` {kind}, score double, n_passages bigint, top_passage bigint, top_attention double")
+    return docs.select(key, F.col(text).cast("binary").alias("__text")).mapInArrow(
+        run, f"`{key}` {kind}, score double, n_passages bigint, top_passage bigint, top_attention double"
+    )

@@ -84,7 +84,16 @@ def quantised_name(value: Column, bits: int) -> Column:
     return F.when(value.isNull(), 0).otherwise(F.pmod(F.xxhash64(value), F.lit(1 << bits))).cast("long")
 
 
-def shard(docs: DataFrame, dims: dict[str, Column], shards: int, size: Column, key: str = "doc_id", group: Column | None = None, bits: int = 8, law: str = "rows") -> DataFrame:
+def shard(
+    docs: DataFrame,
+    dims: dict[str, Column],
+    shards: int,
+    size: Column,
+    key: str = "doc_id",
+    group: Column | None = None,
+    bits: int = 8,
+    law: str = "rows",
+) -> DataFrame:
     """(key, size, shard, slot, curve and one quantised column each) for every row of docs.
 
     law "rows": counts at most one apart. law "bytes": a row goes to the shard that its middle byte
@@ -110,15 +119,24 @@ def shard(docs: DataFrame, dims: dict[str, Column], shards: int, size: Column, k
     )
     if not alone:
         least = meta.filter("__group is not null").groupBy("__group").agg(F.min(F.struct(*names)).alias("__least"))
-        meta = meta.join(least, "__group", "left").withColumns({n: F.coalesce(F.col(f"__least.{n}"), F.col(n)) for n in names}).drop("__least")
+        meta = meta.join(least, "__group", "left").withColumns(
+            {n: F.coalesce(F.col(f"__least.{n}"), F.col(n)) for n in names}
+        ).drop("__least")
     meta = meta.withColumn("__curve", hilbert_index([F.col(n) for n in names], bits))
     order = ["__curve", "__group", "__key", "__size"]
     runs = meta.repartitionByRange(*order).sortWithinPartitions(*order)
     # ids count up within a partition in the order of its rows; the partition's number is in the upper bits
-    runs = staged(runs.withColumn("__id", F.monotonically_increasing_id()).withColumn("__part", F.shiftright("__id", 33)).withColumn("__at", F.col("__id").bitwiseAND((1 << 33) - 1)), "shard-order")
+    runs = staged(
+        runs.withColumn("__id", F.monotonically_increasing_id()).withColumn("__part", F.shiftright("__id", 33)).withColumn(
+            "__at", F.col("__id").bitwiseAND((1 << 33) - 1)
+        ),
+        "shard-order",
+    )
     totals = runs.groupBy("__part").agg(F.count("*").alias("__n"), F.sum("__size").alias("__bytes"))
     parts = totals.agg(
-        F.array_sort(F.collect_list(F.struct("__part", "__n", "__bytes"))).alias("p"), F.sum("__n").alias("__rows"), F.sum("__bytes").alias("__all_bytes")
+        F.array_sort(
+            F.collect_list(F.struct("__part", "__n", "__bytes"))
+        ).alias("p"), F.sum("__n").alias("__rows"), F.sum("__bytes").alias("__all_bytes")
     )
     offsets = parts.select(
         "__rows",
@@ -134,7 +152,9 @@ def shard(docs: DataFrame, dims: dict[str, Column], shards: int, size: Column, k
                 lambda acc, x: F.struct(
                     (acc["n"] + x["__n"]).alias("n"),
                     (acc["b"] + x["__bytes"]).alias("b"),
-                    F.concat(acc["out"], F.array(F.struct(x["__part"].alias("part"), acc["n"].alias("n0"), acc["b"].alias("b0")))).alias("out"),
+                    F.concat(
+                        acc["out"], F.array(F.struct(x["__part"].alias("part"), acc["n"].alias("n0"), acc["b"].alias("b0")))
+                    ).alias("out"),
                 ),
                 lambda acc: acc["out"],
             )
@@ -151,9 +171,17 @@ def shard(docs: DataFrame, dims: dict[str, Column], shards: int, size: Column, k
     else:
         before = F.sum("__size").over(Window.partitionBy("__part").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1))
         middle = (F.col("__b0") + F.coalesce(before, F.lit(0))).cast("decimal(38,0)") * 2 + F.col("__size")
-        placed = placed.withColumn("shard", F.least(F.floor(middle * shards / (F.greatest(F.col("__all_bytes"), F.lit(1)).cast("decimal(20,0)") * 2)), F.lit(shards - 1)).cast("int"))
+        placed = placed.withColumn(
+            "shard",
+            F.least(
+                F.floor(middle * shards / (F.greatest(F.col("__all_bytes"), F.lit(1)).cast("decimal(20,0)") * 2)),
+                F.lit(shards - 1),
+            ).cast("int"),
+        )
         cut = staged(placed.groupBy("shard").agg(F.min(F.col("__n0") + F.col("__at")).alias("__first")), "shard-cuts")
         placed = placed.join(F.broadcast(cut), "shard").withColumn("slot", F.col("__n0") + F.col("__at") - F.col("__first"))
     return placed.select(
-        F.col("__key").alias(key), F.col("__size").alias("size"), F.col("shard"), F.col("slot").cast("long").alias("slot"), F.col("__curve").alias("curve"), F.col("__group").alias("group"), *[F.col(f"__d_{n}").alias(n) for n in dims]
+        F.col("__key").alias(key), F.col("__size").alias("size"), F.col("shard"), F.col("slot").cast("long").alias("slot"), F.col("__curve").alias("curve"), F.col("__group").alias("group"), *[
+            F.col(f"__d_{n}").alias(n) for n in dims
+        ]
     )

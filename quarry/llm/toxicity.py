@@ -185,7 +185,9 @@ def signatures(terms: list[str]) -> list[int]:
     words = words if len(words) >= 8 else terms
     out = []
     for seed in (1, 2):
-        least = sorted(xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), seed) for w in words)[: 3 if len(words) >= 8 else None]
+        least = sorted(
+            xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), seed) for w in words
+        )[: 3 if len(words) >= 8 else None]
         out.append(xxhash.xxh64_intdigest(str(least)) >> 1)
     return out
 
@@ -197,7 +199,12 @@ def telling_terms(examples: DataFrame, max_terms: int = MAX_TERMS) -> list[str]:
     max_terms at most, come to the driver.
     """
     first = [F.row_number().over(Window.partitionBy("__y", F.col("signs")[i]).orderBy("__order")) == 1 for i in (0, 1)]
-    own = staged(examples.withColumn("__one", first[0] & first[1]).filter("__one").select("__y", F.explode("terms").alias("term"), "__order"), "example-terms")
+    own = staged(
+        examples.withColumn("__one", first[0] & first[1]).filter("__one").select(
+            "__y", F.explode("terms").alias("term"), "__order"
+        ),
+        "example-terms",
+    )
     size = {r["__y"]: r["n"] for r in own.groupBy("__y").agg(F.countDistinct("__order").alias("n")).collect()}
     if not size.get(0) or not size.get(1):
         return []
@@ -210,8 +217,12 @@ def telling_terms(examples: DataFrame, max_terms: int = MAX_TERMS) -> list[str]:
     def part(k, expected):
         return F.when(k > 0, k * F.log(k / expected)).otherwise(0.0)
 
-    g = 2 * (part(F.col("k0"), n0 * p) + part(F.col("k1"), n1 * p) + part(n0 - F.col("k0"), n0 * (1 - p)) + part(n1 - F.col("k1"), n1 * (1 - p)))
-    told = counted.filter(F.greatest(share0, share1) >= MIN_LIFT * F.least(share0, share1)).withColumn("g", F.round(g, 9)).filter(F.col("g") >= least)
+    g = 2 * (
+        part(F.col("k0"), n0 * p) + part(F.col("k1"), n1 * p) + part(n0 - F.col("k0"), n0 * (1 - p)) + part(n1 - F.col("k1"), n1 * (1 - p))
+    )
+    told = counted.filter(
+        F.greatest(share0, share1) >= MIN_LIFT * F.least(share0, share1)
+    ).withColumn("g", F.round(g, 9)).filter(F.col("g") >= least)
     return [r.term for r in told.orderBy(F.col("g").desc(), "term").limit(max_terms).collect()]
 
 
@@ -230,7 +241,13 @@ def fit_curve(raw: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, flo
     return max(float(beta[0]), 1e-3), float(beta[1])
 
 
-def build(examples: list[tuple[int, int, list[str], list[int]]], shares: tuple[int, int], terms: list[str], frequency: dict[str, int], n_docs: int) -> Model:
+def build(
+    examples: list[tuple[int, int, list[str], list[int]]],
+    shares: tuple[int, int],
+    terms: list[str],
+    frequency: dict[str, int],
+    n_docs: int,
+) -> Model:
     """examples: (id, label, terms of the vocabulary, counts); shares: how many labels of 0 and 1 there are in all."""
     vocabulary = Vocabulary(terms)
     place = vocabulary.place
@@ -251,7 +268,11 @@ def build(examples: list[tuple[int, int, list[str], list[int]]], shares: tuple[i
     model = Model(vocabulary, idf, np.zeros(0), np.zeros(0), np.zeros(0, np.int64), prior, empty)
     made = [(model.vector(c), i, y) for i, y, c in rows]
     # alike examples in one block: by their heaviest terms, then by content; keeps the blocks' bounds tight
-    made.sort(key=lambda m: ([int(x) for x in m[0][0][np.argsort(-m[0][1], kind="stable")][:3]], m[0][0].tolist(), m[0][1].tolist(), m[2]))
+    made.sort(
+        key=lambda m: (
+            [int(x) for x in m[0][0][np.argsort(-m[0][1], kind="stable")][:3]], m[0][0].tolist(), m[0][1].tolist(), m[2]
+        )
+    )
     model.ids = np.array([m[1] for m in made], np.int64)
     model.labels = np.array([m[2] for m in made], float)
     model.weights = np.array([weight[m[2]] for m in made])
@@ -270,11 +291,18 @@ def document_terms(docs: DataFrame, key: str, text: str) -> DataFrame:
         for batch in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
             found = [terms_of(t or "") for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([list(c) for c in found], pa.list_(pa.string())), pa.array([list(c.values()) for c in found], pa.list_(pa.int32())), pa.array([signatures(list(c)) for c in found], pa.list_(pa.int64()))],
+                [
+                    batch.column(0),
+                    pa.array([list(c) for c in found], pa.list_(pa.string())),
+                    pa.array([list(c.values()) for c in found], pa.list_(pa.int32())),
+                    pa.array([signatures(list(c)) for c in found], pa.list_(pa.int64())),
+                ],
                 [key, "terms", "counts", "signs"],
             )
 
-    return docs.select(key, F.col(text).cast("string").alias("__text")).mapInArrow(run, f"`{key}` {kind}, terms array<string>, counts array<int>, signs array<bigint>")
+    return docs.select(key, F.col(text).cast("string").alias("__text")).mapInArrow(
+        run, f"`{key}` {kind}, terms array<string>, counts array<int>, signs array<bigint>"
+    )
 
 
 def restricted(examples: DataFrame, key: str, terms: list[str]) -> DataFrame:
@@ -283,10 +311,23 @@ def restricted(examples: DataFrame, key: str, terms: list[str]) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            kept = [[(t, n) for t, n in zip(ts, ns, strict=True) if t in known] for ts, ns in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([[t for t, _ in k] for k in kept], pa.list_(pa.string())), pa.array([[n for _, n in k] for k in kept], pa.list_(pa.int32()))], [key, "__y", "terms", "counts"])
+            kept = [
+                [(t, n) for t, n in zip(ts, ns, strict=True) if t in known] for ts,
+                ns in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0),
+                    batch.column(1),
+                    pa.array([[t for t, _ in k] for k in kept], pa.list_(pa.string())),
+                    pa.array([[n for _, n in k] for k in kept], pa.list_(pa.int32())),
+                ],
+                [key, "__y", "terms", "counts"],
+            )
 
-    return examples.select(key, "__y", "terms", "counts").mapInArrow(run, f"`{key}` {kind}, __y int, terms array<string>, counts array<int>")
+    return examples.select(key, "__y", "terms", "counts").mapInArrow(
+        run, f"`{key}` {kind}, __y int, terms array<string>, counts array<int>"
+    )
 
 
 def document_frequencies(docs: DataFrame, text: str, terms: list[str]) -> tuple[dict[str, int], int]:
@@ -300,29 +341,47 @@ def document_frequencies(docs: DataFrame, text: str, terms: list[str]) -> tuple[
             for t in batch.column(0).to_pylist():
                 for i in vocabulary.counts(t) if t else ():
                     total[i] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(np.arange(len(terms)), -1)), pa.array(np.append(total, rows))], ["term", "n"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.append(np.arange(len(terms)), -1)), pa.array(np.append(total, rows))], ["term", "n"]
+        )
 
     # as many rows as there are terms in the vocabulary, whatever the data
-    found = {r.term: r.n for r in docs.select(F.col(text).cast("string")).mapInArrow(run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    found = {
+        r.term: r.n for r in docs.select(F.col(text).cast("string")).mapInArrow(run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    }
     return {t: found.get(i, 0) for t, i in vocabulary.place.items()}, found.get(-1, 0)
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", max_examples: int = MAX_EXAMPLES) -> Model:
+def fit(
+    docs: DataFrame,
+    labels: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    label: str = "toxic",
+    max_examples: int = MAX_EXAMPLES,
+) -> Model:
     """Learns from at most max_examples rows of labels(key, label) for each label, drawn by a hash of the key.
 
     Rows with a null key or label, or without a document, teach nothing; of several labels of one key the largest holds.
     Document frequencies are counted over all of docs. Without examples of both labels every score is the prior.
     """
-    known = staged(labels.filter(F.col(key).isNotNull() & F.col(label).isin(0, 1)).groupBy(key).agg(F.max(label).cast("int").alias("__y")), "labels")
+    known = staged(
+        labels.filter(F.col(key).isNotNull() & F.col(label).isin(0, 1)).groupBy(key).agg(F.max(label).cast("int").alias("__y")),
+        "labels",
+    )
     counted = {r["__y"]: r["count"] for r in known.groupBy("__y").count().collect()}
     shares = counted.get(0, 0), counted.get(1, 0)
     # bounded by 2 * max_examples rows
     drawn = [known.filter(F.col("__y") == y).orderBy(F.xxhash64(key), key).limit(max_examples) for y in (0, 1)]
     picked = staged(drawn[0].unionByName(drawn[1]), "drawn")
-    found = document_terms(docs.select(key, text).join(F.broadcast(picked.select(key)), key, "left_semi"), key, text).join(F.broadcast(picked), key)
+    found = document_terms(
+        docs.select(key, text).join(F.broadcast(picked.select(key)), key, "left_semi"), key, text
+    ).join(F.broadcast(picked), key)
     # rows of one key are one example, the first by its terms
     nth = F.row_number().over(Window.partitionBy(key).orderBy(F.xxhash64("terms", "counts")))
-    examples = staged(found.withColumn("__nth", nth).filter("__nth = 1").withColumn("__order", F.xxhash64(key)).drop("__nth"), "examples")
+    examples = staged(
+        found.withColumn("__nth", nth).filter("__nth = 1").withColumn("__order", F.xxhash64(key)).drop("__nth"), "examples"
+    )
     terms = telling_terms(examples)
     rows = restricted(examples, key, terms).collect()
     examples = [(int(r[0]), r[1], list(r[2]), list(r[3])) for r in sorted(rows, key=lambda r: r[0])]
@@ -344,9 +403,19 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
         for batch in batches:
             rows = [sent.value.score(t or "", cache) for t in batch.column(1).to_pylist()]
             cols = list(zip(*rows, strict=True)) if rows else ([], [], [])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cols[0], pa.float64()), pa.array(cols[1], pa.list_(pa.int64())), pa.array(cols[2], pa.list_(pa.float64()))], [key, "score", "neighbours", "cosines"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0),
+                    pa.array(cols[0], pa.float64()),
+                    pa.array(cols[1], pa.list_(pa.int64())),
+                    pa.array(cols[2], pa.list_(pa.float64())),
+                ],
+                [key, "score", "neighbours", "cosines"],
+            )
 
-    return docs.select(key, F.col(text).cast("string").alias("__text")).mapInArrow(run, f"`{key}` {kind}, score double, neighbours array<bigint>, cosines array<double>")
+    return docs.select(key, F.col(text).cast("string").alias("__text")).mapInArrow(
+        run, f"`{key}` {kind}, score double, neighbours array<bigint>, cosines array<double>"
+    )
 
 
 def rejected(docs: DataFrame, model: Model, threshold: float = 0.5, text: str = "text") -> DataFrame:
@@ -356,6 +425,8 @@ def rejected(docs: DataFrame, model: Model, threshold: float = 0.5, text: str =
     def run(batches):
         cache: dict = {}
         for batch in batches:
-            yield batch.filter(pa.array([sent.value.score(t or "", cache)[0] < threshold for t in batch.column(text).to_pylist()], pa.bool_()))
+            yield batch.filter(
+                pa.array([sent.value.score(t or "", cache)[0] < threshold for t in batch.column(text).to_pylist()], pa.bool_())
+            )
 
     return docs.mapInArrow(run, docs.schema)
