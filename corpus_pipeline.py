@@ -23,7 +23,9 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     cut = F.size("__removed") > 0
     kept = out.filter(~cut | (F.trim("text") != ""))
     if "n_chars" in docs.columns:
-        kept = kept.withColumn("n_chars", F.when(cut, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        kept = kept.withColumn(
+            "n_chars", F.when(cut, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+        )
     return kept.select(*docs.columns)
 
 
