@@ -32,7 +32,9 @@ def main() -> None:
     folder = tempfile.mkdtemp(prefix="bench-")
     spark = (
         SparkSession.builder.master(f"local[{cpus}]").config("spark.sql.shuffle.partitions", cpus).config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false")
-        .config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "12g").config("spark.checkpoint.dir", f"{folder}/shared").getOrCreate()
+        .config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "12g").config(
+            "spark.checkpoint.dir", f"{folder}/shared"
+        ).getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
@@ -89,7 +91,17 @@ def main() -> None:
             seconds[name] = round(timed(lambda: query(spark, sf_dir).write.format("noop").mode("overwrite").save()), 4)
     spark.stop()
     shutil.rmtree(folder, ignore_errors=True)
-    print(json.dumps({"metric": "total_seconds", "value": round(sum(seconds.values()), 3), "unit": "sec", "queries": seconds, "sf": Path(sf_dir).name}))
+    print(
+        json.dumps(
+            {
+                "metric": "total_seconds",
+                "value": round(sum(seconds.values()), 3),
+                "unit": "sec",
+                "queries": seconds,
+                "sf": Path(sf_dir).name,
+            }
+        )
+    )
 
 
 if __name__ == "__main__":

@@ -62,7 +62,16 @@ def run(argv: list[str], spark: SparkSession | None = None, out=None) -> int:
         print("a pattern is needed", file=sys.stderr)
         return 2
     try:
-        spec = SearchSpec(pattern, o.fixed, o.ignore_case, o.invert, o.whole_word, max_count=o.max_count, before=max(o.before, o.context), after=max(o.after, o.context))
+        spec = SearchSpec(
+            pattern,
+            o.fixed,
+            o.ignore_case,
+            o.invert,
+            o.whole_word,
+            max_count=o.max_count,
+            before=max(o.before, o.context),
+            after=max(o.after, o.context),
+        )
         compile_pattern(spec)
     except (UnsupportedPattern, ValueError) as error:
         print(f"pattern: {error}", file=sys.stderr)
@@ -85,7 +94,9 @@ def run(argv: list[str], spark: SparkSession | None = None, out=None) -> int:
         return 0 if total else 1
     plain = not (spec.before or spec.after)
     if o.index:
-        lines = TrigramIndex(spark, o.index, version=["size", "mtime"]).search(docs, spec).join(docs.select("doc_id", "path"), "doc_id").select("path", "line_no", "line")
+        lines = TrigramIndex(
+            spark, o.index, version=["size", "mtime"]
+        ).search(docs, spec).join(docs.select("doc_id", "path"), "doc_id").select("path", "line_no", "line")
     else:
         lines = report.first_matches(docs, spec, "path") if plain else report.with_context(docs, spec, "path")
     lines = lines.orderBy("path", "line_no")

@@ -64,9 +64,21 @@ def hits_sql(where: str) -> str:
 # lines
 
 add("q_lines_explode", over_docs(lines), f"select doc_id, line_no, line from {L}")
-add("q_line_numbers", over_docs(lambda d: lines(d).groupBy("doc_id").agg(F.max("line_no").alias("last_line"))), f"select doc_id, max(line_no) as last_line from {L} group by doc_id")
-add("q_byte_count", over_docs(lambda d: d.select("doc_id", strings.count_char(F.col("text"), " ").alias("spaces"))), "select doc_id, cast(length(text) - length(replace(text, ' ', '')) as bigint) as spaces from documents")
-add("q_no_line_number", over_docs(lambda d: match.matching_lines(d, S("License")).select("doc_id", "line")), f"select doc_id, line from {L} where {has('License')}")
+add(
+    "q_line_numbers",
+    over_docs(lambda d: lines(d).groupBy("doc_id").agg(F.max("line_no").alias("last_line"))),
+    f"select doc_id, max(line_no) as last_line from {L} group by doc_id",
+)
+add(
+    "q_byte_count",
+    over_docs(lambda d: d.select("doc_id", strings.count_char(F.col("text"), " ").alias("spaces"))),
+    "select doc_id, cast(length(text) - length(replace(text, ' ', '')) as bigint) as spaces from documents",
+)
+add(
+    "q_no_line_number",
+    over_docs(lambda d: match.matching_lines(d, S("License")).select("doc_id", "line")),
+    f"select doc_id, line from {L} where {has('License')}",
+)
 
 # literals
 
@@ -83,23 +95,47 @@ add("q_literal_ci", hits(S("license", ignore_case=True)), hits_sql(f"contains({L
 add("q_dedup_line", hits(S("the")), hits_sql(has("the")))
 add(
     "q_first_offset",
-    over_docs(lambda d: match.matching_lines(d, S("the")).select("doc_id", "line_no", strings.first_offset(F.col("line"), "the").alias("at"))),
+    over_docs(
+        lambda d: match.matching_lines(d, S("the")).select(
+            "doc_id", "line_no", strings.first_offset(F.col("line"), "the").alias("at")
+        )
+    ),
     f"select doc_id, line_no, cast(instr(line, 'the') - 1 as bigint) as at from {L} where {has('the')}",
 )
 add(
     "q_offset_from",
-    over_docs(lambda d: lines(d).select("doc_id", "line_no", strings.first_offset(F.col("line"), "the", 10).alias("at")).filter("at is not null")),
+    over_docs(
+        lambda d: lines(d).select(
+            "doc_id", "line_no", strings.first_offset(F.col("line"), "the", 10).alias("at")
+        ).filter("at is not null")
+    ),
     f"select doc_id, line_no, cast(instr(substr(line, 11), 'the') + 9 as bigint) as at from {L} where instr(substr(line, 11), 'the') > 0",
 )
 add(
     "q_find_all_overlap",
-    over_docs(lambda d: match.matching_lines(d, S("enen")).select("doc_id", "line_no", F.array_join(F.transform(strings.overlapping_offsets(F.col("line"), "enen"), lambda x: x.cast("string")), ",").alias("offsets"))),
+    over_docs(
+        lambda d: match.matching_lines(d, S("enen")).select(
+            "doc_id",
+            "line_no",
+            F.array_join(
+                F.transform(strings.overlapping_offsets(F.col("line"), "enen"), lambda x: x.cast("string")), ","
+            ).alias("offsets"),
+        )
+    ),
     f"select doc_id, line_no, array_to_string(list_filter(range(length(line)), lambda i: substr(line, i + 1, 4) = 'enen'), ',') as offsets from {L} where {has('enen')}",
 )
-add("q_ascii_lower", over_docs(lambda d: lines(d).select("doc_id", "line_no", F.md5(strings.ascii_lower(F.col("line"))).alias("digest"))), f"select doc_id, line_no, md5({LOWER.format('line')}) as digest from {L}")
+add(
+    "q_ascii_lower",
+    over_docs(lambda d: lines(d).select("doc_id", "line_no", F.md5(strings.ascii_lower(F.col("line"))).alias("digest"))),
+    f"select doc_id, line_no, md5({LOWER.format('line')}) as digest from {L}",
+)
 add(
     "q_occurrences",
-    over_docs(lambda d: match.matching_lines(d, S("the")).select("doc_id", "line_no", strings.occurrences(F.col("line"), "the").alias("n"))),
+    over_docs(
+        lambda d: match.matching_lines(d, S("the")).select(
+            "doc_id", "line_no", strings.occurrences(F.col("line"), "the").alias("n")
+        )
+    ),
     f"select doc_id, line_no, cast((length(line) - length(replace(line, 'the', ''))) / 3 as bigint) as n from {L} where {has('the')}",
 )
 
@@ -140,8 +176,16 @@ REGEXES = [
 ]
 for _name, _pattern, _other in REGEXES:
     add(f"q_regex_{_name}", hits(S(_pattern)), hits_sql(rx(_other or _pattern)))
-add("q_regex_ci", hits(S(r"released\s+UNDER", ignore_case=True)), hits_sql(f"regexp_matches({LOWER.format('line')}, {sql_text(r'released[ \t\n\r]+under')})"))
-add("q_regex_count", over_docs(lambda d: report.counts(d, S(r"\b\w+ing\b"))), f"select doc_id, count(*) as n from {L} where {rx(r'\b\w+ing\b')} group by doc_id")
+add(
+    "q_regex_ci",
+    hits(S(r"released\s+UNDER", ignore_case=True)),
+    hits_sql(f"regexp_matches({LOWER.format('line')}, {sql_text(r'released[ \t\n\r]+under')})"),
+)
+add(
+    "q_regex_count",
+    over_docs(lambda d: report.counts(d, S(r"\b\w+ing\b"))),
+    f"select doc_id, count(*) as n from {L} where {rx(r'\b\w+ing\b')} group by doc_id",
+)
 add("q_regex_bytes", hits(S(r"[^\d\w\s.,]{2}", byte_mode=True)), hits_sql(rx(r"[^\x00-\x7f]|[^A-Za-z0-9_ \t\n\r.,]{2}")))
 
 # several texts
@@ -151,28 +195,60 @@ add("q_alternation", hits(S("MIT|Apache")), hits_sql(f"{has('MIT')} or {has('Apa
 add("q_multi_needle", hits(S("|".join(NEEDLES))), hits_sql(" or ".join(map(has, NEEDLES))))
 add(
     "q_multi_needle_table",
-    lambda spark, sf_dir: match.lines_with_needles(docs_of(spark, sf_dir), docs_of(spark, sf_dir, "benchmark", "text").select(F.substring("text", 1, 12).alias("needle"))),
+    lambda spark, sf_dir: match.lines_with_needles(
+        docs_of(spark, sf_dir), docs_of(spark, sf_dir, "benchmark", "text").select(F.substring("text", 1, 12).alias("needle"))
+    ),
     f"select doc_id, line_no, line from {L} where exists (select 1 from (select distinct substr(text, 1, 12) as n from benchmark) where contains(line, n))",
 )
 add("q_prefiltered_regex", hits(S(r"Apache License, Version \d")), hits_sql(rx(r"Apache License, Version \d")))
 
 # counts and documents
 
-add("q_count_per_doc", over_docs(lambda d: report.counts(d, S("the"))), f"select doc_id, count(*) as n from {L} where {has('the')} group by doc_id")
-add("q_total_matches", over_docs(lambda d: report.total(d, S("License"))), f"select count(*) as n, cast(count(*) = 0 as integer) as status from {L} where {has('License')}")
-add("q_no_matches", over_docs(lambda d: report.total(d, S("zzzqzzz"))), f"select count(*) as n, cast(count(*) = 0 as integer) as status from {L} where {has('zzzqzzz')}")
-add("q_docs_with_matches", over_docs(lambda d: report.docs_with_matches(d, S(r"\d{3}-\d{4}"))), f"select distinct doc_id from {L} where {rx(r'\d{3}-\d{4}')}")
-add("q_docs_without_match", over_docs(lambda d: report.docs_without_match(d, S("the"))), f"select doc_id from documents except select doc_id from {L} where {has('the')}")
+add(
+    "q_count_per_doc",
+    over_docs(lambda d: report.counts(d, S("the"))),
+    f"select doc_id, count(*) as n from {L} where {has('the')} group by doc_id",
+)
+add(
+    "q_total_matches",
+    over_docs(lambda d: report.total(d, S("License"))),
+    f"select count(*) as n, cast(count(*) = 0 as integer) as status from {L} where {has('License')}",
+)
+add(
+    "q_no_matches",
+    over_docs(lambda d: report.total(d, S("zzzqzzz"))),
+    f"select count(*) as n, cast(count(*) = 0 as integer) as status from {L} where {has('zzzqzzz')}",
+)
+add(
+    "q_docs_with_matches",
+    over_docs(lambda d: report.docs_with_matches(d, S(r"\d{3}-\d{4}"))),
+    f"select distinct doc_id from {L} where {rx(r'\d{3}-\d{4}')}",
+)
+add(
+    "q_docs_without_match",
+    over_docs(lambda d: report.docs_without_match(d, S("the"))),
+    f"select doc_id from documents except select doc_id from {L} where {has('the')}",
+)
 add(
     "q_max_count",
     over_docs(lambda d: report.first_matches(d, S("the", max_count=2))),
     f"select doc_id, line_no, line from (select *, row_number() over (partition by doc_id order by line_no) as r from {L} where {has('the')}) where r <= 2",
 )
-add("q_max_count_counts", over_docs(lambda d: report.counts(d, S("the", max_count=2))), f"select doc_id, least(count(*), 2) as n from {L} where {has('the')} group by doc_id")
-add("q_topk_docs", over_docs(lambda d: report.top_documents(d, S("the"), 20)), f"select doc_id, count(*) as n from {L} where {has('the')} group by doc_id order by n desc, doc_id limit 20")
+add(
+    "q_max_count_counts",
+    over_docs(lambda d: report.counts(d, S("the", max_count=2))),
+    f"select doc_id, least(count(*), 2) as n from {L} where {has('the')} group by doc_id",
+)
+add(
+    "q_topk_docs",
+    over_docs(lambda d: report.top_documents(d, S("the"), 20)),
+    f"select doc_id, count(*) as n from {L} where {has('the')} group by doc_id order by n desc, doc_id limit 20",
+)
 add(
     "q_count_by_source",
-    lambda spark, sf_dir: report.counts(docs_of(spark, sf_dir, "documents", "doc_id", "text", "source", "lang"), S("the"), ["source", "lang"]).groupBy("source", "lang").agg(F.sum("n").alias("n"), F.count("*").alias("docs")),
+    lambda spark, sf_dir: report.counts(
+        docs_of(spark, sf_dir, "documents", "doc_id", "text", "source", "lang"), S("the"), ["source", "lang"]
+    ).groupBy("source", "lang").agg(F.sum("n").alias("n"), F.count("*").alias("docs")),
     f"select source, lang, cast(sum(n) as bigint) as n, count(*) as docs from (select doc_id, count(*) as n from {L} where {has('the')} group by doc_id) join documents using (doc_id) group by source, lang",
 )
 
@@ -202,16 +278,28 @@ add("q_context_invert", context(S("e", before=1, after=1, invert=True)), context
 
 # formats
 
-add("q_format_plain", over_docs(lambda d: report.plain(match.matching_lines(d, S("License")))), f"select doc_id, line_no, doc_id || ':' || line_no || ':' || line as out from {L} where {has('License')}")
+add(
+    "q_format_plain",
+    over_docs(lambda d: report.plain(match.matching_lines(d, S("License")))),
+    f"select doc_id, line_no, doc_id || ':' || line_no || ':' || line as out from {L} where {has('License')}",
+)
 add(
     "q_format_context",
     over_docs(lambda d: report.plain(report.with_context(d, S("@", before=1, after=1)))),
     f"select doc_id, line_no, doc_id || m || line_no || m || line as out from (select *, case when is_match then ':' else '-' end as m from ({context_sql(has('@'), 1, 1)}))",
 )
-add("q_json", over_docs(lambda d: report.as_json(match.matching_lines(d, S("License")))), f"select doc_id, line_no, '{{\"doc_id\":' || doc_id || ',\"line_no\":' || line_no || ',\"line\":' || to_json(line) || '}}' as out from {L} where {has('License')}")
+add(
+    "q_json",
+    over_docs(lambda d: report.as_json(match.matching_lines(d, S("License")))),
+    f"select doc_id, line_no, '{{\"doc_id\":' || doc_id || ',\"line_no\":' || line_no || ',\"line\":' || to_json(line) || '}}' as out from {L} where {has('License')}",
+)
 add(
     "q_highlight",
-    over_docs(lambda d: match.matching_lines(d, S(r"Licen[cs]e")).select("doc_id", "line_no", report.highlighted(F.col("line"), S(r"Licen[cs]e")).alias("out"))),
+    over_docs(
+        lambda d: match.matching_lines(d, S(r"Licen[cs]e")).select(
+            "doc_id", "line_no", report.highlighted(F.col("line"), S(r"Licen[cs]e")).alias("out")
+        )
+    ),
     f"select doc_id, line_no, regexp_replace(line, '(Licen[cs]e)', chr(27) || '[1;31m\\1' || chr(27) || '[0m', 'g') as out from {L} where {rx('Licen[cs]e')}",
 )
 add(
@@ -219,13 +307,26 @@ add(
     over_docs(lambda d: report.coloured(match.matching_lines(d, S("@")), S("@"))),
     "select doc_id, line_no, {e}||'[35m'||doc_id||{e}||'[0m'||{e}||'[36m:'||{e}||'[0m'||{e}||'[32m'||line_no||{e}||'[0m'||{e}||'[36m:'||{e}||'[0m'||replace(line, '@', {e}||'[1;31m@'||{e}||'[0m') as out from {l} where {w}".format(e="chr(27)", l=L, w=has("@")),
 )
-add("q_replace", over_docs(lambda d: report.replaced(d, S(r"\d+"), "<$n>")), "select doc_id, regexp_replace(text, '[0-9]+', '<$n>', 'g') as text from documents")
+add(
+    "q_replace",
+    over_docs(lambda d: report.replaced(d, S(r"\d+"), "<$n>")),
+    "select doc_id, regexp_replace(text, '[0-9]+', '<$n>', 'g') as text from documents",
+)
 
 # paths
 
 
 def _path():
-    return F.concat(F.when(F.col("source").isin("src1", "src2"), ".git/").when(F.col("source") == "src3", "lib/node_modules/").otherwise("a/b/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit("."), "lang")
+    return F.concat(
+        F.when(F.col("source").isin("src1", "src2"), ".git/").when(
+            F.col("source") == "src3", "lib/node_modules/"
+        ).otherwise("a/b/"),
+        "source",
+        F.lit("/"),
+        F.col("doc_id").cast("string"),
+        F.lit("."),
+        "lang",
+    )
 
 
 P = "(select doc_id, case when source in ('src1', 'src2') then '.git/' when source = 'src3' then 'lib/node_modules/' else 'a/b/' end || source || '/' || doc_id || '.' || lang as path from documents)"
@@ -233,26 +334,50 @@ RULES = paths.parse_rules("# comment\n*.es\n!*7.es\nsrc1*\n!a/b/src11/*\n")
 
 
 def with_path(keep) -> Query:
-    return lambda spark, sf_dir: docs_of(spark, sf_dir, "documents", "doc_id", "source", "lang").select("doc_id", _path().alias("path")).filter(keep(F.col("path")))
+    return lambda spark, sf_dir: docs_of(
+        spark, sf_dir, "documents", "doc_id", "source", "lang"
+    ).select("doc_id", _path().alias("path")).filter(keep(F.col("path")))
 
 
 _NAME = "regexp_extract(path, '[^/]*$')"
-add("q_path_skip_dirs", with_path(paths.in_open_directories), f"select doc_id, path from {P} where not regexp_matches(path, '(^|/)(\\.[^/]*|node_modules|target|vendor|build|dist)/')")
-add("q_path_max_depth", with_path(lambda p: paths.within_depth(p, 2)), f"select doc_id, path from {P} where len(string_split(path, '/')) - 1 <= 2")
+add(
+    "q_path_skip_dirs",
+    with_path(paths.in_open_directories),
+    f"select doc_id, path from {P} where not regexp_matches(path, '(^|/)(\\.[^/]*|node_modules|target|vendor|build|dist)/')",
+)
+add(
+    "q_path_max_depth",
+    with_path(lambda p: paths.within_depth(p, 2)),
+    f"select doc_id, path from {P} where len(string_split(path, '/')) - 1 <= 2",
+)
 add(
     "q_ignore_rules",
     with_path(lambda p: paths.not_ignored(p, RULES)),
     f"select doc_id, path from {P} where not (case when regexp_full_match(path, 'a/b/src11/.*') then false when regexp_full_match({_NAME}, 'src1.*') or regexp_full_match(path, 'src1.*') then true when regexp_full_match(path, '.*7\\.es') then false else regexp_full_match(path, '.*\\.es') end)",
 )
-add("q_glob_match", with_path(lambda p: strings.glob_match(p, "a*/src1?/*.fr")), f"select doc_id, path from {P} where regexp_full_match(path, 'a.*/src1./.*\\.fr')")
+add(
+    "q_glob_match",
+    with_path(lambda p: strings.glob_match(p, "a*/src1?/*.fr")),
+    f"select doc_id, path from {P} where regexp_full_match(path, 'a.*/src1./.*\\.fr')",
+)
 add(
     "q_include_exclude",
-    lambda spark, sf_dir: docs_of(spark, sf_dir, "pages", "page_id", "url").filter(paths.included(F.col("url"), ["*example.org*", "*.net/*"], ["*page=*"])),
+    lambda spark, sf_dir: docs_of(spark, sf_dir, "pages", "page_id", "url").filter(
+        paths.included(F.col("url"), ["*example.org*", "*.net/*"], ["*page=*"])
+    ),
     "select page_id, url from pages where (regexp_full_match(url, '(?s).*example\\.org.*') or regexp_full_match(url, '(?s).*\\.net/.*')) and not regexp_full_match(url, '(?s).*page=.*')",
 )
 add("q_type_filter", with_path(lambda p: paths.of_type(p, "de")), f"select doc_id, path from {P} where path like '%.de'")
-add("q_binary_skip", over_docs(lambda d: d.filter(not_binary(F.col("text"))).select("doc_id")), "select doc_id from documents where instr(substr(text, 1, 512), chr(0)) = 0")
-add("q_base_name", with_path(lambda p: strings.base_name(p).startswith("1")), f"select doc_id, path from {P} where starts_with({_NAME}, '1')")
+add(
+    "q_binary_skip",
+    over_docs(lambda d: d.filter(not_binary(F.col("text"))).select("doc_id")),
+    "select doc_id from documents where instr(substr(text, 1, 512), chr(0)) = 0",
+)
+add(
+    "q_base_name",
+    with_path(lambda p: strings.base_name(p).startswith("1")),
+    f"select doc_id, path from {P} where starts_with({_NAME}, '1')",
+)
 
 # trigrams
 
@@ -292,36 +417,92 @@ def all_or(d: DataFrame, found: DataFrame | None) -> DataFrame:
 add("q_trigram_extract", over_docs(trigram.distinct_trigrams), f"select doc_id, trigram from {POSTINGS}")
 add(
     "q_trigram_hash",
-    over_docs(lambda d: d.select("doc_id", trigram.trigram_code(strings.latin1(F.substring("text", 1, 3))).alias("trigram")).filter("trigram > 0")),
+    over_docs(
+        lambda d: d.select(
+            "doc_id", trigram.trigram_code(strings.latin1(F.substring("text", 1, 3))).alias("trigram")
+        ).filter("trigram > 0")
+    ),
     f"select doc_id, {_CODE} as trigram from (select doc_id, hex(encode(text)) as q from documents)",
 )
 add("q_bloom_masks", posted(lambda d, p: p), f"select doc_id, trigram, loc_mask, next_mask from {POSTINGS}")
-add("q_trigram_df", posted(lambda d, p: trigram.document_frequency(p).orderBy(F.col("df").desc(), "trigram").limit(100)), f"select trigram, count(*) as df from {POSTINGS} group by trigram order by df desc, trigram limit 100")
-add("q_index_stats", posted(lambda d, p: trigram.statistics(p, d)), f"select (select count(doc_id) from documents) as files, count(distinct trigram) as trigrams, count(*) as postings from {POSTINGS}")
+add(
+    "q_trigram_df",
+    posted(lambda d, p: trigram.document_frequency(p).orderBy(F.col("df").desc(), "trigram").limit(100)),
+    f"select trigram, count(*) as df from {POSTINGS} group by trigram order by df desc, trigram limit 100",
+)
+add(
+    "q_index_stats",
+    posted(lambda d, p: trigram.statistics(p, d)),
+    f"select (select count(doc_id) from documents) as files, count(distinct trigram) as trigrams, count(*) as postings from {POSTINGS}",
+)
 add(
     "q_index_build",
-    posted(lambda d, p: p.groupBy("trigram").agg(F.count("*").alias("df"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.bit_or("loc_mask").alias("loc_mask"), F.bit_or("next_mask").alias("next_mask"))),
+    posted(
+        lambda d,
+        p: p.groupBy("trigram").agg(
+            F.count("*").alias("df"),
+            F.min("doc_id").alias("first_doc"),
+            F.max("doc_id").alias("last_doc"),
+            F.bit_or("loc_mask").alias("loc_mask"),
+            F.bit_or("next_mask").alias("next_mask"),
+        ),
+    ),
     f"select trigram, count(*) as df, min(doc_id) as first_doc, max(doc_id) as last_doc, bit_or(loc_mask) as loc_mask, bit_or(next_mask) as next_mask from {POSTINGS} group by trigram",
 )
-add("q_index_candidates_literal", posted(lambda d, p: trigram.candidates(p, S("licensed under"), masks=False)), sql_candidates("licensed under"))
-add("q_index_candidates_bloom", posted(lambda d, p: trigram.candidates(p, S("licensed under"))), sql_candidates("licensed under", True))
-add("q_index_candidates_regex", posted(lambda d, p: trigram.candidates(p, S(r"Apache License.*\d"))), sql_candidates("Apache License"))
-add("q_index_candidates_or", posted(lambda d, p: trigram.candidates(p, S("MIT License|GNU General"))), f"{sql_candidates('MIT License')} union {sql_candidates('GNU General')}")
+add(
+    "q_index_candidates_literal",
+    posted(lambda d, p: trigram.candidates(p, S("licensed under"), masks=False)),
+    sql_candidates("licensed under"),
+)
+add(
+    "q_index_candidates_bloom",
+    posted(lambda d, p: trigram.candidates(p, S("licensed under"))),
+    sql_candidates("licensed under", True),
+)
+add(
+    "q_index_candidates_regex",
+    posted(lambda d, p: trigram.candidates(p, S(r"Apache License.*\d"))),
+    sql_candidates("Apache License"),
+)
+add(
+    "q_index_candidates_or",
+    posted(lambda d, p: trigram.candidates(p, S("MIT License|GNU General"))),
+    f"{sql_candidates('MIT License')} union {sql_candidates('GNU General')}",
+)
 add(
     "q_index_candidates_and",
     posted(lambda d, p: trigram.candidates(p, S(r"(MIT|GNU).*License\b"))),
     f"({sql_candidates('MIT')} union {sql_candidates('GNU')}) intersect {sql_candidates('License')}",
 )
-add("q_index_ci", posted(lambda d, p: all_or(d, trigram.candidates(p, S("license", ignore_case=True)))), "select doc_id from documents")
+add(
+    "q_index_ci",
+    posted(lambda d, p: all_or(d, trigram.candidates(p, S("license", ignore_case=True)))),
+    "select doc_id from documents",
+)
 add("q_index_short", posted(lambda d, p: all_or(d, trigram.candidates(p, S("fn")))), "select doc_id from documents")
 add(
     "q_index_selectivity",
-    posted(lambda d, p: trigram.candidates(p, S("License")).agg(F.count("*").alias("candidates")).crossJoin(d.agg(F.count("doc_id").alias("files")))),
+    posted(
+        lambda d,
+        p: trigram.candidates(p, S("License")).agg(F.count("*").alias("candidates")).crossJoin(d.agg(F.count("doc_id").alias("files"))),
+    ),
     f"select (select count(*) from ({sql_candidates('License', True)})) as candidates, (select count(doc_id) from documents) as files",
 )
-add("q_index_verify_literal", posted(lambda d, p: trigram.indexed_lines(d, p, S("licensed under"))), hits_sql(has("licensed under")))
-add("q_index_verify_regex", posted(lambda d, p: trigram.indexed_lines(d, p, S(r"Apache License.*\d"))), hits_sql(rx(r"Apache License.*\d")))
-add("q_index_verify_invert", posted(lambda d, p: trigram.indexed_lines(d, p, S("License", invert=True))), hits_sql(f"not {has('License')}"))
+add(
+    "q_index_verify_literal",
+    posted(lambda d, p: trigram.indexed_lines(d, p, S("licensed under"))),
+    hits_sql(has("licensed under")),
+)
+add(
+    "q_index_verify_regex",
+    posted(lambda d, p: trigram.indexed_lines(d, p, S(r"Apache License.*\d"))),
+    hits_sql(rx(r"Apache License.*\d")),
+)
+add(
+    "q_index_verify_invert",
+    posted(lambda d, p: trigram.indexed_lines(d, p, S("License", invert=True))),
+    hits_sql(f"not {has('License')}"),
+)
 
 
 def _with(p: DataFrame, text: str) -> DataFrame:
@@ -334,7 +515,14 @@ add("q_set_union", posted(lambda d, p: _with(p, "ing").union(_with(p, "Lic")).di
 add("q_set_except", posted(lambda d, p: _with(p, "Lic").exceptAll(_with(p, "ing"))), f"{_B} except {_A}")
 add(
     "q_plan_selective",
-    lambda spark, sf_dir: spark.createDataFrame([(x, is_selective(trigram.plan_of(S(x))[0])) for x in ("function", "TODO|FIXME", "fn", r"import\s+\{", "TypeError.*found", "error+", r"\d+\.\d+", "TODO|ab")], "pattern string, selective boolean"),
+    lambda spark, sf_dir: spark.createDataFrame(
+        [
+            (x, is_selective(trigram.plan_of(S(x))[0])) for x in (
+                "function", "TODO|FIXME", "fn", r"import\s+\{", "TypeError.*found", "error+", r"\d+\.\d+", "TODO|ab"
+            )
+        ],
+        "pattern string, selective boolean",
+    ),
     r"select * from (values ('function', true), ('TODO|FIXME', true), ('fn', false), ('import\s+\{', true), ('TypeError.*found', true), ('error+', true), ('\d+\.\d+', false), ('TODO|ab', false)) as t(pattern, selective)",
 )
 
@@ -358,18 +546,26 @@ add(
 
 add(
     "q_pages_links",
-    lambda spark, sf_dir: match.matching_lines(docs_of(spark, sf_dir, "pages", "page_id", "html"), S(r'href="[^"]+"'), "page_id", "html").select("page_id", "line_no", F.md5("line").alias("digest")),
+    lambda spark, sf_dir: match.matching_lines(
+        docs_of(spark, sf_dir, "pages", "page_id", "html"), S(r'href="[^"]+"'), "page_id", "html"
+    ).select("page_id", "line_no", F.md5("line").alias("digest")),
     f"select page_id, line_no, md5(line) as digest from {sql_lines('pages', 'page_id', 'html')} where regexp_matches(line, 'href=\"[^\"]+\"')",
 )
 add(
     "q_conversations_role",
-    lambda spark, sf_dir: match.matching_lines(docs_of(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text").filter("role = 'assistant'"), S("the"), ["conv_id", "turn"]),
+    lambda spark, sf_dir: match.matching_lines(
+        docs_of(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text").filter("role = 'assistant'"),
+        S("the"),
+        ["conv_id", "turn"],
+    ),
     f"select conv_id, turn, line_no, line from {sql_lines(table='''(select * from conversations where role = 'assistant')''', key='conv_id, turn')} where {has('the')}",
 )
 
 
 def _event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return docs_of(spark, sf_dir, "events", "event_id", "ts", "event_type", "props").withColumn("line", F.concat_ws(" ", "event_type", "props"))
+    return docs_of(
+        spark, sf_dir, "events", "event_id", "ts", "event_type", "props"
+    ).withColumn("line", F.concat_ws(" ", "event_type", "props"))
 
 
 _ERROR = r'error.*"k": \d{2}\b'
@@ -381,21 +577,32 @@ add(
 )
 add(
     "q_events_windowed",
-    lambda spark, sf_dir: watch.windowed_counts(_event_lines(spark, sf_dir), S("click|error"), "ts", "line", "1 hour").select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "n"),
+    lambda spark, sf_dir: watch.windowed_counts(
+        _event_lines(spark, sf_dir), S("click|error"), "ts", "line", "1 hour"
+    ).select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "n"),
     f"select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') as start, count(*) as n from events where regexp_matches({_EVENT}, 'click|error') group by 1",
 )
 add(
     "q_labeled_docs",
-    lambda spark, sf_dir: match.matching_lines(docs_of(spark, sf_dir).join(docs_of(spark, sf_dir, "labels", "doc_id", "quality").filter("quality = 1"), "doc_id", "left_semi"), S("the")),
+    lambda spark, sf_dir: match.matching_lines(
+        docs_of(spark, sf_dir).join(
+            docs_of(spark, sf_dir, "labels", "doc_id", "quality").filter("quality = 1"), "doc_id", "left_semi"
+        ),
+        S("the"),
+    ),
     f"select doc_id, line_no, line from {L} where {has('the')} and doc_id in (select doc_id from labels where quality = 1)",
 )
 add(
     "q_unlabeled_docs",
-    lambda spark, sf_dir: report.counts(docs_of(spark, sf_dir).join(docs_of(spark, sf_dir, "labels", "doc_id"), "doc_id", "left_anti"), S("License")),
+    lambda spark, sf_dir: report.counts(
+        docs_of(spark, sf_dir).join(docs_of(spark, sf_dir, "labels", "doc_id"), "doc_id", "left_anti"), S("License")
+    ),
     f"select doc_id, count(*) as n from {L} where {has('License')} and doc_id not in (select doc_id from labels) group by doc_id",
 )
 add(
     "q_part_names",
-    lambda spark, sf_dir: match.matching_lines(docs_of(spark, sf_dir, "part", "p_partkey", "p_name"), S(r"(green|blue)\b", ignore_case=True), "p_partkey", "p_name"),
+    lambda spark, sf_dir: match.matching_lines(
+        docs_of(spark, sf_dir, "part", "p_partkey", "p_name"), S(r"(green|blue)\b", ignore_case=True), "p_partkey", "p_name"
+    ),
     "select p_partkey, cast(1 as bigint) as line_no, p_name as line from part where regexp_matches(lower(p_name), '(green|blue)\\b')",
 )

@@ -69,7 +69,11 @@ def snapshot(docs: DataFrame, key: str = "doc_id", text: str = "text", version:
     """(key, size, fingerprint): what staleness compares. With version columns (size and time of a file, say) texts aren't read."""
     if version:
         return docs.select(key, F.lit(0).cast("bigint").alias("size"), F.xxhash64(*version).alias("fingerprint"))
-    return docs.select(key, F.octet_length(F.coalesce(F.col(text), F.lit(""))).cast("bigint").alias("size"), F.xxhash64(text).alias("fingerprint"))
+    return docs.select(
+        key,
+        F.octet_length(F.coalesce(F.col(text), F.lit(""))).cast("bigint").alias("size"),
+        F.xxhash64(text).alias("fingerprint"),
+    )
 
 
 def changes(before: DataFrame, now: DataFrame, key: str = "doc_id") -> DataFrame:

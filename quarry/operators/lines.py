@@ -16,7 +16,9 @@ def line_array(text: Column) -> Column:
 def lines(docs: DataFrame, key: str | list[str] = "doc_id", text: str = "text") -> DataFrame:
     """(key..., line_no, line); line numbers start at 1. A narrow generator: no shuffle."""
     keys = [key] if isinstance(key, str) else list(key)
-    return docs.select(*keys, F.posexplode(line_array(F.col(text))).alias("__pos", "line")).select(*keys, (F.col("__pos") + 1).cast("bigint").alias("line_no"), "line")
+    return docs.select(
+        *keys, F.posexplode(line_array(F.col(text))).alias("__pos", "line")
+    ).select(*keys, (F.col("__pos") + 1).cast("bigint").alias("line_no"), "line")
 
 
 def not_binary(text: Column) -> Column:

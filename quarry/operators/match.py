@@ -93,16 +93,25 @@ def has_match(text: Column, spec: SearchSpec) -> Column:
     return found if early is None else F.coalesce(early, F.lit(False)) & found
 
 
-def lines_with_needles(docs: DataFrame, needles: DataFrame, needle: str = "needle", key: str = "doc_id", text: str = "text", stem: int = 3) -> DataFrame:
+def lines_with_needles(
+    docs: DataFrame, needles: DataFrame, needle: str = "needle", key: str = "doc_id", text: str = "text", stem: int = 3
+) -> DataFrame:
     """(key, line_no, line) of lines that hold any of a table of needles.
 
     An equi-join on the needles' first `stem` characters: lines give all their different stems, so nothing is compared with
     every needle, and neither side has to be small. Needles shorter than stem are an error; null needles are ignored.
     """
     wanted = needles.filter(F.col(needle).isNotNull()).select(F.col(needle).alias("__needle")).distinct()
-    wanted = wanted.withColumn("__stem", F.when(F.length("__needle") >= stem, F.substring("__needle", 1, stem)).otherwise(F.raise_error(F.lit("needle is shorter than its stem"))))
+    wanted = wanted.withColumn(
+        "__stem",
+        F.when(
+            F.length("__needle") >= stem, F.substring("__needle", 1, stem)
+        ).otherwise(F.raise_error(F.lit("needle is shorter than its stem"))),
+    )
     each = lines(docs, key, text)
-    stems = each.withColumn("__stem", F.explode(F.array_distinct(F.regexp_extract_all("line", F.lit(f"(?s)(?=(.{{{stem}}}))"), F.lit(1)))))
+    stems = each.withColumn(
+        "__stem", F.explode(F.array_distinct(F.regexp_extract_all("line", F.lit(f"(?s)(?=(.{{{stem}}}))"), F.lit(1))))
+    )
     hits = stems.join(wanted, "__stem").filter(F.col("line").contains(F.col("__needle")))
     return hits.select(key, "line_no", "line").distinct()
 

@@ -49,7 +49,9 @@ def first_matches(docs: DataFrame, spec: SearchSpec, key="doc_id", text: str = "
     if spec.max_count is None:
         return matching_lines(docs, spec, key, text)
     early = may_match(F.col(text), spec)
-    numbered = F.transform(line_array(F.col(text)), lambda line, i: F.struct((i + 1).cast("bigint").alias("line_no"), line.alias("line")))
+    numbered = F.transform(
+        line_array(F.col(text)), lambda line, i: F.struct((i + 1).cast("bigint").alias("line_no"), line.alias("line"))
+    )
     hits = F.slice(F.filter(numbered, lambda x: matches(x["line"], spec)), 1, spec.max_count)
     return (docs if early is None else docs.filter(early)).select(*_keys(key), F.inline(hits))
 
@@ -70,7 +72,9 @@ def with_context(docs: DataFrame, spec: SearchSpec, key="doc_id", text: str = "t
     near = F.max("is_match").over(by_doc.rowsBetween(-spec.after, spec.before))
     kept = flagged.withColumn("__near", near).filter("__near").drop("__near")
     gap = F.coalesce(F.col("line_no") - F.lag("line_no").over(by_doc) > 1, F.lit(False)).cast("int")
-    return kept.withColumn("__gap", gap).withColumn("group_id", F.sum("__gap").over(by_doc.rowsBetween(Window.unboundedPreceding, 0))).drop("__gap")
+    return kept.withColumn("__gap", gap).withColumn(
+        "group_id", F.sum("__gap").over(by_doc.rowsBetween(Window.unboundedPreceding, 0))
+    ).drop("__gap")
 
 
 def top_documents(docs: DataFrame, spec: SearchSpec, k: int, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -103,7 +107,17 @@ def coloured(found: DataFrame, spec: SearchSpec, key: str = "doc_id") -> DataFra
     """(key, line_no, out) with coloured path, number, marks and matches."""
     mark = F.lit(f"{MARK_COLOUR}:{RESET}")
     return found.select(
-        key, "line_no", F.concat(F.lit(PATH_COLOUR), F.col(key).cast("string"), F.lit(RESET), mark, F.lit(LINE_COLOUR), F.col("line_no").cast("string"), F.lit(RESET), mark, highlighted(F.col("line"), spec)).alias("out")
+        key, "line_no", F.concat(
+            F.lit(PATH_COLOUR),
+            F.col(key).cast("string"),
+            F.lit(RESET),
+            mark,
+            F.lit(LINE_COLOUR),
+            F.col("line_no").cast("string"),
+            F.lit(RESET),
+            mark,
+            highlighted(F.col("line"), spec),
+        ).alias("out")
     )
 
 
@@ -111,4 +125,6 @@ def replaced(docs: DataFrame, spec: SearchSpec, by: str, text: str = "text") ->
     """docs with every match in every line replaced by a text."""
     java = compile_pattern(spec).java
     safe = by.replace("\\", "\\\\").replace("$", "\\$")
-    return docs.withColumn(text, F.array_join(F.transform(F.split(F.col(text), "\n", -1), lambda line: F.regexp_replace(line, java, safe)), "\n"))
+    return docs.withColumn(
+        text, F.array_join(F.transform(F.split(F.col(text), "\n", -1), lambda line: F.regexp_replace(line, java, safe)), "\n")
+    )

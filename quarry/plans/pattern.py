@@ -245,7 +245,9 @@ def java(node: Node) -> str:
         case Repeat(item, least, most):
             inner = java(item)
             single = isinstance(item, (Char, Any, Set))
-            count = {(0, None): "*", (1, None): "+", (0, 1): "?"}.get((least, most)) or (f"{{{least},{'' if most is None else most}}}")
+            count = {(0, None): "*", (1, None): "+", (0, 1): "?"}.get((least, most)) or (
+                f"{{{least},{'' if most is None else most}}}"
+            )
             return (inner if single else f"(?:{inner})") + count
     raise TypeError(node)
 

@@ -13,7 +13,23 @@ from pyspark.sql import functions as F
 from quarry.functions.strings import base_name, depth, directories, extension, glob_match, glob_regex
 
 #: Directories that are never entered.
-SKIPPED = (".git", ".hg", ".svn", "node_modules", ".zig-cache", "zig-out", "target", "__pycache__", ".mypy_cache", ".tox", ".venv", "vendor", ".DS_Store", "build", "dist")
+SKIPPED = (
+    ".git",
+    ".hg",
+    ".svn",
+    "node_modules",
+    ".zig-cache",
+    "zig-out",
+    "target",
+    "__pycache__",
+    ".mypy_cache",
+    ".tox",
+    ".venv",
+    "vendor",
+    ".DS_Store",
+    "build",
+    "dist",
+)
 
 
 def skips_directory(name: str) -> bool:

@@ -19,7 +19,13 @@ from quarry.sources.paths import IgnoreRule, is_ignored, parse_rules, skips_dire
 FILES = "path string, rel_path string, name string, ext string, depth int, size bigint, mtime timestamp"
 
 
-def list_tree(root: str, max_depth: int | None = None, ext: str | None = None, ignore_files: tuple[str, ...] = (".gitignore",), compat: bool = False) -> list[tuple]:
+def list_tree(
+    root: str,
+    max_depth: int | None = None,
+    ext: str | None = None,
+    ignore_files: tuple[str, ...] = (".gitignore",),
+    compat: bool = False,
+) -> list[tuple]:
     """Rows of FILES, by path. A root that is a file is taken as it is, whatever the filters; links are not followed."""
     root = root.rstrip("/") or "/"
     if not os.path.isdir(root):
@@ -81,12 +87,20 @@ def files(spark: SparkSession, roots: str | list[str] = ".", **how) -> DataFrame
                         content = f.read()
                 except OSError:
                     content = None
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([content], pa.binary())], [*part.schema.names, "content"])
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns, pa.array([content], pa.binary())], [*part.schema.names, "content"]
+                )
 
     return listed.mapInArrow(read, FILES + ", content binary")
 
 
 def as_documents(found: DataFrame) -> DataFrame:
     """(doc_id, path, text, size, mtime): text files of files(); bytes that are no UTF-8 are read as U+FFFD; binary and empty files are left out."""
-    docs = found.filter(F.col("content").isNotNull() & (F.col("size") > 0)).select(F.xxhash64("path").alias("doc_id"), "path", F.expr("make_valid_utf8(cast(content as string))").alias("text"), "size", "mtime")
+    docs = found.filter(F.col("content").isNotNull() & (F.col("size") > 0)).select(
+        F.xxhash64("path").alias("doc_id"),
+        "path",
+        F.expr("make_valid_utf8(cast(content as string))").alias("text"),
+        "size",
+        "mtime",
+    )
     return docs.filter(not_binary(F.col("text")))

@@ -20,7 +20,9 @@ def stream_matches(docs: DataFrame, spec: SearchSpec, key: str = "doc_id", text:
     return matching_lines(docs, spec, key, text)
 
 
-def windowed_counts(events: DataFrame, spec: SearchSpec, ts: str, text: str, window: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
+def windowed_counts(
+    events: DataFrame, spec: SearchSpec, ts: str, text: str, window: str = "5 minutes", late: str = "10 minutes"
+) -> DataFrame:
     """(start, n) of matching events by time window, with a watermark for late ones; works on streams and tables."""
     hits = events.withWatermark(ts, late).filter(matches(F.col(text), spec))
     return hits.groupBy(F.window(ts, window)).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "n")
