@@ -27,17 +27,56 @@ def test_query_equals_plain_reading(spark):
         turns = [(r, t) for _, r, t in sorted(rows)]
         loss = "".join(t for r, t in turns if r == "assistant")
         g = got[k]
-        assert (g.n_turns, g.turns_sha256, g.loss_chars, g.loss_sha256) == (len(turns), digest(turns), len(loss), hashlib.sha256(loss.encode()).hexdigest())
-
-
-TRICKY = ["<|im_end|>", "<\\|im_end|>", "</s>", "<\\\\/s>", "[INST]", "[\\/INST]", "<", "|", "<|im_turn|>", "\\", "a\n", "$1", "ß", "[[INST]", "<<|"]
+        assert (g.n_turns, g.turns_sha256, g.loss_chars, g.loss_sha256) == (
+            len(turns), digest(turns), len(loss), hashlib.sha256(loss.encode()).hexdigest()
+        )
+
+
+TRICKY = [
+    "<|im_end|>",
+    "<\\|im_end|>",
+    "</s>",
+    "<\\\\/s>",
+    "[INST]",
+    "[\\/INST]",
+    "<",
+    "|",
+    "<|im_turn|>",
+    "\\",
+    "a\n",
+    "$1",
+    "ß",
+    "[[INST]",
+    "<<|",
+]
 
 
 @settings(max_examples=12, deadline=None)
-@given(st.lists(st.lists(st.tuples(st.sampled_from(["user", "assistant", "system", "<|im_sep|>", ""]), st.lists(st.sampled_from(TRICKY), max_size=6).map("".join)), min_size=1, max_size=6), min_size=1, max_size=6))
+@given(
+    st.lists(
+        st.lists(
+            st.tuples(
+                st.sampled_from(["user", "assistant", "system", "<|im_sep|>", ""]),
+                st.lists(st.sampled_from(TRICKY), max_size=6).map("".join),
+            ),
+            min_size=1,
+            max_size=6,
+        ),
+        min_size=1,
+        max_size=6,
+    )
+)
 def test_any_turns_come_back(spark, convs):
     rows = [(c, i, r, t) for c, turns in enumerate(convs) for i, (r, t) in enumerate(turns)]
-    out = chat.format_chat(spark.createDataFrame(rows, SCHEMA)).select("conv_id", "n_turns", "n_blocks", "formatted", chat.parsed(F.col("formatted")).alias("turns"), chat.loss_text(F.col("segments")).alias("loss"), F.array_join(F.transform("segments", lambda s: s["text"]), "").alias("joined")).collect()
+    out = chat.format_chat(spark.createDataFrame(rows, SCHEMA)).select(
+        "conv_id",
+        "n_turns",
+        "n_blocks",
+        "formatted",
+        chat.parsed(F.col("formatted")).alias("turns"),
+        chat.loss_text(F.col("segments")).alias("loss"),
+        F.array_join(F.transform("segments", lambda s: s["text"]), "").alias("joined"),
+    ).collect()
     for r in out:
         turns = convs[r.conv_id]
         assert [(t.role, t.text) for t in r.turns] == turns and r.formatted == r.joined and r.n_turns == len(turns)
@@ -46,7 +85,14 @@ def test_any_turns_come_back(spark, convs):
 
 
 def test_odd_turns(spark):
-    rows = [(1, None, "user", "n"), (1, 0, None, None), (1, 0, "user", "x"), (1, 0, "user", "x"), (None, 1, "assistant", ""), (2, 5, "user", "long " * 100_000)]
+    rows = [
+        (1, None, "user", "n"),
+        (1, 0, None, None),
+        (1, 0, "user", "x"),
+        (1, 0, "user", "x"),
+        (None, 1, "assistant", ""),
+        (2, 5, "user", "long " * 100_000),
+    ]
     df = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 as t", "'x' as segments", "2 as formatted")
     got = {r.conv_id: r for r in chat.format_chat(df).withColumn("turns", chat.parsed(F.col("formatted"))).collect()}
     assert [(t.role, t.text) for t in got[1].turns] == [("user", "n"), ("", ""), ("user", "x"), ("user", "x")]
@@ -58,7 +104,9 @@ def test_odd_turns(spark):
 def test_the_curve_visits_every_cell_by_single_steps(spark, n, bits):
     side = 1 << bits
     dims = [F.floor(F.col("id") / side**k) % side for k in range(n)]
-    rows = spark.range(side**n).select(*[d.alias(f"d{k}") for k, d in enumerate(dims)]).withColumn("h", sharding.hilbert_index([F.col(f"d{k}") for k in range(n)], bits)).orderBy("h").collect()
+    rows = spark.range(side**n).select(*[d.alias(f"d{k}") for k, d in enumerate(dims)]).withColumn(
+        "h", sharding.hilbert_index([F.col(f"d{k}") for k in range(n)], bits)
+    ).orderBy("h").collect()
     assert [r.h for r in rows] == list(range(side**n))
     assert all(sum(abs(a[f"d{k}"] - b[f"d{k}"]) for k in range(n)) == 1 for a, b in zip(rows, rows[1:]))
 

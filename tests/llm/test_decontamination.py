@@ -30,8 +30,18 @@ def test_query_finds_whole_items_and_nothing_else(spark):
 ITEM = "Yesterday the farmer Anna Berg sold 12 boxes of apples for 30 dollars and gave 5 kg of pears to Paul before he drove 7 km home with Anna Berg."
 CASES = [
     ("verbatim", "intro words here. " + ITEM + " More follows.", True, True),
-    ("reparameterised", ITEM.replace("12", "77").replace("30", "64").replace("Anna Berg", "Maria Luisa Costa").replace("Paul", "Otto").replace("7 km", "9 miles"), True, False),
-    ("inconsistent", ITEM.replace("Anna Berg", "Maria", 1).replace("12", "3").replace("Paul", "Anna Berg").replace("with Anna Berg", "with Otto"), None, False),
+    (
+        "reparameterised",
+        ITEM.replace("12", "77").replace("30", "64").replace("Anna Berg", "Maria Luisa Costa").replace("Paul", "Otto").replace("7 km", "9 miles"),
+        True,
+        False,
+    ),
+    (
+        "inconsistent",
+        ITEM.replace("Anna Berg", "Maria", 1).replace("12", "3").replace("Paul", "Anna Berg").replace("with Anna Berg", "with Otto"),
+        None,
+        False,
+    ),
     ("half", " ".join(ITEM.split()[:12]), False, None),
     ("other", "The weather was fine and nobody in town wanted to leave the market square before noon on that day.", False, None),
     ("capitals", ITEM.upper(), True, True),
@@ -60,7 +70,9 @@ def test_slots_have_to_agree():
 
 def test_odd_rows(spark, odd_docs, no_docs):
     text = "We keep the odd rows of a table and lose none of them here."
-    docs = odd_docs.unionByName(odd_docs.filter("doc_id = 2").selectExpr(*[f"'{text}' as text" if c == "text" else c for c in odd_docs.columns]))
+    docs = odd_docs.unionByName(
+        odd_docs.filter("doc_id = 2").selectExpr(*[f"'{text}' as text" if c == "text" else c for c in odd_docs.columns])
+    )
     bench = spark.createDataFrame([(1, text), (1, text), (2, text)], "item_id long, text string")
     got = decontamination.leaks(docs, bench)
     assert sorted((r.doc_id, r.item_id) for r in got.collect()) == [(2, 1), (2, 2)]

@@ -47,7 +47,11 @@ def test_tables_find_all_within_the_radius(spark):
     df = spark.createDataFrame(list(dict.fromkeys(codes)), "f0 long, f1 long")
     for radius in (1, 2, 5):
         got = {tuple(r) for r in fingerprints.search(df, df, radius).collect()}
-        want = {(*a, *b, d) for a in set(codes) for b in set(codes) if (d := (a[0] ^ b[0]).bit_count() + (a[1] ^ b[1]).bit_count()) <= radius}
+        want = {
+            (*a, *b, d) for a in set(codes) for b in set(codes) if (
+                d := (a[0] ^ b[0]).bit_count() + (a[1] ^ b[1]).bit_count()
+            ) <= radius
+        }
         assert got == want
 
 
@@ -58,7 +62,9 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert by[1].f0 == by[2].f0 and by[1].near_next == 1.0 and by[3].n_chars == 0 and (by[3].f0, by[3].f1) == (0, 0)
     last = by[8]
     text = "Ünïcode   \U0001f600 ｘ"
-    assert last.edited_sha256 == hashlib.sha256((text[: len(text) - len(text) // 2] + "no id here"[: len(text) // 2]).encode()).hexdigest()
+    assert last.edited_sha256 == hashlib.sha256(
+        (text[: len(text) - len(text) // 2] + "no id here"[: len(text) // 2]).encode()
+    ).hexdigest()
     assert fingerprints.edit_robustness(no_docs).count() == 0
     one = fingerprints.edit_robustness(odd_docs.filter("doc_id = 8")).collect()
     assert one[0].near_next == 1.0

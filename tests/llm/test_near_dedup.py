@@ -14,7 +14,11 @@ SF = "/root/testdata/sf0.001"
 
 def plain_print(text, size=3):
     """One bit at a time, on whole numbers."""
-    words = [w for w in "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "").replace("\t", " ").replace("\n", " ").replace("\x0b", " ").replace("\x0c", " ").replace("\r", " ").split(" ") if w]
+    words = [
+        w for w in "".join(
+            chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""
+        ).replace("\t", " ").replace("\n", " ").replace("\x0b", " ").replace("\x0c", " ").replace("\r", " ").split(" ") if w
+    ]
     shingles = [" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))] if words else []
     hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
     return sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hashes) * 2 > len(hashes))
@@ -56,8 +60,18 @@ def test_gray_index_finds_every_pair_once(words, radius):
         flip = rng.integers(0, 64, 400)
         codes[np.arange(400), rng.integers(0, words, 400)] ^= np.uint64(1) << flip.astype(np.uint64)
     keys = rng.integers(0, 5, 400)
-    got = [(min(a, b), max(a, b), d) for x, y, z in hamming.GrayIndex(keys, codes).pairs(radius) for a, b, d in zip(x.tolist(), y.tolist(), z.tolist(), strict=True)]
-    want = {(i, j, d) for j in range(400) for i in range(j) if keys[i] == keys[j] and (d := int(np.bitwise_count(codes[i] ^ codes[j]).sum())) <= radius}
+    got = [
+        (min(a, b), max(a, b), d) for x,
+        y,
+        z in hamming.GrayIndex(keys, codes).pairs(radius) for a,
+        b,
+        d in zip(x.tolist(), y.tolist(), z.tolist(), strict=True)
+    ]
+    want = {
+        (i, j, d) for j in range(400) for i in range(j) if keys[i] == keys[j] and (
+            d := int(np.bitwise_count(codes[i] ^ codes[j]).sum())
+        ) <= radius
+    }
     assert len(got) == len(set(got)) and set(got) == want
 
 

@@ -43,7 +43,9 @@ def test_query_round_trip(spark, plain):
     rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
     want = {r.doc_id: [*plain.encode(r.text, add_special_tokens=False).ids, 2] for r in rows}
     got = QUERIES["op8_packing"](spark, SF).collect()
-    pieces = [(r.doc_id, r.start, want[r.doc_id][r.start : r.start + r.length], r.doc_tokens, r.sequence_id, r.offset) for r in got]
+    pieces = [
+        (r.doc_id, r.start, want[r.doc_id][r.start : r.start + r.length], r.doc_tokens, r.sequence_id, r.offset) for r in got
+    ]
     check(pieces, want, 4096)
     assert all(r.ids_crc32 == zlib.crc32(np.array(p[2], "<u4").tobytes()) for r, p in zip(got, pieces, strict=True))
 

@@ -22,7 +22,9 @@ def kept(spark):
 
 def test_stages_keep_the_columns_and_clean_documents(spark, kept):
     first = spark.read.parquet(f"{SF}/documents.parquet")
-    assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "simhash_near_dedup", "benchmark_decontamination", "packing"]
+    assert [n for n, _ in corpus_pipeline.STAGES] == [
+        "toxicity", "line_dedup", "simhash_near_dedup", "benchmark_decontamination", "packing"
+    ]
     assert all(d.columns == first.columns and d.schema == kept[0].schema for d in kept[:-1])
     counts = [first.count(), *[d.count() for d in kept[:-1]]]
     assert counts == sorted(counts, reverse=True) and counts[-1] > 0.7 * counts[0]

@@ -50,7 +50,11 @@ def test_held_out_accuracy(spark):
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
     rows = QUERIES["op2_quality"](spark, SF).collect()
     assert len(rows) == 1000
-    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in rows)
+    assert all(
+        r.held_out == (
+            zlib.crc32(str(r.doc_id).encode()) % 4 == 2
+        ) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in rows
+    )
     held = [(r.predicted, labels[r.doc_id]) for r in rows if r.held_out and r.doc_id in labels]
     assert sum(p == y for p, y in held) / len(held) > 0.97
 

@@ -64,7 +64,11 @@ def test_held_out_accuracy(spark):
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
     rows = QUERIES["op1_toxicity"](spark, SF).select("doc_id", "held_out", "score", "predicted").collect()
     assert len(rows) == spark.read.parquet(f"{SF}/documents.parquet").count()
-    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows)
+    assert all(
+        r.held_out == (
+            zlib.crc32(str(r.doc_id).encode()) % 5 == 0
+        ) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows
+    )
     held = [(r.predicted, labels[r.doc_id]) for r in rows if r.held_out and r.doc_id in labels]
     assert sum(p == y for p, y in held) / len(held) > 0.97
     assert sum(p for p, y in held if y) / sum(y for _, y in held) > 0.85
