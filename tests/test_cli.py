@@ -25,8 +25,12 @@ def test_options(spark, root):
     assert said(spark, "-l", "-t", "py", "TODO", root) == (0, [f"{root}/b.py"])
     assert said(spark, "-c", "-l", "-t", "py", "TODO", root) == (0, [f"{root}/b.py:1", f"{root}/b.py"])
     assert said(spark, "-e", "-flag", "--no-line-number", root) == (0, [f"{root}/b.py:-flag TODO"])
-    assert said(spark, "-A", "1", "-m", "1", "--include", "*.txt", "TODO", root) == (0, [f"{root}/a.txt:1:one TODO", f"{root}/a.txt-2-two"])
-    assert said(spark, "--json", "--exclude", "*.txt", "TODO", root)[1] == [f'{{"path":"{root}/b.py","line_no":2,"line":"-flag TODO"}}']
+    assert said(
+        spark, "-A", "1", "-m", "1", "--include", "*.txt", "TODO", root
+    ) == (0, [f"{root}/a.txt:1:one TODO", f"{root}/a.txt-2-two"])
+    assert said(spark, "--json", "--exclude", "*.txt", "TODO", root)[1] == [
+        f'{{"path":"{root}/b.py","line_no":2,"line":"-flag TODO"}}'
+    ]
     assert "\x1b[1;31mTODO" in said(spark, "--color", "always", "TODO", root)[1][0]
     assert said(spark, "zzz", root) == (1, [])
     assert said(spark, "a(b", root)[0] == 2

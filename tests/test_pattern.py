@@ -41,7 +41,27 @@ def test_java_agrees(spark):
     assert [(c[0], c[1], g) for c, g in zip(CASES, got, strict=True)] == [(p, t, w) for p, t, w in CASES]
 
 
-@pytest.mark.parametrize("pattern", ["a*?", "a++", "(?i)a", r"(a)\1", r"\Ba", r"\Aa", r"a\z", "[[:alpha:]]", r"\pL", "(a", "a)", "[a", "a{3,2}", "[z-a]", "a\\", "a{2000}"])
+@pytest.mark.parametrize(
+    "pattern",
+    [
+        "a*?",
+        "a++",
+        "(?i)a",
+        r"(a)\1",
+        r"\Ba",
+        r"\Aa",
+        r"a\z",
+        "[[:alpha:]]",
+        r"\pL",
+        "(a",
+        "a)",
+        "[a",
+        "a{3,2}",
+        "[z-a]",
+        "a\\",
+        "a{2000}",
+    ],
+)
 def test_refused(pattern):
     with pytest.raises(UnsupportedPattern):
         parse(pattern)
@@ -71,7 +91,16 @@ def test_plans():
         return T.decompose(parse(p))
 
     assert len(plan("function").trigrams) == 6 and isinstance(plan("TODO|FIXME"), T.Or) and isinstance(plan("fn"), T.MatchAll)
-    for p, selective in [(r"import\s+\{", True), ("TypeError.*found", True), ("error+", True), (r"\d+\.\d+", False), ("TODO|ab", False), ("(abc)*", False), ("(abc)+", True), ("(abc){2}", True)]:
+    for p, selective in [
+        (r"import\s+\{", True),
+        ("TypeError.*found", True),
+        ("error+", True),
+        (r"\d+\.\d+", False),
+        ("TODO|ab", False),
+        ("(abc)*", False),
+        ("(abc)+", True),
+        ("(abc){2}", True),
+    ]:
         assert T.is_selective(plan(p)) == selective
     assert len(T.trigram_list(b"hello world")) == 9 and T.trigram_list(b"ab") == [] and T.trigram_list(b"abc") == [97 | 98 << 8 | 99 << 16]
     assert T.need_masks(b"abcd") == {T.trigram_list(b"abc")[0]: 1 << 100 % 8, T.trigram_list(b"bcd")[0]: 0}
@@ -90,7 +119,11 @@ def holds(plan, grams):
 
 pieces = st.recursive(
     st.sampled_from(["abc", "b", "ca", ".", "[ab]", r"\w", "é", "abca"]),
-    lambda inner: st.one_of(st.lists(inner, min_size=1, max_size=3).map("".join), st.tuples(inner, inner).map(lambda p: f"({p[0]}|{p[1]})"), st.tuples(inner, st.sampled_from(["*", "+", "?", "{2}", "{0,1}"])).map(lambda p: f"({p[0]}){p[1]}")),
+    lambda inner: st.one_of(
+        st.lists(inner, min_size=1, max_size=3).map("".join),
+        st.tuples(inner, inner).map(lambda p: f"({p[0]}|{p[1]})"),
+        st.tuples(inner, st.sampled_from(["*", "+", "?", "{2}", "{0,1}"])).map(lambda p: f"({p[0]}){p[1]}"),
+    ),
     max_leaves=6,
 )
 

@@ -93,21 +93,41 @@ def plain_context(spec, pred):
     return out
 
 
-@pytest.mark.parametrize("spec", [S("TODO", before=1, after=1), S("TODO", after=2, max_count=1), S("TODO", invert=True, before=1), S("TODO", max_count=0, after=1), S("HACK|back", before=1)])
+@pytest.mark.parametrize(
+    "spec",
+    [
+        S("TODO", before=1, after=1),
+        S("TODO", after=2, max_count=1),
+        S("TODO", invert=True, before=1),
+        S("TODO", max_count=0, after=1),
+        S("HACK|back", before=1),
+    ],
+)
 def test_context(docs, spec):
     pred = {"TODO": lambda x: ("TODO" in x) != spec.invert, "HACK|back": lambda x: "HACK" in x or "back" in x}[spec.pattern]
     assert rows(report.with_context(docs, spec), "doc_id", "line_no", "line", "is_match", "group_id") == plain_context(spec, pred)
 
 
 def test_caps_and_formats(docs):
-    assert rows(report.first_matches(docs, S("TODO", max_count=1))) == [(0, 1, "TODO first"), (5, 3, "öß TODO ŐÉ"), (6, 1, "a\x00binary TODO")]
+    assert rows(report.first_matches(docs, S("TODO", max_count=1))) == [
+        (0, 1, "TODO first"), (5, 3, "öß TODO ŐÉ"), (6, 1, "a\x00binary TODO")
+    ]
     assert rows(report.counts(docs, S("TODO", max_count=1)), "doc_id", "n") == [(0, 1), (5, 1), (6, 1)]
     assert [r.n for r in report.top_documents(docs, S("TODO"), 2).collect()] == [2, 2]
     found = report.with_context(docs, S("HACK", after=1))
-    assert [r[2] for r in rows(report.plain(found), "doc_id", "line_no", "out")] == ["5:1:FIXME or HACK", "5-2-fn main() !void { }"]
+    assert [
+        r[2] for r in rows(report.plain(found), "doc_id", "line_no", "out")
+    ] == ["5:1:FIXME or HACK", "5-2-fn main() !void { }"]
     assert rows(report.plain(found, line_number=False), "out")[0][0] == "5-fn main() !void { }"
-    assert rows(report.as_json(match.matching_lines(docs, S("HACK"))), "out")[0][0] == '{"doc_id":5,"line_no":1,"line":"FIXME or HACK"}'
-    shown = rows(report.coloured(match.matching_lines(docs, S("todo", ignore_case=True)), S("todo", ignore_case=True)), "doc_id", "line_no", "out")
+    assert rows(
+        report.as_json(match.matching_lines(docs, S("HACK"))), "out"
+    )[0][0] == '{"doc_id":5,"line_no":1,"line":"FIXME or HACK"}'
+    shown = rows(
+        report.coloured(match.matching_lines(docs, S("todo", ignore_case=True)), S("todo", ignore_case=True)),
+        "doc_id",
+        "line_no",
+        "out",
+    )
     assert shown[2][2].endswith("\x1b[1;31mTODO\x1b[0m \x1b[1;31mTODO\x1b[0m third")
     new = {r.doc_id: r.text for r in report.replaced(docs, S(r"TODO|\\"), r"<$1\>").collect()}
     assert new[0] == TEXTS[0].replace("TODO", r"<$1\>") and new[5].endswith(r"$1 <$1\> back") and new[3] is None
@@ -115,7 +135,12 @@ def test_caps_and_formats(docs):
 
 def test_offsets(spark):
     df = spark.createDataFrame([("aaaa",), ("xaa",), ("",), ("ab\\Eab",)], "t string")
-    got = df.select(strings.overlapping_offsets(F.col("t"), "aa").alias("o"), strings.occurrences(F.col("t"), "aa").alias("n"), strings.first_offset(F.col("t"), "a", 1).alias("f"), strings.overlapping_offsets(F.col("t"), "\\E").alias("q")).collect()
+    got = df.select(
+        strings.overlapping_offsets(F.col("t"), "aa").alias("o"),
+        strings.occurrences(F.col("t"), "aa").alias("n"),
+        strings.first_offset(F.col("t"), "a", 1).alias("f"),
+        strings.overlapping_offsets(F.col("t"), "\\E").alias("q"),
+    ).collect()
     assert [(r.o, r.n, r.f, r.q) for r in got] == [([0, 1, 2], 3, 1, []), ([1], 1, 1, []), ([], 0, None, []), ([], 0, 4, [2])]
 
 
@@ -154,10 +179,14 @@ def test_index_in_a_folder(spark, docs, tmp_path):
     want = rows(match.matching_lines(clean, S("TODO")))
     assert rows(index.search(clean, S("TODO"), rebuild=False)) == want and not index.valid()
     assert rows(index.search(clean, S("TODO"))) == want and index.valid() and not index.stale(clean)
-    newer = clean.filter("doc_id <> 0").withColumn("text", F.when(F.col("doc_id") == 1, "now TODO").otherwise(F.col("text"))).unionByName(spark.createDataFrame([(9, "new TODO")], "doc_id long, text string"))
+    newer = clean.filter("doc_id <> 0").withColumn(
+        "text", F.when(F.col("doc_id") == 1, "now TODO").otherwise(F.col("text"))
+    ).unionByName(spark.createDataFrame([(9, "new TODO")], "doc_id long, text string"))
     assert rows(changes(index.files(), snapshot(newer)), "doc_id", "change") == [(0, "removed"), (1, "changed"), (9, "added")]
     index.refresh(newer)
-    assert not index.stale(newer) and rows(indexed_lines(newer, index.postings(), S("TODO"))) == rows(match.matching_lines(newer, S("TODO")))
+    assert not index.stale(newer) and rows(
+        indexed_lines(newer, index.postings(), S("TODO"))
+    ) == rows(match.matching_lines(newer, S("TODO")))
     assert index.postings().exceptAll(postings(newer).select(*index.postings().columns)).count() == 0
     spark.createDataFrame([(99,)], "version int").write.mode("overwrite").parquet(str(tmp_path / "index" / "meta"))
     assert not index.valid()

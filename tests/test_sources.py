@@ -30,8 +30,22 @@ def listed(*args, **how):
 
 
 def test_walk(root):
-    assert listed(root + "/") == [".gitignore", ".hidden.txt", "_under.py", "a.txt", "bin.dat", "empty.txt", "latin.txt", "logs/keep.log", "src/.gitignore", "src/b.py", "src/deep/c.py"]
-    assert listed(root, ignore_files=()) == [*listed(root)[:7], "logs/h.log", "logs/keep.log", "src/.gitignore", "src/b.py", "src/deep/c.py", "src/deep/er/d.rs"]
+    assert listed(root + "/") == [
+        ".gitignore",
+        ".hidden.txt",
+        "_under.py",
+        "a.txt",
+        "bin.dat",
+        "empty.txt",
+        "latin.txt",
+        "logs/keep.log",
+        "src/.gitignore",
+        "src/b.py",
+        "src/deep/c.py",
+    ]
+    assert listed(root, ignore_files=()) == [
+        *listed(root)[:7], "logs/h.log", "logs/keep.log", "src/.gitignore", "src/b.py", "src/deep/c.py", "src/deep/er/d.rs"
+    ]
     assert "src/b.py" in listed(root, max_depth=1) and "src/deep/c.py" not in listed(root, max_depth=1)
     assert listed(root, max_depth=0) == [n for n in listed(root) if "/" not in n]
     assert listed(root, ext="py") == ["_under.py", "src/b.py", "src/deep/c.py"]
@@ -43,7 +57,16 @@ def test_search_in_files(spark, root):
     docs = tree.as_documents(files)
     assert docs.filter(F.col("path").endswith("bin.dat") | F.col("path").endswith("empty.txt")).count() == 0
     got = {r.path[len(root) + 1 :]: r.n for r in report.counts(docs, S("TODO"), "path").collect()}
-    assert got == {".hidden.txt": 1, "_under.py": 1, "a.txt": 1, "src/b.py": 1, "src/deep/c.py": 2, "logs/keep.log": 1, "vendor/g.c": 1, "latin.txt": 1}
+    assert got == {
+        ".hidden.txt": 1,
+        "_under.py": 1,
+        "a.txt": 1,
+        "src/b.py": 1,
+        "src/deep/c.py": 2,
+        "logs/keep.log": 1,
+        "vendor/g.c": 1,
+        "latin.txt": 1,
+    }
     assert tree.files(spark, f"{root}/gone").count() == 0
 
 
@@ -68,9 +91,31 @@ def test_nested_rules_stay_in_their_directory():
 
 def test_columns_agree_with_the_driver(spark):
     rules = paths.parse_rules("*.es\n!*7.es\nsrc1*\n?.md\n")
-    names = ["a/1.es", "a/7.es", "src1/x", "b/src12", "b.md", "xx/b.md", "bb.md", "a.tar.gz", ".bashrc", "no", "x/.git/y", "x/vendor/y", ".h/y", "vendor"]
+    names = [
+        "a/1.es",
+        "a/7.es",
+        "src1/x",
+        "b/src12",
+        "b.md",
+        "xx/b.md",
+        "bb.md",
+        "a.tar.gz",
+        ".bashrc",
+        "no",
+        "x/.git/y",
+        "x/vendor/y",
+        ".h/y",
+        "vendor",
+    ]
     df = spark.createDataFrame([(n,) for n in names], "p string")
-    got = df.select("p", paths.not_ignored(F.col("p"), rules).alias("k"), paths.in_open_directories(F.col("p")).alias("o"), strings.extension(F.col("p")).alias("e"), strings.depth(F.col("p")).alias("d"), paths.included(F.col("p"), ["*.es", "a*"], ["*7*"]).alias("i")).collect()
+    got = df.select(
+        "p",
+        paths.not_ignored(F.col("p"), rules).alias("k"),
+        paths.in_open_directories(F.col("p")).alias("o"),
+        strings.extension(F.col("p")).alias("e"),
+        strings.depth(F.col("p")).alias("d"),
+        paths.included(F.col("p"), ["*.es", "a*"], ["*7*"]).alias("i"),
+    ).collect()
     for r in got:
         assert r.k == (not paths.is_ignored(rules, r.p, compat=True))
         assert r.o == (not any(paths.skips_directory(d) for d in r.p.split("/")[:-1]))
