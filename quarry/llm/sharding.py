@@ -118,7 +118,10 @@ def shard(
         *[c.alias(f"__d_{name}") for name, c in dims.items()],
     )
     if not alone:
-        least = meta.filter("__group is not null").groupBy("__group").agg(F.min(F.struct(*names)).alias("__least"))
+        # staged, so that both sides of the join are exchanges and a hot group's rows can be split
+        least = staged(
+            meta.filter("__group is not null").groupBy("__group").agg(F.min(F.struct(*names)).alias("__least")), "least-cells"
+        )
         meta = meta.join(least, "__group", "left").withColumns(
             {n: F.coalesce(F.col(f"__least.{n}"), F.col(n)) for n in names}
         ).drop("__least")
