@@ -104,7 +104,8 @@ def line_windows(docs: DataFrame, key: str, text: str, min_words: int) -> DataFr
 def repeated_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """(key, __same, runs): for each document with later repeats the lines to delete, as an array of (begin, end), both included."""
     windows = staged(line_windows(docs, key, text, min_words), "windows")
-    shared = windows.groupBy("anchor").count().filter("count > 1").select("anchor")
+    # staged, so that both sides of the join are exchanges and a hot anchor's windows can be split
+    shared = staged(windows.groupBy("anchor").count().filter("count > 1").select("anchor"), "shared-anchors")
     alike = windows.join(shared, "anchor", "left_semi")
     place = F.struct(key, "__same", "begin", "end")
     first = alike.groupBy("a", "b").agg(F.min(place).alias("__first"), F.count("*").alias("__n")).filter("__n > 1").drop("__n")
