@@ -1,6 +1,7 @@
 """A trigram index as Parquet tables, and searches that read candidates from it.
 
-postings(trigram, doc_id, loc_mask, next_mask), sorted and range-partitioned by trigram so that a search reads few row groups;
+postings(trigram, doc_id, loc_mask, next_mask, shard) in a folder for each of SHARDS classes of trigrams, sorted by trigram, so that a search
+opens few files and reads few of their row groups;
 files(doc_id, size, fingerprint) for staleness; meta, one row. Masks are bits of positions modulo 8 and of the following byte
 modulo 8 (255 at the end of a document).
 """
@@ -19,6 +20,12 @@ from quarry.plans.pattern import compile_pattern
 from quarry.spec import SearchSpec
 
 VERSION = 1
+SHARDS = 64
+
+
+def shard_of(trigram):
+    """The class of a trigram, an int or a Column; neighbouring codes spread."""
+    return trigram * 40_503 % 65_537 % SHARDS
 
 
 def trigram_code(chars: Column) -> Column:
@@ -33,7 +40,7 @@ def distinct_trigrams(docs: DataFrame, key: str = "doc_id", text: str = "text")
 
 
 def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(trigram, key, loc_mask, next_mask). Binary documents are left out.
+    """(trigram, key, loc_mask, next_mask), ints but for the key. Binary documents are left out.
 
     The one exchange is of texts by key. It serves the grouping by (key, trigram) behind it, whose rows, one for each
     occurrence and later a fifth of the text's bytes in postings, then never leave their task.
@@ -124,6 +131,8 @@ def candidates(postings_: DataFrame, spec: SearchSpec, key: str = "doc_id", mask
         return None
     grams = sorted(T.leaves(plan))
     hits = postings_.filter(F.col("trigram").isin(grams))
+    if "shard" in postings_.columns:  # prunes folders
+        hits = hits.filter(F.col("shard").isin(sorted({shard_of(t) for t in grams})))
     if masks and need:
         wanted = F.lit(0)
         for t, m in need.items():
@@ -151,17 +160,26 @@ class TrigramIndex:
     def snapshot(self, docs: DataFrame) -> DataFrame:
         return snapshot(docs, self.key, self.text, self.version)
 
-    def build(self, docs: DataFrame, partitions: int | None = None) -> None:
+    def _write(self, made: DataFrame, name: str) -> None:
+        """Deals postings by shard, a shard to several tasks if there are more tasks than shards: common trigrams don't fill one.
+
+        Nothing is sampled, so postings are made once.
+        """
+        salts = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // SHARDS)
+        sharded = made.withColumn("shard", shard_of(F.col("trigram").cast("bigint")).cast("int"))
+        dealt = sharded.repartition("shard", F.pmod(F.xxhash64(self.key), F.lit(salts)))
+        dealt.sortWithinPartitions("shard", "trigram", self.key).write.mode("overwrite").partitionBy("shard").parquet(f"{self.path}/{name}")
+
+    def build(self, docs: DataFrame) -> None:
         """Writes all tables; meta comes last and marks the index as whole."""
         self.spark.createDataFrame([(0,)], "version int").write.mode("overwrite").parquet(f"{self.path}/meta")
-        made = postings(docs, self.key, self.text)
-        dealt = made.repartitionByRange(partitions, "trigram", self.key) if partitions else made.repartitionByRange("trigram", self.key)
-        dealt.sortWithinPartitions("trigram", self.key).write.mode("overwrite").parquet(f"{self.path}/postings")
+        self._write(postings(docs, self.key, self.text), "postings")
         self.snapshot(docs).write.mode("overwrite").parquet(f"{self.path}/files")
         self.spark.createDataFrame([(VERSION,)], "version int").write.mode("overwrite").parquet(f"{self.path}/meta")
 
     def postings(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/postings")
+        schema = f"trigram int, `{self.key}` {self.files().schema[self.key].dataType.simpleString()}, loc_mask int, next_mask int, shard int"
+        return self.spark.read.schema(schema).parquet(f"{self.path}/postings")
 
     def files(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/files")
@@ -186,10 +204,9 @@ class TrigramIndex:
     def refresh(self, docs: DataFrame) -> None:
         """Brings the index up to docs, extracting trigrams of new and changed documents only."""
         diff = changes(self.files(), self.snapshot(docs), self.key)
-        kept = self.postings().join(diff, self.key, "left_anti")
+        kept = self.postings().drop("shard").join(diff, self.key, "left_anti")
         fresh = postings(docs.join(diff.filter("change != 'removed'"), self.key, "left_semi"), self.key, self.text)
-        merged = kept.unionByName(fresh.select(*kept.columns)).repartitionByRange("trigram", self.key).sortWithinPartitions("trigram", self.key)
-        merged.write.mode("overwrite").parquet(f"{self.path}/postings-next")
+        self._write(kept.unionByName(fresh), "postings-next")
         self.snapshot(docs).write.mode("overwrite").parquet(f"{self.path}/files-next")
-        self.spark.read.parquet(f"{self.path}/postings-next").write.mode("overwrite").parquet(f"{self.path}/postings")
+        self._write(self.spark.read.parquet(f"{self.path}/postings-next").drop("shard"), "postings")
         self.spark.read.parquet(f"{self.path}/files-next").write.mode("overwrite").parquet(f"{self.path}/files")
