@@ -1,7 +1,4 @@
-import datetime
-
 import pytest
-from pyspark.sql import types as T
 
 SF = "/root/testdata/sf0.001"
 

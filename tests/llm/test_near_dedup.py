@@ -148,3 +148,16 @@ def test_one_of_each_group_stays(spark, odd_docs, no_docs):
     assert out.columns == odd_docs.columns
     assert sorted((r.doc_id or 0) for r in out.collect()) == [0, 1, 3, 6, 8]
     assert near_dedup.without_copies(no_docs).count() == 0
+
+
+def test_staged_tables_can_be_cleared(spark):
+    from pyspark.errors import PySparkException
+
+    from quarry.llm.shared import clear_staged, staged
+
+    kept = staged(spark.range(5).toDF("a"), "kept")
+    path = kept.inputFiles()[0]
+    assert kept.count() == 5
+    clear_staged(spark)
+    with pytest.raises(PySparkException):
+        spark.read.parquet(path).count()
