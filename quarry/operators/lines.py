@@ -8,9 +8,8 @@ from pyspark.sql import functions as F
 
 def line_array(text: Column) -> Column:
     """Lines of a text, split at \\n only. A final \\n opens no further line; an empty or null text has none."""
-    parts = F.split(F.coalesce(text, F.lit("")), "\n", -1)
-    last = F.element_at(parts, -1) == ""
-    return F.when(last, F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    whole = F.when(text.endswith("\n"), F.substring(text, F.lit(1), F.length(text) - 1)).otherwise(text)  # split once, not to be looked at after
+    return F.when(text != "", F.split(whole, "\n", -1)).otherwise(F.array().cast("array<string>"))
 
 
 def lines(docs: DataFrame, key: str | list[str] = "doc_id", text: str = "text") -> DataFrame:

@@ -27,7 +27,9 @@ def counts(docs: DataFrame, spec: SearchSpec, key="doc_id", text: str = "text")
     n = F.size(F.filter(line_array(F.col(text)), lambda line: matches(line, spec))).cast("bigint")
     if spec.max_count is not None:
         n = F.least(n, F.lit(spec.max_count).cast("bigint"))
-    return (docs if early is None else docs.filter(early)).select(*_keys(key), n.alias("n")).filter("n > 0")
+    # a filter on n would be pushed below and count twice; a generator of none or one isn't
+    some = F.explode(F.filter(F.array(n), lambda x: x > 0))
+    return (docs if early is None else docs.filter(early)).select(*_keys(key), some.alias("n"))
 
 
 def docs_with_matches(docs: DataFrame, spec: SearchSpec, key="doc_id", text: str = "text") -> DataFrame:
