@@ -61,6 +61,21 @@ def overlapping_offsets(text: Column, needle: str) -> Column:
     return F.filter(sums, lambda at: (at > 0) | text.startswith(needle))
 
 
+#: Characters of English text and code from common to rare; those that are not here are rarer still.
+COMMON = " etaoinshrdlucmfwygpbvk" + "_.,-=()/\"0123456789:;jxqzETAOINSHRDLUCMFWYGPBVKJXQZ"
+
+
+def rarity(char: str) -> int:
+    """How rare a character is likely to be, from 0."""
+    at = COMMON.find(char)
+    return at if at >= 0 else len(COMMON)
+
+
+def rarest_index(needle: str) -> int:
+    """Place of the character that is likely the rarest, the first of equal ones; 0 for an empty needle."""
+    return max(range(len(needle)), key=lambda i: rarity(needle[i]), default=0)
+
+
 def glob_regex(glob: str) -> str:
     """* is any run, also across /, ? any one character; the whole string has to match."""
     return r"\A" + "".join({"*": "(?s:.*)", "?": "(?s:.)"}.get(c) or quoted(c) for c in glob) + r"\z"

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from quarry.functions.strings import latin1_str, quoted
+from quarry.functions.strings import latin1_str, quoted, rarest_index, rarity
 from quarry.spec import SearchSpec
 
 
@@ -298,9 +298,9 @@ def mandatory_runs(node: Node) -> list[str]:
 
 
 def required_literal(node: Node) -> str | None:
-    """The longest text that every match holds, the first of equal ones."""
+    """The longest text that every match holds, of equally long ones that with the rarest character."""
     runs = mandatory_runs(node)
-    return max(runs, key=len) if runs else None
+    return max(runs, key=lambda r: (len(r), rarity(r[rarest_index(r)]))) if runs else None
 
 
 @dataclass(frozen=True)

@@ -86,6 +86,14 @@ def test_literals():
     assert required_literal(parse("a{0}")) is None and required_literal(parse(r"ab\bcd")) == "ab"
 
 
+def test_the_rarest_character():
+    from quarry.functions.strings import rarest_index
+
+    assert [rarest_index(w) for w in ("TODO", "zebra", "a\x00b", "ee", "")] == [2, 0, 1, 0, 0]
+    assert rarest_index("fuzz") == 2 and rarest_index("a{b{") == 1
+    assert required_literal(parse("ten.zoo")) == "zoo" and required_literal(parse("zoo.ten")) == "zoo"
+
+
 def test_plans():
     def plan(p):
         return T.decompose(parse(p))
