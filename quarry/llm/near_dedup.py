@@ -142,7 +142,8 @@ def keyed_by_chunks(nodes: DataFrame, words: list[str], hot_nodes: int = HOT_NOD
     fingerprints that differ in 39 of 256 bits share at least one in 24 of 25 cases, nearer ones more surely.
     """
     each = nodes.select("node", F.size("chunks").alias("__size"), F.explode("chunks").alias("chunk"))
-    shared = each.groupBy("chunk").agg(F.count("*").alias("__df")).filter("__df > 1")
+    # counts are staged, so that both sides of the joins are exchanges and a hot chunk's rows can be split
+    shared = staged(each.groupBy("chunk").agg(F.count("*").alias("__df")).filter("__df > 1"), "shared-chunks")
     known = each.join(shared, "chunk").groupBy("node").agg(
         F.first("__size").alias("__size"), F.sort_array(F.collect_list(F.struct("__df", "chunk"))).alias("__known")
     )
@@ -150,7 +151,8 @@ def keyed_by_chunks(nodes: DataFrame, words: list[str], hot_nodes: int = HOT_NOD
         "node", F.explode(F.slice("__known", 1, RAREST)).alias("__c")
     )
     met = able.select("node", F.col("__c.chunk").alias("chunk"))
-    size = met.groupBy("chunk").agg(F.count("*").alias("__n")).filter("__n > 1")
+    met = staged(met, "rare-chunks")
+    size = staged(met.groupBy("chunk").agg(F.count("*").alias("__n")).filter("__n > 1"), "chunk-sizes")
     keyed = staged(met.join(size, "chunk").join(nodes.select("node", *words), "node"), "met")
     bands = []
     for i in range(BANDS):
