@@ -55,10 +55,6 @@ def digests(shingles: list[bytes], bits: int) -> bytes:
     return b"".join([xxhash.xxh3_128_digest(s, seed) for s in shingles for seed in range(42, 42 + bits // 128)])
 
 
-def simhash(text: bytes, size: int, bits: int) -> np.ndarray:
-    return vote(digests(shingles_of(words_of(text), size), bits), bits)
-
-
 def chunks_of(words: list[bytes]) -> list[int]:
     """Hashes, as signed longs, of the SAMPLE different chunks of least hash."""
     out, start = set(), 0
