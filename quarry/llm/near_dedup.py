@@ -78,12 +78,16 @@ def fingerprints(
 
     def run(batches):
         for batch in batches:
-            split = [words_of(t or b"") for t in batch.column(1).to_pylist()]
-            codes = [vote(digests(shingles_of(w, size), bits), bits) for w in split]
+            codes, sampled = [], []
+            for t in batch.column(1).to_pylist():
+                split = words_of(t or b"")
+                codes.append(vote(digests(shingles_of(split, size), bits), bits))
+                if chunks:
+                    sampled.append(chunks_of(split))
             rows = np.array(codes, ">u8").reshape(len(codes), len(words)).astype("<u8").view("<i8")
             arrays = [batch.column(0), *[pa.array(rows[:, i]) for i in range(len(words))]]
             if chunks:
-                arrays.append(pa.array([chunks_of(w) for w in split], pa.list_(pa.int64())))
+                arrays.append(pa.array(sampled, pa.list_(pa.int64())))
             yield pa.RecordBatch.from_arrays(arrays, [key, *words, *(["chunks"] if chunks else [])])
 
     kind = docs.schema[key].dataType.simpleString()
