@@ -65,6 +65,7 @@ Node = Char | Any | Set | Bound | Seq | Either | Repeat
 #: The ASCII sets.
 SETS = {"d": "0-9", "w": "A-Za-z0-9_", "s": r" \t\n\r"}
 CONTROLS = {"n": "\n", "r": "\r", "t": "\t"}
+NOT_BEHIND_WORD, NOT_BEFORE_WORD = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
 WORD_BOUND = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
 MAX_REPEAT = 1000
 
@@ -227,6 +228,42 @@ def _java_set(node: Set) -> str:
     return f"(?:(?!{either})(?s:.))" if node.negated else f"(?:{either})"
 
 
+def _is_word(part) -> bool:
+    if isinstance(part, _SetName):
+        return part in ("d", "w")
+    ends = part if isinstance(part, tuple) else (part, part)
+    return any(all(low <= e <= high for e in ends) for low, high in ("az", "AZ", "09", "__"))
+
+
+def edge_is_word(node: Node, first: bool) -> bool:
+    """The first (or last) character of every match of the node is a word character."""
+    match node:
+        case Char(c):
+            return _is_word(c)
+        case Set(parts, negated):
+            return not negated and bool(parts) and all(map(_is_word, parts))
+        case Repeat(item, least, _):
+            return least >= 1 and edge_is_word(item, first)
+        case Seq(items):
+            return bool(items) and edge_is_word(items[0 if first else -1], first)
+        case Either(items):
+            return all(edge_is_word(i, first) for i in items)
+    return False
+
+
+def _java_items(items: tuple) -> str:
+    """A sequence. A word bound next to what is surely a word character need only look to its other side."""
+    out = []
+    for i, item in enumerate(items):
+        if item == Bound("b") and i + 1 < len(items) and edge_is_word(items[i + 1], True):
+            out.append(NOT_BEHIND_WORD)
+        elif item == Bound("b") and i and edge_is_word(items[i - 1], False):
+            out.append(NOT_BEFORE_WORD)
+        else:
+            out.append(f"(?:{java(item)})" if isinstance(item, Either) else java(item))
+    return "".join(out)
+
+
 def java(node: Node) -> str:
     """A Java regular expression that finds, in one line, what the tree describes."""
     match node:
@@ -239,7 +276,7 @@ def java(node: Node) -> str:
         case Bound(kind):
             return {"^": r"\A", "$": r"\z", "b": WORD_BOUND}[kind]
         case Seq(items):
-            return "".join(f"(?:{java(i)})" if isinstance(i, Either) else java(i) for i in items)
+            return _java_items(items)
         case Either(items):
             return "|".join(map(java, items))
         case Repeat(item, least, most):

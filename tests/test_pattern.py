@@ -94,6 +94,20 @@ def test_the_rarest_character():
     assert required_literal(parse("ten.zoo")) == "zoo" and required_literal(parse("zoo.ten")) == "zoo"
 
 
+bounded = st.lists(
+    st.sampled_from([r"\b", "a", "[ab]", r"\w+", " ", "-?", r"(a|b)", r"(a| )", r"\W", "b*", "é", r"[^a]"]),
+    min_size=1,
+    max_size=5,
+).map("".join)
+
+
+@settings(max_examples=500, deadline=None)
+@given(bounded, st.text("ab -é_", max_size=7))
+def test_word_bounds(pattern, text):
+    want = re.search(pattern.replace("[^a]", r"[^a\n]"), text, re.ASCII) is not None
+    assert found(pattern, text) == want
+
+
 def test_plans():
     def plan(p):
         return T.decompose(parse(p))
