@@ -9,7 +9,8 @@ whose sentences open elsewhere, is still found.
 
 Windows of documents and of benchmark items are hash-joined. Where matched windows within a stretch of a document cover at least
 0.8 of an item's windows, the slots are checked: each value in the item has to stand for one value in the document
-throughout (0.8 of them, at least). Equal values are a verbatim copy, others a re-parameterised question.
+throughout (0.8 of them, at least). Places are aligned before, as an item may repeat a window with other values. Equal values are
+a verbatim copy, others a re-parameterised question.
 """
 
 from __future__ import annotations
@@ -180,39 +181,66 @@ def template_windows(rows: DataFrame, key: str, text: str, sent: np.ndarray | No
     )
 
 
+def aligned(hits: list[tuple]) -> list[tuple]:
+    """At most one hit for each place of the document and of the item: the chain of most hits that rises in both, less one for each
+    change of offset, of equal ones that of most equal slots; then likewise among the places that are left."""
+    out = []
+    while hits:
+        if len({h[0] for h in hits}) == len({h[1] for h in hits}) == len(hits):
+            return out + hits
+        hits = sorted(hits, key=lambda h: (h[0], h[1]))
+        mine, item = np.array([h[0] for h in hits]), np.array([h[1] for h in hits])
+        own = 1 + np.array([h[2] == h[3] for h in hits]) / (2 * len(hits))
+        total, before = own.copy(), np.full(len(hits), -1)
+        for k in range(1, len(hits)):
+            able = np.where((mine[:k] < mine[k]) & (item[:k] < item[k]), total[:k] - (mine[:k] - item[:k] != mine[k] - item[k]), 0)
+            j = int(able.argmax())
+            if able[j] > 0:
+                total[k], before[k] = own[k] + able[j], j
+        k, chain = int(total.argmax()), []
+        while k >= 0:
+            chain.append(hits[k])
+            k = int(before[k])
+        out += chain
+        used, taken = {h[0] for h in chain}, {h[1] for h in chain}
+        hits = [h for h in hits if h[0] not in used and h[1] not in taken]
+    return out
+
+
 def judge(hits: list[tuple], n: int, coverage: float) -> tuple | None:
     """hits: (place in the document, place in the item, slots there, slots here) of one document and item with n windows.
 
-    The stretch that covers most of the item, as (coverage, verbatim, first place, last place), None if it covers too
-    little or its slots don't agree.
+    Of the stretches that cover enough of the item and whose slots agree, the one that covers most, a verbatim one
+    before others, as (coverage, verbatim, first and last aligned place); None if there is none.
     """
     hits.sort()
     length = max(h[1] for h in hits) + WINDOW
     best = None
     inside: Counter = Counter()
-    low = 0
-    for high, hit in enumerate(hits):
-        inside[hit[1]] += 1
-        while hits[high][0] - hits[low][0] > length + length // 4:
-            inside[hits[low][1]] -= 1
-            if not inside[hits[low][1]]:
-                del inside[hits[low][1]]
-            low += 1
-        if best is None or len(inside) > best[0]:
-            best = (len(inside), low, high)
-    if best is None or best[0] < coverage * n:
-        return None
-    meant: dict[str, Counter] = defaultdict(Counter)
-    for _, _, mine, other in hits[best[1] : best[2] + 1]:
-        for a, b in zip(other.split("\x1f"), mine.split("\x1f")):
-            if a:
-                meant[a][b] += 1
-    total = sum(sum(c.values()) for c in meant.values())
-    agreed = sum(max(c.values()) for c in meant.values())
-    if agreed < coverage * total:
-        return None
-    same = sum(c[a] for a, c in meant.items())
-    return min(1.0, best[0] / n), same >= total, hits[best[1]][0], hits[best[2]][0] + WINDOW - 1
+    high = 0
+    for low, hit in enumerate(hits):
+        while high < len(hits) and hits[high][0] - hit[0] <= length + length // 4:
+            inside[hits[high][1]] += 1
+            high += 1
+        found = len(inside)
+        inside[hit[1]] -= 1
+        if not inside[hit[1]]:
+            del inside[hit[1]]
+        if found < coverage * n or (low and hits[low - 1][0] == hit[0]) or (best and (found, True) <= best[:2]):
+            continue
+        meant: dict[str, Counter] = defaultdict(Counter)
+        placed = aligned(hits[low:high])
+        for _, _, mine, other in placed:
+            for a, b in zip(other.split("\x1f"), mine.split("\x1f")):
+                if a:
+                    meant[a][b] += 1
+        total = sum(sum(c.values()) for c in meant.values())
+        if sum(max(c.values()) for c in meant.values()) < coverage * total:
+            continue
+        same = sum(c[a] for a, c in meant.items()) >= total
+        if best is None or (found, same) > best[:2]:
+            best = (found, same, min(h[0] for h in placed), max(h[0] for h in placed) + WINDOW - 1)
+    return best and (min(1.0, best[0] / n), *best[1:])
 
 
 def leaks(

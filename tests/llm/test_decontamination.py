@@ -68,6 +68,28 @@ def test_slots_have_to_agree():
     assert decontamination.judge([(i, i, "3x", "3x") for i in range(5)], 5, 0.8)[1] is True
 
 
+TRAIN = (
+    "A train leaves the station at 9 with 40 people. At the first stop 12 people get on and 7 people get off. At the second stop "
+    "15 people get on and 3 people get off. At the third stop 8 people get on and 21 people get off. How many people are on the train now?"
+)
+
+
+def test_items_that_repeat_a_window_are_found(spark):
+    other = TRAIN.replace("12", "31").replace("15", "44").replace("21", "67")
+    mixed = TRAIN.replace("40 people.", "40 very merry people.").replace("and 3 people", "and then 3 people")
+    texts = ["Some words before. " + TRAIN + " More follows.", other, TRAIN[:90], "One more here. " + mixed, other + " " * 5 + TRAIN]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(1, TRAIN)], "item_id long, text string")
+    got = {r.doc_id: r.verbatim for r in decontamination.leaks(docs, bench).collect()}
+    assert got == {0: True, 1: False, 3: got.get(3), 4: True} and got[3] is not None
+
+
+def test_every_stretch_is_judged():
+    bad = [(i, i, f"3{v}", "3x") for i, v in enumerate("abcde")]
+    good = [(100 + i, i, "3x", "3x") for i in range(5)]
+    assert decontamination.judge(bad + good, 5, 0.8) == (1.0, True, 100, 108)
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     text = "We keep the odd rows of a table and lose none of them here."
     docs = odd_docs.unionByName(
