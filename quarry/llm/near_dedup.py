@@ -28,8 +28,8 @@ HOT_ROWS = 200_000
 #: Passages: a chunk ends at a word whose hash is a multiple of CHUNK_WORDS, not before LEAST_WORDS words. A document is known by its
 #: SAMPLE chunks of least hash; it meets others by the RAREST of those that another text has, if these are MIN_SHARED of its sample.
 CHUNK_WORDS, LEAST_WORDS, SAMPLE, RAREST, MIN_SHARED = 16, 5, 16, 6, 0.25
-#: Nodes of one chunk beyond which they also have to share one of BANDS bands of BAND_BITS bits.
-HOT_NODES, BANDS, BAND_BITS = 2_000, 21, 12
+#: Nodes of one chunk beyond which they are compared block by block.
+HOT_NODES = 2_000
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -138,8 +138,8 @@ def keyed_by_chunks(nodes: DataFrame, words: list[str], hot_nodes: int = HOT_NOD
 
     A node takes part if MIN_SHARED of its sampled chunks are those of another text too, as near copies share most: boilerplate in a text of
     its own doesn't make it a candidate. It takes the RAREST of those chunks, so common ones are used by texts that have
-    nothing else. Nodes of a chunk that still has over hot_nodes meet by bands of fingerprint bits within it, of which two
-    fingerprints that differ in 39 of 256 bits share at least one in 24 of 25 cases, nearer ones more surely.
+    nothing else. Nodes of a chunk that still has over hot_nodes are dealt to blocks of about so many, and every two blocks meet, so
+    that no pair is lost.
     """
     each = nodes.select("node", F.size("chunks").alias("__size"), F.explode("chunks").alias("chunk"))
     # counts are staged, so that both sides of the joins are exchanges and a hot chunk's rows can be split
@@ -154,14 +154,11 @@ def keyed_by_chunks(nodes: DataFrame, words: list[str], hot_nodes: int = HOT_NOD
     met = staged(met, "rare-chunks")
     size = staged(met.groupBy("chunk").agg(F.count("*").alias("__n")).filter("__n > 1"), "chunk-sizes")
     keyed = staged(met.join(size, "chunk").join(nodes.select("node", *words), "node"), "met")
-    bands = []
-    for i in range(BANDS):
-        low = i * BAND_BITS
-        piece = F.shiftrightunsigned(words[low // 64], low % 64)
-        if low % 64 + BAND_BITS > 64:
-            piece = piece.bitwiseOR(F.shiftleft(words[low // 64 + 1], 64 - low % 64))
-        bands.append(F.xxhash64("chunk", F.lit(i), piece.bitwiseAND((1 << BAND_BITS) - 1)))
-    keys = F.when(F.col("__n") > hot_nodes, F.array(*bands)).otherwise(F.array("chunk"))
+    # blocks of a hot chunk's nodes: every two of them meet under a key of their own, each also by itself
+    blocks = F.ceil(F.col("__n") / hot_nodes).cast("long")
+    mine = F.pmod(F.xxhash64("node"), blocks)
+    met_blocks = F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda b: F.xxhash64("chunk", F.least(mine, b), F.greatest(mine, b)))
+    keys = F.when(F.col("__n") > hot_nodes, met_blocks).otherwise(F.array("chunk"))
     return keyed.select("node", *words, F.explode(keys).alias("key"))
 
 

@@ -143,6 +143,16 @@ def test_default_recall_by_brute_force(spark, hot, monkeypatch):
     assert not any(group[i] == group[j] for (i, j), s in alike.items() if s < 0.3)
 
 
+@pytest.mark.parametrize("hot", [2000, 3, 1])
+def test_every_pair_of_a_hot_chunk_meets(spark, hot):
+    rnd = random.Random(8)
+    rows = [(i, *[rnd.getrandbits(63) for _ in range(4)], [77]) for i in range(12)]
+    nodes = spark.createDataFrame(rows, "node long, w0 long, w1 long, w2 long, w3 long, chunks array<long>")
+    met = near_dedup.keyed_by_chunks(nodes, ["w0", "w1", "w2", "w3"], hot).select("key", "node")
+    both = met.join(met.withColumnRenamed("node", "other"), "key").filter("node < other").select("node", "other").distinct()
+    assert both.count() == 66
+
+
 def test_one_of_each_group_stays(spark, odd_docs, no_docs):
     out = near_dedup.without_copies(odd_docs)
     assert out.columns == odd_docs.columns
