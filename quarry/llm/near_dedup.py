@@ -4,7 +4,8 @@
 2. Equal fingerprints become one node, named by their smallest key, so copies cost nothing further.
 3. Candidates meet by a shared key. With 64 bits and radius r these are the r + 1 blocks of bits of which two near fingerprints
    share one (exact); hot blocks are split again by the same rule. Longer fingerprints, for a radius that no block
-   survives, meet by passages: hashes of content-defined chunks of some sixteen words, of which near copies share many.
+   survives, meet by shingles: in a common order of all shingles, two texts that share LIKENESS of theirs share one of their
+   prefixes (exact); nodes of a hot shingle are compared block by block.
 4. Within a key the Gray-order index (hamming.GrayIndex) finds all links; a task passes on a spanning
    forest of them, at most one edge a node, not the pairs.
 5. Distributed connected components join the forests.
@@ -12,7 +13,7 @@
 
 from __future__ import annotations
 
-import zlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +26,12 @@ from quarry.llm.shared import components, grouped, roots, staged
 
 #: Rows of one key that a task takes before the key is split again.
 HOT_ROWS = 200_000
-#: Passages: a chunk ends at a word whose hash is a multiple of CHUNK_WORDS, not before LEAST_WORDS words. A document is known by its
-#: SAMPLE chunks of least hash; it meets others by the RAREST of those that another text has, if these are MIN_SHARED of its sample.
-CHUNK_WORDS, LEAST_WORDS, SAMPLE, RAREST, MIN_SHARED = 16, 5, 16, 6, 0.25
-#: Nodes of one chunk beyond which they are compared block by block.
+#: Longer fingerprints: two texts are copies if they share LIKENESS of all their different shingles.
+LIKENESS = 0.8
+#: Shingles that COMMON_DOCS of one in COMMON_SHARE texts have come last in the order, up to MAX_COMMON of them, so that few texts meet by them. Any order gives
+#: the same result.
+COMMON_DOCS, COMMON_SHARE, MAX_COMMON = 8, 50, 100_000
+#: Nodes of one shingle beyond which they are compared block by block.
 HOT_NODES = 2_000
 
 
@@ -55,43 +58,73 @@ def digests(shingles: list[bytes], bits: int) -> bytes:
     return b"".join([xxhash.xxh3_128_digest(s, seed) for s in shingles for seed in range(42, 42 + bits // 128)])
 
 
-def chunks_of(words: list[bytes]) -> list[int]:
-    """Hashes, as signed longs, of the SAMPLE different chunks of least hash."""
-    out, start = set(), 0
-    for i, w in enumerate(words):
-        if i + 1 - start >= LEAST_WORDS and zlib.crc32(w) % CHUNK_WORDS == 0:
-            out.add(xxhash.xxh64_intdigest(b" ".join(words[start : i + 1])))
-            start = i + 1
-    if start < len(words):
-        out.add(xxhash.xxh64_intdigest(b" ".join(words[start:])))
-    return [h - (h >> 63 << 64) for h in sorted(out)[:SAMPLE]]
+def rows_of(digested: bytes, bits: int) -> np.ndarray:
+    """Different shingles as sorted longs, from their digests."""
+    return np.unique(np.frombuffer(digested, "<i8").reshape(-1, bits // 64)[:, 0])
+
+
+def prefix_of(found: np.ndarray, common: np.ndarray | None = None, likeness: float = LIKENESS) -> np.ndarray:
+    """The first of a text's sorted shingles, sorted `common` ones behind others: two texts that share `likeness` of all of theirs share
+    one of these.
+
+    Sets of m and n shingles have likeness * max(m, n) in common at least, so the first common shingle has no more than
+    n - ceil(likeness * n) shingles of either before it.
+    """
+    if common is not None and len(common) and len(found):
+        last = common[np.minimum(np.searchsorted(common, found), len(common) - 1)] == found
+        found = np.concatenate([found[~last], found[last]])
+    return found[: len(found) - math.ceil(likeness * len(found) - 1e-9) + 1]
+
+
+def shingle_sets(docs: DataFrame, key: str, text: str, size: int, bits: int) -> DataFrame:
+    """(node, found): the key as a long and the sorted different shingles of every row."""
+
+    def run(batches):
+        for batch in batches:
+            found = [rows_of(digests(shingles_of(words_of(t or b""), size), bits), bits) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["node", "found"])
+
+    return docs.select(F.col(key).cast("long").alias("node"), F.col(text).cast("binary").alias("__text")).mapInArrow(
+        run, "node bigint, found array<bigint>"
+    )
+
+
+def common_shingles(docs: DataFrame, key: str, text: str, size: int, bits: int) -> np.ndarray:
+    """Shingles of many texts, judged by a part of them; only the order of shingles depends on it."""
+    part = shingle_sets(docs.filter(F.pmod(F.xxhash64(key), F.lit(COMMON_SHARE)) == 0), key, text, size, bits)
+    count = part.select(F.explode("found").alias("s")).groupBy("s").agg(F.count("*").alias("n")).filter(F.col("n") >= COMMON_DOCS)
+    return np.sort(np.array([r.s for r in count.orderBy(F.col("n").desc(), "s").limit(MAX_COMMON).collect()], np.int64))
 
 
 def fingerprints(
     docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, bits: int = 64, chunks: bool = False
 ) -> DataFrame:
-    """(key, w0, w1, ...) for every row: the fingerprint's words as longs, w0 the most significant; with `chunks`, also the sampled
-    chunks' hashes. Null text: as empty, zero, no chunks."""
+    """(key, w0, w1, ...) for every row: the fingerprint's words as longs, w0 the most significant; with `chunks`, also a hash of the set of
+    shingles, their number and those of its prefix. Null text: as empty, zero, an empty set."""
     if bits not in (64, 128, 256, 512):
         raise ValueError("64, 128, 256 or 512 bits")
     words = [f"w{i}" for i in range(bits // 64)]
+    common = common_shingles(docs, key, text, size, bits) if chunks else None
 
     def run(batches):
         for batch in batches:
-            codes, sampled = [], []
+            codes, same, sizes, sampled = [], [], [], []
             for t in batch.column(1).to_pylist():
-                split = words_of(t or b"")
-                codes.append(vote(digests(shingles_of(split, size), bits), bits))
+                digested = digests(shingles_of(words_of(t or b""), size), bits)
+                codes.append(vote(digested, bits))
                 if chunks:
-                    sampled.append(chunks_of(split))
+                    found = rows_of(digested, bits)
+                    same.append(xxhash.xxh64_intdigest(found.tobytes()) >> 1)
+                    sizes.append(len(found))
+                    sampled.append(prefix_of(found, common))
             rows = np.array(codes, ">u8").reshape(len(codes), len(words)).astype("<u8").view("<i8")
             arrays = [batch.column(0), *[pa.array(rows[:, i]) for i in range(len(words))]]
             if chunks:
-                arrays.append(pa.array(sampled, pa.list_(pa.int64())))
-            yield pa.RecordBatch.from_arrays(arrays, [key, *words, *(["chunks"] if chunks else [])])
+                arrays += [pa.array(same, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sampled, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, [key, *words, *(["same", "shingles", "chunks"] if chunks else [])])
 
     kind = docs.schema[key].dataType.simpleString()
-    schema = f"`{key}` {kind}, " + ", ".join(f"{w} bigint" for w in words) + (", chunks array<bigint>" if chunks else "")
+    schema = f"`{key}` {kind}, " + ", ".join(f"{w} bigint" for w in words) + (", same bigint, shingles bigint, chunks array<bigint>" if chunks else "")
     return docs.select(key, F.col(text).cast("binary").alias("__text")).mapInArrow(run, schema)
 
 
@@ -134,27 +167,16 @@ def keyed_by_blocks(nodes: DataFrame, radius: int, hot_rows: int = HOT_ROWS) ->
 
 
 def keyed_by_chunks(nodes: DataFrame, words: list[str], hot_nodes: int = HOT_NODES) -> DataFrame:
-    """nodes(node, words, chunks) once for each key by which it can meet near copies.
+    """nodes(node, words, chunks) once for each key by which it can meet near copies: the shingles of its prefix that another has too.
 
-    A node takes part if MIN_SHARED of its sampled chunks are those of another text too, as near copies share most: boilerplate in a text of
-    its own doesn't make it a candidate. It takes the RAREST of those chunks, so common ones are used by texts that have
-    nothing else. Nodes of a chunk that still has over hot_nodes are dealt to blocks of about so many, and every two blocks meet, so
-    that no pair is lost.
+    Nodes of a shingle that has over hot_nodes are dealt to blocks of about so many, and every two blocks meet, so that no pair is lost.
     """
-    each = nodes.select("node", F.size("chunks").alias("__size"), F.explode("chunks").alias("chunk"))
-    # counts are staged, so that both sides of the joins are exchanges and a hot chunk's rows can be split
-    shared = staged(each.groupBy("chunk").agg(F.count("*").alias("__df")).filter("__df > 1"), "shared-chunks")
-    known = each.join(shared, "chunk").groupBy("node").agg(
-        F.first("__size").alias("__size"), F.sort_array(F.collect_list(F.struct("__df", "chunk"))).alias("__known")
-    )
-    able = known.filter(F.size("__known") >= F.ceil(F.col("__size") * MIN_SHARED)).select(
-        "node", F.explode(F.slice("__known", 1, RAREST)).alias("__c")
-    )
-    met = able.select("node", F.col("__c.chunk").alias("chunk"))
-    met = staged(met, "rare-chunks")
-    size = staged(met.groupBy("chunk").agg(F.count("*").alias("__n")).filter("__n > 1"), "chunk-sizes")
-    keyed = staged(met.join(size, "chunk").join(nodes.select("node", *words), "node"), "met")
-    # blocks of a hot chunk's nodes: every two of them meet under a key of their own, each also by itself
+    each = nodes.select("node", F.explode("chunks").alias("chunk"))
+    # counts are staged, so that both sides of the joins are exchanges and a hot shingle's rows can be split
+    size = staged(each.groupBy("chunk").agg(F.count("*").alias("__n")).filter("__n > 1"), "shared-shingles")
+    met = staged(each.join(size, "chunk"), "met")
+    keyed = met.join(nodes.select("node", *words), "node")
+    # blocks of a hot shingle's nodes: every two of them meet under a key of their own, each also by itself
     blocks = F.ceil(F.col("__n") / hot_nodes).cast("long")
     mine = F.pmod(F.xxhash64("node"), blocks)
     met_blocks = F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda b: F.xxhash64("chunk", F.least(mine, b), F.greatest(mine, b)))
@@ -183,8 +205,8 @@ def near_duplicates(
     """(key, w0, ..., component) for every row of docs; component is the smallest key that its links reach.
 
     Two documents link if their fingerprints differ in at most `radius` bits. With 64 bits every link is found. The default, 48 of 256 bits of
-    5-word shingles, stands for a likeness of 0.81 and shares 0.8 of all shingles or more in nearly all cases; candidates are then
-    those that meet by chunks, a recall of over 0.9 (tests/llm/test_near_dedup.py).
+    5-word shingles, stands for a likeness of 0.81 and shares 0.8 of all shingles or more in nearly all cases; every pair that
+    shares so many is a candidate.
 
     key has to be an integer. Null and empty texts have fingerprint zero and link like any other. Rows with a null key
     get a null component and lend none. Equal texts, ties and repeated rows are one node each; an

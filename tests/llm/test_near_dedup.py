@@ -153,6 +153,25 @@ def test_every_pair_of_a_hot_chunk_meets(spark, hot):
     assert both.count() == 66
 
 
+@pytest.mark.parametrize("often", [8, 1])
+def test_every_close_pair_meets(spark, often, monkeypatch):
+    monkeypatch.setattr(near_dedup, "COMMON_DOCS", often, raising=False)
+    monkeypatch.setattr(near_dedup, "COMMON_SHARE", 2, raising=False)
+    rnd, docs = random.Random(6), near_copies(9, 30)
+    for _ in range(60):  # short texts of one word changed, in one place of which all other copies agree
+        body = [rnd.choice("abcdefgh") * 3 + rnd.choice("klmnop") for _ in range(rnd.randrange(25, 100))]
+        other = [*body[:-1], "changed"] if len(body) < 60 else [*body[:30], "changed", *body[31:]]
+        docs += [(len(docs), " ".join(body)), (len(docs) + 1, " ".join(other))]
+    grams = [set(near_dedup.shingles_of(near_dedup.words_of(t.encode()), 5)) for _, t in docs]
+    close = {(i, j) for j in range(len(docs)) for i in range(j) if len(grams[i] & grams[j]) >= 0.8 * len(grams[i] | grams[j])}
+    words = ["w0", "w1", "w2", "w3"]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    nodes = near_dedup.fingerprints(df, bits=256, chunks=True).withColumnRenamed("doc_id", "node")
+    met = near_dedup.keyed_by_chunks(nodes, words).select("key", "node")
+    both = met.join(met.withColumnRenamed("node", "other"), "key").filter("node < other").select("node", "other").distinct()
+    assert len(close) > 70 and close <= {(r.node, r.other) for r in both.collect()}
+
+
 def test_one_of_each_group_stays(spark, odd_docs, no_docs):
     out = near_dedup.without_copies(odd_docs)
     assert out.columns == odd_docs.columns
