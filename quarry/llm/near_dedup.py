@@ -7,7 +7,8 @@
    survives, meet by shingles: in a common order of all shingles, two texts that share LIKENESS of theirs share one of their
    prefixes (exact); nodes of a hot shingle are compared block by block.
 4. Within a key the Gray-order index (hamming.GrayIndex) finds all links; a task passes on a spanning
-   forest of them, at most one edge a node, not the pairs.
+   forest of them, at most one edge a node, not the pairs. Links of longer fingerprints only stand if the texts' shingles
+   confirm them: first a chain through each key's nodes, then all pairs of which no chain of confirmed links consists yet.
 5. Distributed connected components join the forests.
 """
 
@@ -21,13 +22,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.hamming import GrayIndex, vote
+from quarry.llm.hamming import GrayIndex, distance, gray_rank, vote
 from quarry.llm.shared import components, grouped, roots, staged
 
 #: Rows of one key that a task takes before the key is split again.
 HOT_ROWS = 200_000
 #: Longer fingerprints: two texts are copies if they share LIKENESS of all their different shingles.
 LIKENESS = 0.8
+#: Sets of FEW shingles or more are only compared if their fingerprints are within the radius; votes of fewer scatter too widely.
+FEW = 64
+#: Nodes of one key that GrayIndex compares; in a key of more, each is compared with those outside its group.
+MANY = 64
 #: Shingles that COMMON_DOCS of one in COMMON_SHARE texts have come last in the order, up to MAX_COMMON of them, so that few texts meet by them. Any order gives
 #: the same result.
 COMMON_DOCS, COMMON_SHARE, MAX_COMMON = 8, 50, 100_000
@@ -199,14 +204,92 @@ def links(keyed: DataFrame, words: list[str], radius: int) -> DataFrame:
     return grouped(keyed, "key", work, "u bigint, v bigint")
 
 
+def likely(a: np.ndarray, b: np.ndarray, codes: np.ndarray, sizes: np.ndarray, radius: int) -> np.ndarray:
+    """Whether the sets of nodes a and b can share LIKENESS: by their sizes, and by their fingerprints if neither has few."""
+    least, most = np.minimum(sizes[a], sizes[b]), np.maximum(sizes[a], sizes[b])
+    return (least >= LIKENESS * most - 1e-9) & ((least < FEW) | (distance(codes[a], codes[b]) <= radius))
+
+
+def candidates(keyed: DataFrame, words: list[str], radius: int, chain: bool) -> DataFrame:
+    """(u, v), u < v, of keyed(node, words, shingles, key): the likely pairs of each key; with `chain` only those of a node with the one before it in Gray
+    order and with the key's first, else, of keyed(root), only those whose roots differ."""
+
+    def work(part: pa.Table):
+        key, node, sizes = (part.column(c).to_numpy() for c in ("key", "node", "shingles"))
+        codes = np.stack([part.column(w).to_numpy().view(np.uint64) for w in words], axis=1)
+
+        def out(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+            good = likely(a, b, codes, sizes, radius)
+            u, v = node[a[good]], node[b[good]]
+            pairs = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], axis=1), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
+
+        if chain:
+            order = np.lexsort([*gray_rank(codes).T[::-1], key])
+            starts = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1]])
+            first = np.repeat(starts, np.diff(np.r_[starts, len(order)]))
+            for a, b in ((order[1:], order[:-1]), (order, order[first])):
+                same = (key[a] == key[b]) & (a != b)
+                yield out(a[same], b[same])
+            return
+        root = part.column("root").to_numpy()
+        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        count = np.diff(np.r_[starts, len(key)])
+        mixed = np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts)
+        few = np.flatnonzero(np.repeat(mixed & (count <= MANY), count))
+        for a, b, _ in GrayIndex(key[few], codes[few]).pairs(64 * len(words)):
+            a, b = few[a], few[b]
+            apart = root[a] != root[b]
+            yield out(a[apart], b[apart])
+        for at, n in zip(starts[mixed & (count > MANY)].tolist(), count[mixed & (count > MANY)].tolist()):
+            places = np.arange(at, at + n)
+            _, group, number = np.unique(root[places], return_inverse=True, return_counts=True)
+            # the largest group's own nodes are compared by others
+            found, held = [], 0
+            for a in places[group != number.argmax()].tolist():
+                b = places[root[places] != root[a]]
+                b = b[likely(np.full(len(b), a), b, codes, sizes, radius)]
+                found.append((np.full(len(b), a), b))
+                held += len(b)
+                if held > 200_000:  # bounds memory, not results
+                    yield out(*map(np.concatenate, zip(*found)))
+                    found, held = [], 0
+            if found:
+                yield out(*map(np.concatenate, zip(*found)))
+
+    return grouped(keyed, "key", work, "u bigint, v bigint").filter("u != v").distinct()
+
+
+def confirmed(docs: DataFrame, pairs: DataFrame, key: str, text: str, size: int, bits: int) -> DataFrame:
+    """Those of pairs(u, v) whose texts share LIKENESS of all their different shingles."""
+    pairs = staged(pairs, "pairs")
+    wanted = pairs.select(F.col("u").alias("__w")).union(pairs.select("v")).distinct()
+    sets = staged(shingle_sets(docs.join(wanted, F.col(key) == F.col("__w"), "left_semi"), key, text, size, bits), "sets")
+    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("found").alias("a")), "u").join(
+        sets.select(F.col("node").alias("v"), F.col("found").alias("b")), "v"
+    )
+    shared = F.size(F.array_intersect("a", "b"))
+    return both.filter(shared >= LIKENESS * (F.size("a") + F.size("b") - shared) - 1e-9).select("u", "v").distinct()
+
+
+def copies(docs: DataFrame, nodes: DataFrame, words: list[str], key: str, text: str, size: int, bits: int, radius: int) -> DataFrame:
+    """(node, root) for every node with a link: components of the pairs that share LIKENESS."""
+    keyed = staged(keyed_by_chunks(nodes, [*words, "shingles"]), "keyed")
+    near = staged(confirmed(docs, candidates(keyed, words, radius, True), key, text, size, bits), "near")
+    known = staged(components(near), "known")
+    rooted = keyed.join(known, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rest = confirmed(docs, candidates(rooted, words, radius, False), key, text, size, bits)
+    return components(near.unionByName(rest))
+
+
 def near_duplicates(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, bits: int = 256, radius: int = 48
+    docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, bits: int = 256, radius: int = 80
 ) -> DataFrame:
-    """(key, w0, ..., component) for every row of docs; component is the smallest key that its links reach.
+    """(key, w0, w1, ..., component) for every row of docs; component is the smallest key that its links reach.
 
-    Two documents link if their fingerprints differ in at most `radius` bits. With 64 bits every link is found. The default, 48 of 256 bits of
-    5-word shingles, stands for a likeness of 0.81 and shares 0.8 of all shingles or more in nearly all cases; every pair that
-    shares so many is a candidate.
+    With 64 bits two documents link if their fingerprints differ in at most `radius` bits; every link is found. With more, they link if they share
+    LIKENESS of all their different shingles; `radius` then only spares comparisons: sets of FEW shingles or more that share 0.8 differ
+    in 39 of 256 bits, with a deviation of 6, and in over 80 with a chance under 1e-11 by that estimate. Smaller sets are all compared.
 
     key has to be an integer. Null and empty texts have fingerprint zero and link like any other. Rows with a null key
     get a null component and lend none. Equal texts, ties and repeated rows are one node each; an
@@ -215,12 +298,16 @@ def near_duplicates(
     words = [f"w{i}" for i in range(bits // 64)]
     by_chunks = bits > 64
     prints = staged(fingerprints(docs, key, text, size, bits, by_chunks), "prints")
-    least = [F.min(key).cast("long").alias("node"), *([F.first("chunks").alias("chunks")] if by_chunks else [])]
-    nodes = staged(prints.filter(F.col(key).isNotNull()).groupBy(*words).agg(*least), "nodes")
-    keyed = keyed_by_chunks(nodes, words) if by_chunks else keyed_by_blocks(nodes, radius)
-    found = components(links(keyed, words, radius))
-    named = staged(nodes.join(found, "node", "left").select(*words, F.coalesce("root", "node").alias("component")), "named")
-    out = prints.join(named, words, "left")
+    same = ["same"] if by_chunks else words
+    carried = [*words, "shingles", "chunks"] if by_chunks else []
+    least = [F.min(key).cast("long").alias("node"), *[F.first(c).alias(c) for c in carried]]
+    nodes = staged(prints.filter(F.col(key).isNotNull()).groupBy(*same).agg(*least), "nodes")
+    if by_chunks:
+        found = copies(docs, nodes, words, key, text, size, bits, radius)
+    else:
+        found = components(links(keyed_by_blocks(nodes, radius), words, radius))
+    named = staged(nodes.join(found, "node", "left").select(*same, F.coalesce("root", "node").alias("component")), "named")
+    out = prints.join(named, same, "left")
     return out.select(key, *words, F.when(F.col(key).isNotNull(), F.col("component")).alias("component"))
 
 

@@ -172,6 +172,30 @@ def test_every_close_pair_meets(spark, often, monkeypatch):
     assert len(close) > 70 and close <= {(r.node, r.other) for r in both.collect()}
 
 
+@pytest.mark.parametrize("many,hot", [(64, 2000), (1, 2000), (1, 3)])
+def test_groups_are_those_of_shared_shingles(spark, many, hot, monkeypatch):
+    monkeypatch.setattr(near_dedup, "MANY", many, raising=False)
+    monkeypatch.setattr(near_dedup.keyed_by_chunks, "__defaults__", (hot,))
+    rnd, docs = random.Random(4), near_copies(7, 25)
+    for n in (30, 60, 90, 150, 300, 400) * 4:  # chains of texts that are some 0.6 to 0.95 alike
+        body = [rnd.choice("abcdefgh") * 3 + str(rnd.randrange(50)) for _ in range(n)]
+        for _ in range(4):
+            docs.append((len(docs), " ".join(body)))
+            body = list(body)
+            for _ in range(rnd.randrange(1, max(2, n // 25))):
+                body[rnd.randrange(n)] = f"new{rnd.random()}"
+    grams = [set(near_dedup.shingles_of(near_dedup.words_of(t.encode()), 5)) for _, t in docs]
+    label = list(range(len(docs)))
+    for j in range(len(docs)):
+        for i in range(j):
+            if len(grams[i] & grams[j]) >= 0.8 * len(grams[i] | grams[j]):
+                a, b = sorted((label[i], label[j]))
+                label = [a if x == b else x for x in label]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    group = {r.doc_id: r.component for r in near_dedup.near_duplicates(df).collect()}
+    assert [group[i] for i in range(len(docs))] == label and len(set(label)) < len(docs) - 20
+
+
 def test_one_of_each_group_stays(spark, odd_docs, no_docs):
     out = near_dedup.without_copies(odd_docs)
     assert out.columns == odd_docs.columns
