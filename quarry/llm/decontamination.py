@@ -11,6 +11,9 @@ Windows of documents and of benchmark items are hash-joined. Where matched windo
 0.8 of an item's windows, the slots are checked: each value in the item has to stand for one value in the document
 throughout (0.8 of them, at least). Places are aligned before, as an item may repeat a window with other values. Equal values are
 a verbatim copy, others a re-parameterised question.
+
+An item without a window that counts (of under five template words, or nearly all numbers) is looked for as a whole: its words, values
+included, have to follow one another in a document; items of under MIN_WHOLE words have to be all that the document holds.
 """
 
 from __future__ import annotations
@@ -29,6 +32,8 @@ from quarry.llm.shared import grouped, staged
 
 WINDOW = 5
 COVERAGE = 0.8
+#: Words of an item without windows from which on it counts anywhere in a document.
+MIN_WHOLE = 3
 #: Benchmark windows up to which their hashes are sent to every task (8 bytes each); beyond, all document windows are shuffled.
 MAX_SENT = 2_000_000
 MEMO = 300_000
@@ -47,6 +52,8 @@ _OUTER = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c no
 PLAIN, NUMBER, UNIT, NAME, OPENING = range(5)
 _HASHES = np.array([0, *[xxhash.xxh64_intdigest(f"<{x}>") for x in ("number", "unit", "name", "opening")]], np.uint64)
 _MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
+#: Forms from here on are whole sequences, of as many words as the form is above it.
+WHOLE = 2
 ENDS, EMPTY, IS_NUMBER, IS_UNIT, CAPITAL = 1, 2, 4, 8, 16
 
 
@@ -97,14 +104,30 @@ def _windows(
     return out, plain[WINDOW:] - plain[:-WINDOW] >= 2, kind, at
 
 
+#: A fixed odd multiplier of whole sequences, and its inverse modulo 2 ** 64.
+_FACTOR = 0x9E3779B97F4A7C15
+_INVERSE = pow(_FACTOR, -1, 1 << 64)
+
+
+def _runs(own: np.ndarray, length: int) -> np.ndarray:
+    """A hash of every run of `length` words."""
+    n = len(own) - length + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    powers, back = (np.cumprod(np.r_[np.uint64(1), np.full(len(own) - 1, f, np.uint64)], dtype=np.uint64) for f in (_FACTOR, _INVERSE))
+    sums = np.r_[np.uint64(0), np.cumsum(own * powers, dtype=np.uint64)]
+    out = (sums[length:] - sums[:n]) * back[:n]
+    return (out ^ (out >> np.uint64(31))) * np.uint64(_FACTOR) + np.uint64(length)
+
+
 class Templates:
     """Template windows of texts; MEMO different words are remembered at most."""
 
     def __init__(self):
         self.words = _Words()
 
-    def forms(self, text: str) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """For each form: (hashes, usable) of the windows; (kind, word) of each template word, to read slots from."""
+    def forms(self, text: str) -> tuple[list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], np.ndarray]:
+        """For each form: (hashes, usable) of the windows; (kind, word) of each template word, to read slots from. And all words' hashes."""
         if len(self.words) > MEMO:
             self.words = _Words()
         split = text.split()
@@ -130,10 +153,10 @@ class Templates:
         loose = np.where((kind == NUMBER) | (kind == UNIT), kind, PLAIN)
         again = np.zeros(len(at), bool)
         again[1:] = (kind[1:] == NAME) & (kind[:-1] == NAME)
-        second = _windows(loose, own, at, 1)
+        second, words = _windows(loose, own, at, 1), own
         if again.any():
             at, kind, own = at[~again], kind[~again], own[~again]
-        return [_windows(kind, own, at, 0), second]
+        return [_windows(kind, own, at, 0), second], words
 
     def slots(self, kind: np.ndarray, at: np.ndarray, i: int) -> str:
         """Kinds and values of a window's placeholders, in order."""
@@ -143,21 +166,41 @@ class Templates:
 _templates = Templates()
 
 
-def template_windows(rows: DataFrame, key: str, text: str, sent: np.ndarray | None = None) -> DataFrame:
-    """(key, form, pos, window, slots, n): usable windows, only those in the sorted hashes `sent` if given; n counts all usable ones of the row and form."""
+def template_windows(
+    rows: DataFrame, key: str, text: str, sent: np.ndarray | None = None, whole: list[int] | None = None
+) -> DataFrame:
+    """(__key, form, pos, window, slots, n): usable windows, only those in the sorted hashes `sent` if given; n counts all usable ones of the row and form.
+
+    Form WHOLE + m stands for m words in a row with their values: for each of the lengths `whole` all of them; without `whole`, as in items,
+    the one of a whole text that has no usable window.
+    """
     kind_of = rows.schema[key].dataType.simpleString()
-    names = [key, "form", "pos", "window", "slots", "n"]
+    names = ["__key", "form", "pos", "window", "slots", "n"]
     types = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.int32())
 
+    def known(hashes: np.ndarray) -> np.ndarray:
+        if sent is None:
+            return np.ones(len(hashes), bool)
+        if not len(sent) or not len(hashes):
+            return np.zeros(len(hashes), bool)
+        return sent[np.minimum(np.searchsorted(sent, hashes), len(sent) - 1)] == hashes
+
     def found_in(text: str, i: int):
-        for form, (hashes, use, kind, at) in enumerate(_templates.forms(text)):
+        forms, words = _templates.forms(text)
+        usable = 0
+        for form, (hashes, use, kind, at) in enumerate(forms):
             n = int(use.sum())
-            if sent is not None and n:
-                if not len(sent):
-                    return
-                use = use & (sent[np.minimum(np.searchsorted(sent, hashes), len(sent) - 1)] == hashes)
+            usable += n
+            if n:
+                use = use & known(hashes)
             for j in np.flatnonzero(use).tolist():
                 yield i, form, j, int(hashes[j].view(np.int64)), _templates.slots(kind, at, j), n
+        lengths = whole if whole is not None else [] if usable or not len(words) else [len(words)]
+        for length in lengths:
+            if length >= MIN_WHOLE or length == len(words):
+                hashes = _runs(words, length)
+                for j in np.flatnonzero(known(hashes)).tolist():
+                    yield i, WHOLE + length, j, int(hashes[j].view(np.int64)), "", 1
 
     def run(batches):
         for batch in batches:
@@ -176,8 +219,8 @@ def template_windows(rows: DataFrame, key: str, text: str, sent: np.ndarray | No
             if found:
                 yield out()
 
-    return rows.select(key, F.col(text).cast("string").alias("__text")).mapInArrow(
-        run, f"`{key}` {kind_of}, form int, pos int, window bigint, slots string, n int"
+    return rows.select(F.col(key).alias("__key"), F.col(text).cast("string").alias("__text")).mapInArrow(
+        run, f"__key {kind_of}, form int, pos int, window bigint, slots string, n int"
     )
 
 
@@ -255,8 +298,9 @@ def leaks(
 ) -> DataFrame:
     """(key, item, coverage, verbatim, first_word, last_word): each benchmark item that a document holds.
 
-    Both keys have to be integers; rows whose key or text is null hold nothing and are no item; texts and items of fewer than five
-    template words likewise. Rows of one key are judged together; equal items are found each. An empty table on either side gives no rows.
+    Both keys have to be integers of different names, and not of the other columns'; rows whose key or text is null hold nothing and are no item, nor are
+    texts without words. Rows of one key are judged together; equal items are found each. An empty table on either side gives no rows.
+    Other columns are ignored, whatever their names.
 
     The benchmark's window hashes go to all tasks if there are at most max_sent, so that other windows of documents never leave them;
     if there are more, all are shuffled. Either way the join itself is one of (window) keys in Spark.
@@ -266,9 +310,11 @@ def leaks(
     sent = None
     if count <= max_sent:
         sent = np.unique(np.array([r[0] for r in items.select("window").distinct().collect()], np.int64).view(np.uint64))
-    mine = template_windows(docs.filter(F.col(key).isNotNull()), key, text, sent)
+    # as many as there are lengths of items without windows
+    whole = sorted(r[0] - WHOLE for r in items.filter(F.col("form") >= WHOLE).select("form").distinct().collect())
+    mine = template_windows(docs.filter(F.col(key).isNotNull()), key, text, sent, whole)
     theirs = items.select(
-        F.col(item_key).alias("__item"),
+        F.col("__key").alias("__item"),
         "form",
         F.col("pos").alias("__pos"),
         "window",
@@ -276,8 +322,8 @@ def leaks(
         F.col("n").alias("__n"),
     )
     both = mine.join(theirs, ["window", "form"]).select(
-        F.xxhash64(key, "__item").alias("__pair"),
-        F.col(key).cast("long").alias("__key"),
+        F.xxhash64("__key", "__item").alias("__pair"),
+        F.col("__key").cast("long").alias("__key"),
         F.col("__item").cast("long").alias("__item"),
         "form",
         "__n",
@@ -292,8 +338,11 @@ def leaks(
         for _, k, item, form, n, *hit in zip(*[c.to_pylist() for c in part.columns], strict=True):
             rows[k, item, form, n].append(tuple(hit))
         best: dict[tuple, tuple] = {}
-        for (k, item, _, n), hits in sorted(rows.items()):
-            found = judge(hits, n, coverage)
+        for (k, item, form, n), hits in sorted(rows.items()):
+            if form >= WHOLE:
+                found = (1.0, True, min(hits)[0], min(hits)[0] + form - WHOLE - 1)
+            else:
+                found = judge(hits, n, coverage)
             if found and ((k, item) not in best or found[0] > best[k, item][0]):
                 best[k, item] = found
         out = [(*pair, *found) for pair, found in best.items()]

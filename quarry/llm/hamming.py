@@ -4,7 +4,8 @@ A fingerprint is a row of W unsigned 64-bit words. Sorted by Gray rank, neighbou
 bits. The index is a forest over that order: a node stands for up to FAN consecutive children of one
 key and keeps a mask of the bits on which all codes below agree, with their values. Two nodes differ at least in
 the bits that both masks hold and whose values differ, so a self-join walks pairs of nodes from the roots
-down and drops a pair, with all codes below, as soon as that sum passes the radius.
+down and drops a pair, with all codes below, as soon as that sum passes the radius. A pair is dropped likewise if all codes
+below both are known to belong together.
 """
 
 from __future__ import annotations
@@ -66,6 +67,7 @@ class GrayIndex:
         rank = gray_rank(codes)
         self.order = np.lexsort([*rank.T[::-1], keys])
         self.keys, codes = keys[self.order], codes[self.order]
+        self.label: list[tuple[np.ndarray, np.ndarray]] = []
         full = np.full_like(codes, np.uint64(0xFFFFFFFFFFFFFFFF))
         self.levels = [(codes, full, None, None)]  # pattern, mask, first child, number of children
         key = self.keys
@@ -81,8 +83,22 @@ class GrayIndex:
             self.levels.append((low & shared, shared, first, np.diff(np.r_[first, len(key)])))
             key = key[first]
 
+    def neighbours(self) -> tuple[np.ndarray, np.ndarray]:
+        """Places in the input of codes of one key that follow one another in Gray order."""
+        same = self.keys[1:] == self.keys[:-1]
+        return self.order[1:][same], self.order[:-1][same]
+
+    def known(self, label: np.ndarray) -> None:
+        """Codes of equal label (one for each place in the input) belong together: pairs leaves them out."""
+        low = high = label[self.order]
+        self.label = [(low, high)]
+        for _, _, first, _ in self.levels[1:]:
+            low, high = np.minimum.reduceat(low, first), np.maximum.reduceat(high, first)
+            self.label.append((low, high))
+
     def pairs(self, radius: int):
-        """Blocks (a, b, distance) of pairs of one key within the radius, as places in the input; each pair once."""
+        """Blocks (a, b, distance) of pairs of one key within the radius that aren't known to belong together, as places in the input; each
+        pair once."""
         top = len(self.levels) - 1
         if top <= 0:
             return
@@ -103,6 +119,9 @@ class GrayIndex:
             right = np.repeat(first[b], fan) + within % np.maximum(wide, 1)
             level -= 1
             keep = left < right if level == 0 else left <= right
+            if self.label:
+                low, high = self.label[level]
+                keep &= np.minimum(low[left], low[right]) != np.maximum(high[left], high[right])
             left, right = left[keep], right[keep]
             pattern, mask, *_ = self.levels[level]
             apart = np.bitwise_count((pattern[left] ^ pattern[right]) & mask[left] & mask[right]).sum(axis=1, dtype=np.int64)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.shared import staged
+from quarry.llm.shared import free, staged
 
 MIN_WORDS = 50
 RUNS = T.ArrayType(T.StructType([T.StructField("begin", T.IntegerType()), T.StructField("end", T.IntegerType())]))
@@ -71,9 +71,9 @@ def windows_of(text: bytes, min_words: int) -> tuple[np.ndarray, ...] | None:
 
 
 def line_windows(docs: DataFrame, key: str, text: str, min_words: int) -> DataFrame:
-    """(key, __same, begin, end, anchor, a, b); __same tells rows of one key with different texts apart."""
+    """(__key, __same, begin, end, anchor, a, b); __same tells rows of one key with different texts apart."""
     kind = docs.schema[key].dataType.simpleString()
-    names = [key, "__same", "begin", "end", "anchor", "a", "b"]
+    names = ["__key", "__same", "begin", "end", "anchor", "a", "b"]
 
     def run(batches):
         for batch in batches:
@@ -97,48 +97,54 @@ def line_windows(docs: DataFrame, key: str, text: str, min_words: int) -> DataFr
                         ], names
                     )
 
-    rows = docs.select(key, F.xxhash64(text).alias("__same"), F.col(text).cast("binary").alias("__text"))
-    return rows.mapInArrow(run, f"`{key}` {kind}, __same bigint, begin int, end int, anchor bigint, a bigint, b bigint")
+    rows = docs.select(F.col(key).alias("__key"), F.xxhash64(text).alias("__same"), F.col(text).cast("binary").alias("__text"))
+    return rows.mapInArrow(run, f"__key {kind}, __same bigint, begin int, end int, anchor bigint, a bigint, b bigint")
 
 
 def repeated_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(key, __same, runs): for each document with later repeats the lines to delete, as an array of (begin, end), both included."""
+    """(__key, __same, runs): for each document with later repeats the lines to delete, as an array of (begin, end), both included."""
     windows = staged(line_windows(docs, key, text, min_words), "windows")
     # staged, so that both sides of the join are exchanges and a hot anchor's windows can be split
     shared = staged(windows.groupBy("anchor").count().filter("count > 1").select("anchor"), "shared-anchors")
     alike = windows.join(shared, "anchor", "left_semi")
-    place = F.struct(key, "__same", "begin", "end")
+    place = F.struct("__key", "__same", "begin", "end")
     first = alike.groupBy("a", "b").agg(F.min(place).alias("__first"), F.count("*").alias("__n")).filter("__n > 1").drop("__n")
     # the windows themselves, not `alike`, so both sides of this join are exchanges that skewed-join handling can split
     later = windows.join(staged(first, "first-places"), ["a", "b"])
-    same_doc = F.col(f"__first.{key}").eqNullSafe(F.col(key)) & (F.col("__first.__same") == F.col("__same"))
+    same_doc = F.col("__first.__key").eqNullSafe(F.col("__key")) & (F.col("__first.__same") == F.col("__same"))
     # a window that overlaps its own first place, in a text that repeats itself, leaves that place whole
     begin = F.when(same_doc, F.greatest("begin", F.col("__first.end") + 1)).otherwise(F.col("begin"))
     later = later.filter(~(same_doc & (F.col("__first.begin") == F.col("begin"))))
-    gone = later.select(key, "__same", begin.alias("begin"), "end").filter("begin <= end")
-    return gone.groupBy(key, "__same").agg(F.sort_array(F.collect_set(F.struct("begin", "end"))).alias("runs"))
+    gone = later.select("__key", "__same", begin.alias("begin"), "end").filter("begin <= end")
+    return gone.groupBy("__key", "__same").agg(F.sort_array(F.collect_set(F.struct("begin", "end"))).alias("runs"))
 
 
-def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """docs with the later repeats deleted from text, and a column __removed: the line runs that went, merged, empty if none.
+def dedup_lines(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, removed: str = "__removed"
+) -> DataFrame:
+    """docs with the later repeats deleted from text, and a column `removed`: the line runs that went, merged, empty if none.
 
-    Other columns stay as they are. Lines end with \\n only and are compared byte by byte. A document that is an exact copy of
+    Other columns stay as they are, whatever their names; one that is called as `removed` is refused. Lines end with \\n only and are compared byte by byte. A document that is an exact copy of
     an earlier one loses all lines that stand in runs of min_words words; a text under min_words words loses nothing.
     Null text stays null. Null keys come first in the order. Rows with equal key and text are one place: all of them
     keep what the first keeps. An empty table gives no rows.
     """
     columns = docs.columns
-    runs = staged(repeated_runs(docs, key, text, min_words), "runs").withColumnsRenamed(
-        {key: "__key", "__same": "__other", "runs": "__runs"}
+    if removed.lower() in {c.lower() for c in columns}:
+        raise ValueError(f"there is a column {removed} already")
+    own, other, hashed, held = free([*columns, removed], "key", "other", "same", "runs")
+    runs = staged(repeated_runs(docs, key, text, min_words), "runs").select(
+        F.col("__key").alias(own), F.col("__same").alias(other), F.col("runs").alias(held)
     )
     # always by exchange and merge: which documents lose lines grows with the corpus, so it is no side to broadcast
-    joined = docs.withColumn("__same", F.xxhash64(text)).join(
-        runs.hint("merge"), F.col(key).eqNullSafe(F.col("__key")) & (F.col("__same") == F.col("__other")), "left"
+    joined = docs.withColumn(hashed, F.xxhash64(text)).join(
+        runs.hint("merge"), F.col(key).eqNullSafe(F.col(own)) & (F.col(hashed) == F.col(other)), "left"
     )
+
     def cut(batches):
         for batch in batches:
-            texts, removed = [], []
-            for t, r in zip(batch.column(text).to_pylist(), batch.column("__runs").to_pylist(), strict=True):
+            texts, gone = [], []
+            for t, r in zip(batch.column(text).to_pylist(), batch.column(held).to_pylist(), strict=True):
                 spans: list[list[int]] = []
                 for x in r or ():
                     if spans and spans[-1][1] >= x["begin"] - 1:
@@ -152,16 +158,16 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_wo
                         at = b + 1
                     t = "\n".join(kept + lines[at:])
                 texts.append(t)
-                removed.append([{"begin": a, "end": b} for a, b in spans])
+                gone.append([{"begin": a, "end": b} for a, b in spans])
             arrays = {c: batch.column(c) for c in columns} | {
                 text: pa.array(texts, pa.string()),
-                "__removed": pa.array(removed, pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))),
+                removed: pa.array(gone, pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))),
             }
             yield pa.RecordBatch.from_arrays(list(arrays.values()), list(arrays))
 
     schema = T.StructType(
         [
             T.StructField(f.name, T.StringType() if f.name == text else f.dataType) for f in docs.schema
-        ] + [T.StructField("__removed", RUNS)]
+        ] + [T.StructField(removed, RUNS)]
     )
-    return joined.select(*columns, "__runs").mapInArrow(cut, schema)
+    return joined.select(*columns, held).mapInArrow(cut, schema)

@@ -6,7 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -46,16 +46,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def in_key_runs(batches: Iterator[pa.RecordBatch], key: str, rows: int) -> Iterator[pa.Table]:
-    """Whole runs of equal keys, some `rows` rows at a time, from batches that are sorted by key."""
+def free(taken: Iterable[str], *names: str) -> list[str]:
+    """The names with as many underscores before them as make them differ from all that are taken, in any case of letters."""
+    used = {t.lower() for t in taken}
+    out = []
+    for name in names:
+        while name.lower() in used:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
+def in_key_runs(batches: Iterator[pa.RecordBatch], key: str, rows: int, size: int = 1 << 24) -> Iterator[pa.Table]:
+    """Whole runs of equal keys, some `rows` rows or `size` bytes at a time, from batches that are sorted by key."""
     held: list[pa.RecordBatch] = []
-    count = 0
+    count = held_bytes = 0
     for batch in batches:
         if not batch.num_rows:
             continue
         held.append(batch)
         count += batch.num_rows
-        if count < rows:
+        held_bytes += batch.nbytes
+        if count < rows and held_bytes < size:
             continue
         whole = pa.Table.from_batches(held).combine_chunks()
         keys = whole.column(key).to_numpy()
@@ -63,7 +75,7 @@ def in_key_runs(batches: Iterator[pa.RecordBatch], key: str, rows: int) -> Itera
         if cut:
             yield whole.slice(0, cut)
         rest = whole.slice(cut)
-        held, count = rest.to_batches(), rest.num_rows
+        held, count, held_bytes = rest.to_batches(), rest.num_rows, rest.nbytes
     if held:
         yield pa.Table.from_batches(held).combine_chunks()
 

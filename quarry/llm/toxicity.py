@@ -24,14 +24,14 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.llm.shared import staged
 
 #: Labelled examples for each label; the rest of the labels is not learnt from.
 MAX_EXAMPLES = 3000
-MAX_TERMS = 4096
 MIN_LIFT = 3.0
 NEIGHBOURS = 15
 BLOCK = 64
@@ -92,7 +92,7 @@ class Vocabulary:
 
 @dataclass
 class Model:
-    """The vocabulary, idf by place, examples' vectors by block, calibration. Bounded by MAX_EXAMPLES and MAX_TERMS."""
+    """The vocabulary, idf by place, examples' vectors by block, calibration. Bounded by MAX_EXAMPLES."""
 
     vocabulary: Vocabulary
     idf: np.ndarray
@@ -192,19 +192,17 @@ def signatures(terms: list[str]) -> list[int]:
     return out
 
 
-def telling_terms(examples: DataFrame, max_terms: int = MAX_TERMS) -> list[str]:
+def telling_terms(examples: DataFrame) -> list[str]:
     """Terms that tell the labels apart, the most telling first, from examples(__y, terms, signs).
 
-    Of examples with a common signature under one label only the first counts. Counting is a grouped sum; only the terms chosen,
-    max_terms at most, come to the driver.
+    Of examples with a common signature under one label only the first counts. Counting is a grouped sum; only terms that tell the labels apart
+    come to the driver, and no more than the examples have.
     """
-    first = [F.row_number().over(Window.partitionBy("__y", F.col("signs")[i]).orderBy("__order")) == 1 for i in (0, 1)]
-    own = staged(
-        examples.withColumn("__one", first[0] & first[1]).filter("__one").select(
-            "__y", F.explode("terms").alias("term"), "__order"
-        ),
-        "example-terms",
-    )
+    one = examples
+    for i in (0, 1):  # a grouped minimum, not a window: a signature may be that of many examples
+        first = examples.groupBy("__y", F.col("signs")[i].alias("__sign")).agg(F.min("__order").alias("__order"))
+        one = one.join(first.select("__order"), "__order", "left_semi")
+    own = staged(one.select("__y", F.explode("terms").alias("term"), "__order"), "example-terms")
     size = {r["__y"]: r["n"] for r in own.groupBy("__y").agg(F.countDistinct("__order").alias("n")).collect()}
     if not size.get(0) or not size.get(1):
         return []
@@ -223,7 +221,7 @@ def telling_terms(examples: DataFrame, max_terms: int = MAX_TERMS) -> list[str]:
     told = counted.filter(
         F.greatest(share0, share1) >= MIN_LIFT * F.least(share0, share1)
     ).withColumn("g", F.round(g, 9)).filter(F.col("g") >= least)
-    return [r.term for r in told.orderBy(F.col("g").desc(), "term").limit(max_terms).collect()]
+    return [r.term for r in told.orderBy(F.col("g").desc(), "term").collect()]
 
 
 def fit_curve(raw: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float]:
@@ -284,7 +282,7 @@ def build(
 
 
 def document_terms(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, terms, counts, signs)."""
+    """(__key, terms, counts, signs)."""
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches):
@@ -297,17 +295,17 @@ def document_terms(docs: DataFrame, key: str, text: str) -> DataFrame:
                     pa.array([list(c.values()) for c in found], pa.list_(pa.int32())),
                     pa.array([signatures(list(c)) for c in found], pa.list_(pa.int64())),
                 ],
-                [key, "terms", "counts", "signs"],
+                ["__key", "terms", "counts", "signs"],
             )
 
-    return docs.select(key, F.col(text).cast("string").alias("__text")).mapInArrow(
-        run, f"`{key}` {kind}, terms array<string>, counts array<int>, signs array<bigint>"
+    return docs.select(F.col(key).alias("__key"), F.col(text).cast("string").alias("__text")).mapInArrow(
+        run, f"__key {kind}, terms array<string>, counts array<int>, signs array<bigint>"
     )
 
 
-def restricted(examples: DataFrame, key: str, terms: list[str]) -> DataFrame:
-    """(key, __y, terms, counts) of examples, with the given terms only."""
-    kind, known = examples.schema[key].dataType.simpleString(), frozenset(terms)
+def restricted(examples: DataFrame, terms: list[str]) -> DataFrame:
+    """(__key, __y, terms, counts) of examples, with the given terms only."""
+    known = frozenset(terms)
 
     def run(batches):
         for batch in batches:
@@ -322,11 +320,11 @@ def restricted(examples: DataFrame, key: str, terms: list[str]) -> DataFrame:
                     pa.array([[t for t, _ in k] for k in kept], pa.list_(pa.string())),
                     pa.array([[n for _, n in k] for k in kept], pa.list_(pa.int32())),
                 ],
-                [key, "__y", "terms", "counts"],
+                ["__key", "__y", "terms", "counts"],
             )
 
-    return examples.select(key, "__y", "terms", "counts").mapInArrow(
-        run, f"`{key}` {kind}, __y int, terms array<string>, counts array<int>"
+    return examples.select("__key", "__y", "terms", "counts").mapInArrow(
+        run, "__key bigint, __y int, terms array<string>, counts array<int>"
     )
 
 
@@ -360,37 +358,41 @@ def fit(
     label: str = "toxic",
     max_examples: int = MAX_EXAMPLES,
 ) -> Model:
-    """Learns from at most max_examples rows of labels(key, label) for each label, drawn by a hash of the key.
+    """Learns from at most max_examples rows of labels(key, label) for each label, drawn by a hash of the key, an integer.
 
     Rows with a null key or label, or without a document, teach nothing; of several labels of one key the largest holds.
     Document frequencies are counted over all of docs. Without examples of both labels every score is the prior.
     """
+    if not isinstance(docs.schema[key].dataType, T.IntegralType):
+        raise ValueError("keys have to be integers, as neighbours are named by them")
     known = staged(
-        labels.filter(F.col(key).isNotNull() & F.col(label).isin(0, 1)).groupBy(key).agg(F.max(label).cast("int").alias("__y")),
+        labels.filter(F.col(key).isNotNull() & F.col(label).isin(0, 1)).groupBy(F.col(key).cast("long").alias("__key")).agg(
+            F.max(label).cast("int").alias("__y")
+        ),
         "labels",
     )
     counted = {r["__y"]: r["count"] for r in known.groupBy("__y").count().collect()}
     shares = counted.get(0, 0), counted.get(1, 0)
     # bounded by 2 * max_examples rows
-    drawn = [known.filter(F.col("__y") == y).orderBy(F.xxhash64(key), key).limit(max_examples) for y in (0, 1)]
+    drawn = [known.filter(F.col("__y") == y).orderBy(F.xxhash64("__key"), "__key").limit(max_examples) for y in (0, 1)]
     picked = staged(drawn[0].unionByName(drawn[1]), "drawn")
-    found = document_terms(
-        docs.select(key, text).join(F.broadcast(picked.select(key)), key, "left_semi"), key, text
-    ).join(F.broadcast(picked), key)
+    rows = docs.select(F.col(key).cast("long").alias("__key"), F.col(text).cast("string").alias("__text"))
+    found = document_terms(rows.join(F.broadcast(picked.select("__key")), "__key", "left_semi"), "__key", "__text")
     # rows of one key are one example, the first by its terms
-    nth = F.row_number().over(Window.partitionBy(key).orderBy(F.xxhash64("terms", "counts")))
+    own = F.min(F.struct(F.xxhash64("terms", "counts").alias("hash"), "terms", "counts", "signs")).alias("own")
+    examples = found.groupBy("__key").agg(own).join(F.broadcast(picked), "__key")
     examples = staged(
-        found.withColumn("__nth", nth).filter("__nth = 1").withColumn("__order", F.xxhash64(key)).drop("__nth"), "examples"
+        examples.select("__key", "__y", "own.terms", "own.counts", "own.signs", F.xxhash64("__key").alias("__order")), "examples"
     )
     terms = telling_terms(examples)
-    rows = restricted(examples, key, terms).collect()
+    rows = restricted(examples, terms).collect()
     examples = [(int(r[0]), r[1], list(r[2]), list(r[3])) for r in sorted(rows, key=lambda r: r[0])]
     frequency, n_docs = document_frequencies(docs, text, terms)
     return build(examples, shares, terms, frequency, n_docs)
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, score, neighbours, cosines) for every row of docs, with the neighbours' keys as evidence, nearest first.
+    """(key, score, neighbours, cosines) for every row of docs(key, text), with the neighbours' keys as evidence, nearest first.
 
     Null and empty texts, and those without a term of the vocabulary, get the share of label 1 among examples without one
     and no neighbours. Null keys and repeated rows are scored like others; an empty table gives no rows.

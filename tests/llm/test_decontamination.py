@@ -100,3 +100,22 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert sorted((r.doc_id, r.item_id) for r in got.collect()) == [(2, 1), (2, 2)]
     assert decontamination.leaks(no_docs, bench).count() == 0
     assert decontamination.leaks(odd_docs, bench.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("sent", [0, 1000])
+def test_items_without_windows_are_found_whole(spark, sent):
+    items = ["What is 2+2?", "Compute 12 + 17 * 3 - 4 / 2 + 99 - 1 now", "Paris", "New York", " ".join(map(str, range(300))), "?!"]
+    texts = [f"some words before. {x} And some behind it, of course." for x in items] + ["Paris", "new york!", "What is 2+3?"]
+    texts += ["compute 12 17 3 4 2 99 1 now", "Compute 12 + 17 * 3 - 4 / 2 + 98 - 1 now", " ".join(map(str, range(299)))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in decontamination.leaks(docs, bench, max_sent=sent).collect()}
+    assert set(got) == {(0, 0), (1, 1), (4, 4), (6, 2), (7, 3), (9, 1)} and all(r.verbatim for r in got.values())
+    assert (got[1, 1].first_word, got[1, 1].last_word) == (3, 11)
+
+
+@pytest.mark.parametrize("name", ["form", "pos", "n", "window", "slots", "key", "__pair", "__key"])
+def test_keys_of_any_name(spark, name):
+    docs = spark.createDataFrame([(1, "so: " + ITEM)], f"`{name}` long, text string")
+    bench = spark.createDataFrame([(5, ITEM)], "item long, text string")
+    assert [r[name] for r in decontamination.leaks(docs, bench, key=name, item_key="item").collect()] == [1]
