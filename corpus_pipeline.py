@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm import decontamination, line_dedup, near_dedup, packing, toxicity
 from quarry.llm.catalogue import fold
-from quarry.llm.shared import staged, table
+from quarry.llm.shared import free, staged, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,8 +19,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without runs of lines that stand earlier; those of which nothing is left go, others get their new length."""
-    out = line_dedup.dedup_lines(docs)
-    cut = F.size("__removed") > 0
+    removed = free(docs.columns, "removed")[0]
+    out = line_dedup.dedup_lines(docs, removed=removed)
+    cut = F.size(removed) > 0
     kept = out.filter(~cut | (F.trim("text") != ""))
     if "n_chars" in docs.columns:
         kept = kept.withColumn(
@@ -37,8 +38,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item, verbatim or re-parameterised."""
     found = decontamination.leaks(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
-    held = staged(found.select(F.col("doc_id").alias("__held")).distinct(), "held")
-    return docs.join(held, F.col("doc_id") == F.col("__held"), "left_anti")
+    name = free(docs.columns, "held")[0]
+    held = staged(found.select(F.col("doc_id").alias(name)).distinct(), "held")
+    return docs.join(held, F.col("doc_id") == F.col(name), "left_anti")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
