@@ -3,13 +3,14 @@
 Each task packs its own rows. A document's tokens fill whole windows first; what is left is placed
 online: for every fill level h the number N(h) of open windows at that level is kept in an array, and the piece of
 s tokens goes to the level (or a new window) for which the sum of N(h) squared grows least. Windows that reach the length
-close. At a task's end, or when more windows stand open than memory is set aside for, open windows are settled: the
-emptiest are cut up to fill the fullest exactly. The last one is cut into windows whose lengths
-are powers of two, which need no padding.
+close. When more windows stand open than memory is set aside for, half of them are settled: the
+emptiest are cut up to fill the fullest exactly, and the level array goes on from those that stay open. At a task's end all are, and the last one
+is cut into windows whose lengths are powers of two, which need no padding.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LENGTH = 4096
-#: Open windows of one task before they are settled: 512 windows of 4096 four-byte ids are 8 MB.
+#: Open windows of one task before half of them are settled: 512 windows of 4096 four-byte ids are 8 MB.
 MAX_OPEN = 512
 MEMO = 500_000
 
@@ -42,6 +43,24 @@ _PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _BYTES = {b: 0x100 + i for i, b in enumerate(x for x in range(256) if x not in _PRINTABLE)}
 
 
+#: The rules of a tokenizer file that WORDS follows.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_CUTS = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": _SPLIT}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
+def cut_by_words(config: dict) -> bool:
+    """Whether a tokenizer file's normalizer and pre-tokenizer are those of WORDS, and its model gives a word the same ids each time."""
+    plain = not any(t.get("normalized") or t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in config.get("added_tokens", ()))
+    return config.get("normalizer") == _NORMALIZER and config.get("pre_tokenizer") == _CUTS and plain and not config["model"].get("dropout")
+
+
 class _Remembered(dict):
     """Ids of words; a missing one is encoded by the tokenizer's model."""
 
@@ -56,10 +75,11 @@ class _Remembered(dict):
 
 
 class WordEncoder:
-    """Ids of whole texts by a word-end byte-level BPE tokenizer file, each different word encoded once and remembered.
+    """Ids of whole texts by a tokenizer file; each different word is encoded once and remembered if the file's rules are those of WORDS.
 
-    Common texts are cut into words here and each new word goes through the tokenizer's own model; a text with
-    other characters, or one that might hold an added token, goes through the whole tokenizer. The memory is emptied when MEMO words are in it.
+    Then common texts are cut into words here and each new word goes through the tokenizer's own model; a text with
+    other characters, or one that might hold an added token, goes through the whole tokenizer. With any other rules all texts do. The memory is emptied
+    when MEMO words are in it.
     """
 
     def __init__(self, path: str):
@@ -69,12 +89,14 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.memo = _Remembered(self.tokenizer.model)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        with open(path, encoding="utf-8") as f:
+            self.by_words = cut_by_words(json.load(f))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids as little-endian unsigned 32-bit integers."""
         out = []
         for text in texts:
-            if not _SIMPLE.fullmatch(text) or any(t in text for t in self.added):
+            if not self.by_words or not _SIMPLE.fullmatch(text) or any(t in text for t in self.added):
                 out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
                 continue
             if len(self.memo) > MEMO:
@@ -125,7 +147,7 @@ class Packer:
         window.append(piece)
         self._put(window, level + size)
         if self.n_open > self.max_open:
-            self._settle()
+            self._settle(self.max_open // 2)
 
     def _take(self, level: int) -> list[tuple]:
         window = self.open[level].pop()
@@ -141,35 +163,30 @@ class Packer:
             self.count[level] += 1
             self.n_open += 1
 
-    def _settle(self) -> None:
-        """Fills the fullest windows with pieces cut from the emptiest, until at most one stays open."""
-        held = [w for level in sorted(self.open, reverse=True) for w in self.open[level]]
-        self.open, self.n_open = {}, 0
-        self.count[:] = 0
-        low, high = 0, len(held) - 1
-        while low < high:
-            window = held[low]
-            room = self.length - sum(len(p[2]) for p in window) // 4
-            while room and low < high:
-                doc, start, ids = held[high].pop()
-                size = len(ids) // 4
-                if size > room:
-                    held[high].append((doc, start, ids[: (size - room) * 4]))
-                    doc, start, ids = doc, start + size - room, ids[(size - room) * 4 :]
-                    size = room
-                window.append((doc, start, ids))
-                room -= size
-                if not held[high]:
-                    high -= 1
-            if not room:
-                self.closed.append(window)
-                low += 1
-        if low == high:
-            self._put(held[low], sum(len(p[2]) for p in held[low]) // 4)
+    def _settle(self, keep: int) -> None:
+        """Until at most `keep` windows are open: fills the fullest with pieces cut from the emptiest. The level array follows each move, so that
+        later pieces are still placed by the sum of squares of all windows that are open."""
+        while self.n_open > max(keep, 1):
+            level = int(np.flatnonzero(self.count)[-1])
+            window, room = self._take(level), self.length - level
+            while room and self.n_open:
+                low = int(np.flatnonzero(self.count)[0])
+                donor = self._take(low)
+                while room and donor:
+                    doc, start, ids = donor.pop()
+                    size = len(ids) // 4
+                    if size > room:
+                        donor.append((doc, start, ids[: (size - room) * 4]))
+                        start, ids, size = start + size - room, ids[(size - room) * 4 :], room
+                    window.append((doc, start, ids))
+                    room -= size
+                    low -= size
+                self._put(donor, low)
+            self._put(window, self.length - room)
 
     def finish(self) -> None:
         """Settles what is open and cuts the last window into powers of two."""
-        self._settle()
+        self._settle(1)
         rest = [p for windows in self.open.values() for w in windows for p in w]
         self.open, self.n_open = {}, 0
         self.count[:] = 0

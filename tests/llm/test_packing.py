@@ -108,3 +108,37 @@ def test_odd_rows(odd_docs, no_docs):
     assert sorted((r.doc_id or 0, r.doc_tokens) for r in rows if r.start == 0)[:5] == [(0, 4), (1, 8), (2, 8), (2, 8), (3, 1)]
     assert sum(r.length for r in rows if r.doc_id == 6) == rows[[r.doc_id for r in rows].index(6)].doc_tokens
     assert packing.pack(no_docs, PATH, 2).count() == 0
+
+
+def test_placement_goes_on_by_the_sum_of_squares_after_windows_are_settled():
+    rng = np.random.default_rng(3)
+    packer, settled = packing.Packer(64, 12), 0
+    for i, size in enumerate(rng.integers(1, 64, 600).tolist()):
+        before = packer.count.copy()
+        choices = {0: 2 * before[size] + 1}
+        for h in np.flatnonzero(before).tolist():
+            if h + size <= 64:
+                after = before.copy()
+                after[h] -= 1
+                after[h + size] += h + size < 64
+                choices[h] = int((after**2).sum() - (before**2).sum())
+        packer.add((i, size), np.zeros(size, "<u4").tobytes())
+        levels = np.zeros(65, int)
+        for windows in packer.open.values():
+            for w in windows:
+                levels[sum(len(p[2]) for p in w) // 4] += 1
+        assert (levels == packer.count).all() and packer.n_open == levels.sum() <= 12
+        if packer.n_open < before.sum():
+            settled += 1
+            continue
+        assert (packer.count**2).sum() - (before**2).sum() == min(choices.values())
+    assert 5 < settled < 300
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_ids_of_every_tokenizer_file(name):
+    texts = ["Hello World, it's 2024!", "a\nb  c", "É ß 你好", "<|endoftext|> x", ""]
+    plain = tokenizers.Tokenizer.from_file(public.path(name))
+    got = [ids_of(x) for x in packing.encoder(public.path(name)).encode(texts)]
+    assert got == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert packing.encoder(public.path(name)).by_words == name.startswith("word")
