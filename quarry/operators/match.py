@@ -28,10 +28,19 @@ def _subject(text: Column, spec: SearchSpec) -> Column:
     return latin1(text) if spec.byte_mode else text
 
 
+def _bounded(subject: Column, c: Compiled) -> Column:
+    """Short lines by java.util.regex, others, on which it might not end, by the pattern's automaton."""
+    by_table = c.automaton.column(subject)
+    found = by_table if not c.limit else F.when(F.length(subject) <= c.limit, subject.rlike(c.java)).otherwise(by_table)
+    return subject.contains(c.required) & found if c.required and not c.spec.ignore_case else found
+
+
 def _positive(text: Column, c: Compiled) -> Column:
     """The pattern is found; the cheapest expression that says so."""
     spec = c.spec
     subject = _subject(text, spec)
+    if c.limit is not None:
+        return _bounded(subject, c)
     if spec.ignore_case:  # one search by (?i), which folds ASCII only, is faster than folding the text first
         return subject.rlike(c.java)
     if c.literal is not None:
@@ -86,25 +95,24 @@ def has_match(text: Column, spec: SearchSpec) -> Column:
 
 
 def lines_with_needles(
-    docs: DataFrame, needles: DataFrame, needle: str = "needle", key: str = "doc_id", text: str = "text", stem: int = 3
+    docs: DataFrame, needles: DataFrame, needle: str = "needle", key: str = "doc_id", text: str = "text", stem: int = 8
 ) -> DataFrame:
-    """(key, line_no, line) of lines that hold any of a table of needles.
+    """(key, line_no, line) of lines that hold any of a table of needles, of any length; null needles are ignored.
 
-    An equi-join on the needles' first `stem` characters: lines give all their different stems, so nothing is compared with
-    every needle, and neither side has to be small. Needles shorter than stem are an error; null needles are ignored.
+    An equi-join on the needles' first characters, as many as the shortest needle has, `stem` at most: lines give all their different
+    stems, so nothing is compared with every needle, and neither side has to be small. An empty needle is in every line.
     """
     wanted = needles.filter(F.col(needle).isNotNull()).select(F.col(needle).alias("__needle")).distinct()
-    wanted = wanted.withColumn(
-        "__stem",
-        F.when(
-            F.length("__needle") >= stem, F.substring("__needle", 1, stem)
-        ).otherwise(F.raise_error(F.lit("needle is shorter than its stem"))),
-    )
+    shortest = wanted.agg(F.min(F.length("__needle"))).first()[0]
     each = lines(docs, key, text)
+    if shortest is None:
+        return each.limit(0)
+    if not shortest:
+        return each
+    stem = min(stem, shortest)
+    wanted = wanted.withColumn("__stem", F.substring("__needle", 1, stem))
     stems = each.withColumn(
         "__stem", F.explode(F.array_distinct(F.regexp_extract_all("line", F.lit(f"(?s)(?=(.{{{stem}}}))"), F.lit(1))))
     )
     hits = stems.join(wanted, "__stem").filter(F.col("line").contains(F.col("__needle")))
     return hits.select(key, "line_no", "line").distinct()
-
-

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from quarry.operators.lines import line_array
 from quarry.operators.match import flagged_lines, has_match, matches, matching_lines, may_match
-from quarry.plans.pattern import compile_pattern
+from quarry.plans.automaton import SHALLOW, recurses
+from quarry.plans.pattern import Compiled, compile_pattern
 from quarry.spec import SearchSpec
 
 ESC = "\x1b["
@@ -98,11 +99,20 @@ def as_json(found: DataFrame, key: str = "doc_id") -> DataFrame:
     return found.select(key, "line_no", F.to_json(F.struct(key, "line_no", "line")).alias("out"))
 
 
+def _replaced(line: Column, c: Compiled, java: str, by: str) -> Column:
+    """Matches in the line replaced. Lines on which java.util.regex could overflow its stack are refused, if they hold a match."""
+    out = F.regexp_replace(line, java, by)
+    if c.limit is None or not recurses(c.node):
+        return out
+    told = F.raise_error(F.lit(f"a line of over {SHALLOW} characters is too long to replace this pattern in"))
+    return F.when(F.length(line) <= SHALLOW, out).when(~c.automaton.column(line), line).otherwise(told.cast("string"))
+
+
 def highlighted(line: Column, spec: SearchSpec) -> Column:
     """The line with every match in colour; empty matches are left alone."""
     if spec.invert or not spec.pattern:
         return line
-    return F.regexp_replace(line, f"({compile_pattern(spec).java})", f"{MATCH_COLOUR}$1{RESET}".replace("\\", "\\\\"))
+    return _replaced(line, compile_pattern(spec), f"({compile_pattern(spec).java})", f"{MATCH_COLOUR}$1{RESET}".replace("\\", "\\\\"))
 
 
 def coloured(found: DataFrame, spec: SearchSpec, key: str = "doc_id") -> DataFrame:
@@ -125,8 +135,8 @@ def coloured(found: DataFrame, spec: SearchSpec, key: str = "doc_id") -> DataFra
 
 def replaced(docs: DataFrame, spec: SearchSpec, by: str, text: str = "text") -> DataFrame:
     """docs with every match in every line replaced by a text."""
-    java = compile_pattern(spec).java
+    c = compile_pattern(spec)
     safe = by.replace("\\", "\\\\").replace("$", "\\$")
     return docs.withColumn(
-        text, F.array_join(F.transform(F.split(F.col(text), "\n", -1), lambda line: F.regexp_replace(line, java, safe)), "\n")
+        text, F.array_join(F.transform(F.split(F.col(text), "\n", -1), lambda line: _replaced(line, c, c.java, safe)), "\n")
     )

@@ -9,6 +9,7 @@ possessive quantifiers, back-references, `(?...)`, `\\B \\A \\z \\p` and POSIX c
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import lru_cache
 
 from quarry.functions.strings import latin1_str, quoted, rarest_index, rarity
 from quarry.spec import SearchSpec
@@ -342,7 +343,8 @@ def required_literal(node: Node) -> str | None:
 
 @dataclass(frozen=True)
 class Compiled:
-    """literal: the pattern is this text. branches: it is one of these. required: every match holds it. java: the whole."""
+    """literal: the pattern is this text. branches: it is one of these. required: every match holds it. java: the whole, for lines of up to
+    `limit` characters (None: of any length); longer ones go through the automaton."""
 
     spec: SearchSpec
     node: Node
@@ -350,9 +352,14 @@ class Compiled:
     literal: str | None
     branches: list[str] | None
     required: str | None
+    limit: int | None = None
+    automaton: object = None
 
 
+@lru_cache(256)
 def compile_pattern(spec: SearchSpec) -> Compiled:
+    from quarry.plans import automaton
+
     text = latin1_str(spec.pattern) if spec.byte_mode else spec.pattern
     node = Seq(tuple(map(Char, text))) if spec.fixed else parse(text)
     body = java(node)
@@ -362,4 +369,12 @@ def compile_pattern(spec: SearchSpec) -> Compiled:
         body = f"(?i){body}"
     literal = None if spec.whole_word else pure_literal(node)
     branches = None if spec.whole_word else branch_literals(node)
-    return Compiled(spec, node, body, literal, branches, pure_literal(node) or required_literal(node))
+    limit, made = automaton.safe_length(node, spec.ignore_case), None
+    if limit is not None:
+        try:
+            made = automaton.build(node, spec.ignore_case, spec.whole_word)
+        except automaton.TooLarge as error:
+            if automaton.recurses(node):
+                raise UnsupportedPattern(str(error)) from error
+            limit = None  # slow on long lines, but in bounded memory
+    return Compiled(spec, node, body, literal, branches, pure_literal(node) or required_literal(node), limit, made)
