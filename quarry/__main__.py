@@ -1,4 +1,5 @@
-"""python -m quarry [options] PATTERN [PATH...]: search files with Spark. Exit status 0 with a match, 1 without, 2 on an error."""
+"""python -m quarry [options] PATTERN [PATH...]: search files with Spark. Exit status 0 with a match, 1 without, 2 on an error. Paths that
+can't be read are told on stderr; the others are searched."""
 
 from __future__ import annotations
 
@@ -77,11 +78,15 @@ def run(argv: list[str], spark: SparkSession | None = None, out=None) -> int:
         print(f"pattern: {error}", file=sys.stderr)
         return 2
     spark = spark or SparkSession.builder.master(f"local[{o.threads or '*'}]").config("spark.ui.enabled", "false").getOrCreate()
-    found = tree.files(spark, roots or ["."], max_depth=o.max_depth, ext=o.type)
+    found = tree.files(
+        spark, roots or ["."], lambda root, error: print(f"quarry: {root}: {error.strerror}", file=sys.stderr), max_depth=o.max_depth, ext=o.type
+    )
     docs = tree.as_documents(found).filter(paths.included(F.col("path"), o.include, o.exclude))
     if o.index_build:
         TrigramIndex(spark, o.index_build, version=["size", "mtime"]).build(docs)
         return 0
+    if o.index:  # whatever the report, documents that the index rules out aren't looked at
+        docs = TrigramIndex(spark, o.index, version=["size", "mtime"]).narrowed(docs, spec)
     total = 0
     if o.count or o.files:
         rows = report.counts(docs, spec, "path").orderBy("path")
@@ -93,12 +98,7 @@ def run(argv: list[str], spark: SparkSession | None = None, out=None) -> int:
                 print(r.path, file=out)
         return 0 if total else 1
     plain = not (spec.before or spec.after)
-    if o.index:
-        lines = TrigramIndex(
-            spark, o.index, version=["size", "mtime"]
-        ).search(docs, spec).join(docs.select("doc_id", "path"), "doc_id").select("path", "line_no", "line")
-    else:
-        lines = report.first_matches(docs, spec, "path") if plain else report.with_context(docs, spec, "path")
+    lines = report.first_matches(docs, spec, "path") if plain else report.with_context(docs, spec, "path")
     lines = lines.orderBy("path", "line_no")
     if o.json:
         shown = report.as_json(lines, "path")

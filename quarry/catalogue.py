@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from quarry.operators import match, report
 from quarry.operators.lines import lines, not_binary
 from quarry.plans.trigrams import is_selective, need_masks, trigram_list
 from quarry.sources import paths
+from quarry.sources.work import work_folder
 from quarry.spec import SearchSpec as S
 from quarry.streaming import watch
 
@@ -186,6 +188,26 @@ add(
     over_docs(lambda d: report.counts(d, S(r"\b\w+ing\b"))),
     f"select doc_id, count(*) as n from {L} where {rx(r'\b\w+ing\b')} group by doc_id",
 )
+
+
+def _long_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts as single lines, by patterns on which a backtracking matcher overflows its stack or doesn't end."""
+    one = docs_of(spark, sf_dir).withColumn("text", F.regexp_replace("text", "\n", " "))
+    found = [
+        match.matching_lines(one, S(p)).select("doc_id", F.lit(p).alias("pattern"), F.length("line").cast("bigint").alias("n")) for p in LONG_LINES
+    ]
+    return reduce(DataFrame.unionByName, found)
+
+
+LONG_LINES = [r"^(\w+[\s.,]*)*$", r"(ing|tion|[a-z ])+[0-9]", r"^([a-zA-Z .,]|[0-9])*$"]
+add(
+    "q_regex_long_lines",
+    _long_lines,
+    " union all ".join(
+        f"select doc_id, {sql_text(p)} as pattern, length(line) as n from (select doc_id, replace(text, chr(10), ' ') as line from documents where text <> '') where {rx(p)}"
+        for p in LONG_LINES
+    ),
+)
 add("q_regex_bytes", hits(S(r"[^\d\w\s.,]{2}", byte_mode=True)), hits_sql(rx(r"[^\x00-\x7f]|[^A-Za-z0-9_ \t\n\r.,]{2}")))
 
 # several texts
@@ -196,9 +218,16 @@ add("q_multi_needle", hits(S("|".join(NEEDLES))), hits_sql(" or ".join(map(has,
 add(
     "q_multi_needle_table",
     lambda spark, sf_dir: match.lines_with_needles(
-        docs_of(spark, sf_dir), docs_of(spark, sf_dir, "benchmark", "text").select(F.substring("text", 1, 12).alias("needle"))
+        docs_of(spark, sf_dir), docs_of(spark, sf_dir, "benchmark", "text").select(F.col("text").alias("needle"))
     ),
-    f"select doc_id, line_no, line from {L} where exists (select 1 from (select distinct substr(text, 1, 12) as n from benchmark) where contains(line, n))",
+    f"select doc_id, line_no, line from {L} where exists (select 1 from (select distinct text as n from benchmark) where contains(line, n))",
+)
+add(
+    "q_multi_needle_short",
+    lambda spark, sf_dir: match.lines_with_needles(
+        docs_of(spark, sf_dir), spark.createDataFrame([("@",), ("GNU",), ("zq",), ("released under",)], "needle string")
+    ),
+    hits_sql(" or ".join(map(has, ("@", "GNU", "zq", "released under")))),
 )
 add("q_prefiltered_regex", hits(S(r"Apache License, Version \d")), hits_sql(rx(r"Apache License, Version \d")))
 
@@ -389,14 +418,16 @@ def _byte(i: int) -> str:
 
 _CODE = f"cast({_byte(0)} + 256 * {_byte(1)} + 65536 * {_byte(2)} as integer)"
 #: Byte windows of four at the four offsets cover all positions but the last, which has three bytes.
-POSTINGS = f"""
-(select doc_id, trigram, cast(bit_or(1 << cast(pos % 8 as integer)) as integer) as loc_mask, cast(bit_or(nxt) as integer) as next_mask from (
-  select doc_id, {_CODE} as trigram, pos, 1 << cast({_byte(3)} % 8 as integer) as nxt from (
+OCCURRENCES = f"""
+(select doc_id, {_CODE} as trigram, pos, 1 << cast({_byte(3)} % 8 as integer) as nxt from (
     select doc_id, unnest(a) as q, 4 * unnest(range(len(a))) + o as pos from (
       select doc_id, o, regexp_extract_all(substr(hex(encode(text)), 2 * o + 1), '.{{8}}') as a from documents, (select unnest(range(4)) as o)))
   union all
-  select doc_id, {_CODE} as trigram, octet_length(encode(text)) - 3 as pos, 255 as nxt from (select doc_id, text, right(hex(encode(text)), 6) as q from documents where octet_length(encode(text)) >= 3)
-) group by doc_id, trigram)
+  select doc_id, {_CODE} as trigram, octet_length(encode(text)) - 3 as pos, 255 as nxt from (select doc_id, text, right(hex(encode(text)), 6) as q from documents where octet_length(encode(text)) >= 3))
+"""
+POSTINGS = f"""
+(select doc_id, trigram, cast(bit_or(1 << cast(pos % 8 as integer)) as integer) as loc_mask, cast(bit_or(nxt) as integer) as next_mask
+ from {OCCURRENCES} group by doc_id, trigram)
 """
 
 
@@ -417,18 +448,14 @@ def all_or(d: DataFrame, found: DataFrame | None) -> DataFrame:
 add("q_trigram_extract", over_docs(trigram.distinct_trigrams), f"select doc_id, trigram from {POSTINGS}")
 add(
     "q_trigram_hash",
-    over_docs(
-        lambda d: d.select(
-            "doc_id", trigram.trigram_code(strings.latin1(F.substring("text", 1, 3))).alias("trigram")
-        ).filter("trigram > 0")
-    ),
-    f"select doc_id, {_CODE} as trigram from (select doc_id, hex(encode(text)) as q from documents)",
+    over_docs(trigram.trigram_sums),
+    f"select doc_id, count(*) as n, cast(sum(trigram) as bigint) as total from {OCCURRENCES} group by doc_id",
 )
 add("q_bloom_masks", posted(lambda d, p: p), f"select doc_id, trigram, loc_mask, next_mask from {POSTINGS}")
 add(
     "q_trigram_df",
-    posted(lambda d, p: trigram.document_frequency(p).orderBy(F.col("df").desc(), "trigram").limit(100)),
-    f"select trigram, count(*) as df from {POSTINGS} group by trigram order by df desc, trigram limit 100",
+    posted(lambda d, p: trigram.document_frequency(p).orderBy(F.col("df").desc(), "trigram")),
+    f"select trigram, count(*) as df from {POSTINGS} group by trigram",
 )
 add(
     "q_index_stats",
@@ -505,6 +532,38 @@ add(
 )
 
 
+def stored(work: Callable[[DataFrame, S], DataFrame], spec: S, older: str | None = None) -> Query:
+    """A report over what an index in a folder leaves of the documents. It is built first; with `older`, for documents that satisfy it, and then refreshed."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        docs = docs_of(spark, sf_dir, "documents", "doc_id", "text", "lang")
+        index = trigram.TrigramIndex(spark, work_folder(spark, "index"))
+        index.build(docs.filter(older).withColumn("text", F.when(F.col("lang") == "de", F.upper("text")).otherwise(F.col("text"))) if older else docs)
+        return work(index.narrowed(docs.drop("lang"), spec), spec)
+
+    return run
+
+
+add("q_index_stored", stored(match.matching_lines, S("licensed under")), hits_sql(has("licensed under")))
+add("q_index_stored_regex", stored(match.matching_lines, S(r"(MIT|GNU).*License\b")), hits_sql(rx(r"(MIT|GNU).*License\b")))
+add(
+    "q_index_stored_max",
+    stored(report.first_matches, S("License", max_count=1)),
+    f"select doc_id, line_no, line from (select *, row_number() over (partition by doc_id order by line_no) as r from {L} where {has('License')}) where r <= 1",
+)
+add(
+    "q_index_stored_context",
+    stored(report.with_context, S("License", before=1, after=2, max_count=1)),
+    context_sql(has("License"), 1, 2, 1),
+)
+add(
+    "q_index_stored_count",
+    stored(report.counts, S("License")),
+    f"select doc_id, count(*) as n from {L} where {has('License')} group by doc_id",
+)
+add("q_index_stored_refreshed", stored(match.matching_lines, S("License"), "lang <> 'es'"), hits_sql(has("License")))
+
+
 def _with(p: DataFrame, text: str) -> DataFrame:
     return p.filter(F.col("trigram") == trigram_list(text.encode())[0]).select("doc_id")
 

@@ -46,7 +46,7 @@ def occurrences(text: Column, needle: str) -> Column:
 
 
 def overlapping_offsets(text: Column, needle: str) -> Column:
-    """0-based offsets of all occurrences, overlaps included, as an array; one pass over the text.
+    """0-based offsets of all occurrences, overlaps included, as an array, in the text's order; meant for lines, as each offset copies those before.
 
     The pieces between look-ahead matches are the gaps: their running lengths are the offsets.
     """
@@ -61,7 +61,7 @@ def overlapping_offsets(text: Column, needle: str) -> Column:
     return F.filter(sums, lambda at: (at > 0) | text.startswith(needle))
 
 
-#: Characters of English text and code from common to rare; those that are not here are rarer still.
+#: Characters of English text and code from common to rare; those that are not here are rarer still. Only a prefilter's choice depends on it.
 COMMON = " etaoinshrdlucmfwygpbvk" + "_.,-=()/\"0123456789:;jxqzETAOINSHRDLUCMFWYGPBVKJXQZ"
 
 

@@ -1,13 +1,16 @@
 """A trigram index as Parquet tables, and searches that read candidates from it.
 
-postings(trigram, doc_id, loc_mask, next_mask, shard) in a folder for each of SHARDS classes of trigrams, sorted by trigram, so that a search
-opens few files and reads few of their row groups;
-files(doc_id, size, fingerprint) for staleness; meta, one row. Masks are bits of positions modulo 8 and of the following byte
-modulo 8 (255 at the end of a document).
+postings(trigram, doc_id, loc_mask, next_mask, generation, shard) in a folder for each generation and each of SHARDS classes of trigrams, sorted by
+trigram, so that a search opens few files and reads few of their row groups;
+files(doc_id, size, fingerprint) for staleness, a folder for each generation; gone(doc_id, generation) names documents whose earlier postings don't
+count any more; meta(version, generation), one row. Masks are bits of positions modulo 8 and of the following byte
+modulo 8 (255 at the end of a document). A row of a corpus is a document, and keys are unique.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +22,7 @@ from quarry.plans import trigrams as T
 from quarry.plans.pattern import compile_pattern
 from quarry.spec import SearchSpec
 
-VERSION = 1
+VERSION = 2
 SHARDS = 64
 
 
@@ -33,33 +36,100 @@ def trigram_code(chars: Column) -> Column:
     return F.ascii(chars) + F.ascii(F.substring(chars, 2, 1)) * 256 + F.ascii(F.substring(chars, 3, 1)) * 65536
 
 
+#: Bytes of a text that are folded at once, a multiple of 8: bounds memory, not results.
+PIECE = 1 << 22
+
+
+def _merged(code: np.ndarray, loc: np.ndarray, nxt: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each code once, masks joined."""
+    order = np.argsort(code, kind="stable")
+    code, loc, nxt = code[order], loc[order], nxt[order]
+    first = np.flatnonzero(np.r_[True, code[1:] != code[:-1]]) if len(code) else np.zeros(0, int)
+    if not len(first):
+        return code, loc, nxt
+    return code[first], np.bitwise_or.reduceat(loc, first), np.bitwise_or.reduceat(nxt, first)
+
+
+def _codes(part: np.ndarray) -> np.ndarray:
+    data = part.astype(np.int32)
+    return data[:-2] | data[1:-1] << 8 | data[2:] << 16
+
+
+def folded(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(trigrams, location masks, next masks) of a text's bytes, each different trigram once."""
+    whole = np.frombuffer(data, np.uint8)
+    out = (np.zeros(0, np.int32),) * 3
+    for at in range(0, max(0, len(whole) - 2), PIECE):
+        part = whole[at : at + PIECE + 3]
+        code = _codes(part)[:PIECE]
+        loc = np.left_shift(np.int32(1), np.arange(len(code), dtype=np.int32) % 8)
+        nxt = np.full(len(code), 255, np.int32)
+        behind = part[3 : 3 + len(code)]
+        nxt[: len(behind)] = np.left_shift(np.int32(1), (behind % 8).astype(np.int32))
+        found = _merged(code, loc, nxt)
+        out = _merged(*map(np.concatenate, zip(out, found, strict=True))) if len(out[0]) else found
+    return out
+
+
+def _folded_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(trigram, key, loc_mask, next_mask): folded inside the task that reads the text, so that no text is shuffled."""
+    kind = docs.schema[key].dataType.simpleString()
+
+    def run(batches):
+        names = ["trigram", key, "loc_mask", "next_mask"]
+        for batch in batches:
+            held, rows, count = [], [], 0
+
+            def out(batch=batch):
+                code, loc, nxt = (np.concatenate(x) for x in zip(*held, strict=True))
+                keys = batch.column(0).take(pa.array(np.repeat(rows, [len(h[0]) for h in held])))
+                return pa.RecordBatch.from_arrays([pa.array(code), keys, pa.array(loc), pa.array(nxt)], names)
+
+            for i in range(batch.num_rows):
+                data = batch.column(1)[i].as_py()
+                found = folded(data) if data else ((),)
+                if len(found[0]):
+                    held.append(found)
+                    rows.append(i)
+                    count += len(found[0])
+                if count > 200_000:
+                    yield out()
+                    held, rows, count = [], [], 0
+            if held:
+                yield out()
+
+    return docs.select(key, F.col(text).cast("binary").alias("__bytes")).mapInArrow(
+        run, f"trigram int, `{key}` {kind}, loc_mask int, next_mask int"
+    )
+
+
 def distinct_trigrams(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, trigram): different byte trigrams of each document. One pass over the text, distinct within the row: no shuffle."""
-    found = F.array_distinct(F.regexp_extract_all(latin1(F.col(text)), F.lit("(?s)(?=(.{3}))"), F.lit(1)))
-    return docs.select(key, F.explode(found).alias("__chars")).select(key, trigram_code(F.col("__chars")).alias("trigram"))
+    return _folded_rows(docs, key, text).select(key, "trigram")
 
 
-def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(trigram, key, loc_mask, next_mask), ints but for the key. Binary documents are left out.
+def trigram_sums(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, n, total): how many byte trigrams the whole text has, repeats included, and the sum of their codes. Texts under three bytes have no row."""
+    kind = docs.schema[key].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for i in range(batch.num_rows):
+                data = np.frombuffer(batch.column(1)[i].as_py() or b"", np.uint8)
+                sums = [_codes(data[at : at + PIECE + 2]).sum(dtype=np.int64) for at in range(0, len(data) - 2, PIECE)]
+                if sums:
+                    rows.append((i, len(data) - 2, int(sum(sums))))
+            if rows:
+                at, n, total = (pa.array(c, pa.int64()) for c in zip(*rows, strict=True))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), n, total], [key, "n", "total"])
+
+    return docs.select(key, F.col(text).cast("binary").alias("__bytes")).mapInArrow(run, f"`{key}` {kind}, n bigint, total bigint")
 
-    The one exchange is of texts by key. It serves the grouping by (key, trigram) behind it, whose rows, one for each
-    occurrence and later a fifth of the text's bytes in postings, then never leave their task.
-    """
-    windows = F.regexp_extract_all(latin1(F.col(text)), F.lit("(?s)(?=(.{3,4}))"), F.lit(1))
-    dealt = docs.filter(not_binary(F.col(text))).select(key, text).repartition(key)
-    each = dealt.select(key, F.posexplode(windows).alias("__pos", "__chars"))
-    at_end = F.length("__chars") == 3
-    return (
-        each.select(
-            key,
-            trigram_code(F.col("__chars")).alias("trigram"),
-            F.expr("shiftleft(1, __pos % 8)").alias("__loc"),
-            F.when(at_end, 255).otherwise(F.expr("shiftleft(1, ascii(substring(__chars, 4, 1)) % 8)")).alias("__next"),
-        )
-        .groupBy(key, "trigram")
-        .agg(F.bit_or("__loc").alias("loc_mask"), F.bit_or("__next").alias("next_mask"))
-        .select("trigram", key, "loc_mask", "next_mask")
-    )
+
+def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(trigram, key, loc_mask, next_mask), ints but for the key. Binary documents are left out. Nothing is shuffled."""
+    return _folded_rows(docs.filter(not_binary(F.col(text))), key, text)
 
 
 def document_frequency(postings_: DataFrame) -> DataFrame:
@@ -152,7 +222,7 @@ def indexed_lines(docs: DataFrame, postings_: DataFrame, spec: SearchSpec, key:
 
 
 class TrigramIndex:
-    """The index of one corpus in a folder: build, check, search; falls back to a full scan."""
+    """The index of one corpus in a folder: build, check, refresh, search; falls back to a full scan."""
 
     def __init__(self, spark: SparkSession, path: str, key: str = "doc_id", text: str = "text", version: list[str] | None = None):
         self.spark, self.path, self.key, self.text, self.version = spark, path.rstrip("/"), key, text, version
@@ -160,7 +230,11 @@ class TrigramIndex:
     def snapshot(self, docs: DataFrame) -> DataFrame:
         return snapshot(docs, self.key, self.text, self.version)
 
-    def _write(self, made: DataFrame, name: str) -> None:
+    def _mark(self, generation: int) -> None:
+        """The last step of a change: what was written for this generation counts from now on."""
+        self.spark.createDataFrame([(VERSION, generation)], "version int, generation int").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/meta")
+
+    def _write(self, made: DataFrame, generation: int) -> None:
         """Deals postings by shard, a shard to several tasks if there are more tasks than shards: common trigrams don't fill one.
 
         Nothing is sampled, so postings are made once.
@@ -168,45 +242,82 @@ class TrigramIndex:
         salts = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // SHARDS)
         sharded = made.withColumn("shard", shard_of(F.col("trigram").cast("bigint")).cast("int"))
         dealt = sharded.repartition("shard", F.pmod(F.xxhash64(self.key), F.lit(salts)))
-        dealt.sortWithinPartitions("shard", "trigram", self.key).write.mode("overwrite").partitionBy("shard").parquet(f"{self.path}/{name}")
+        dealt.sortWithinPartitions("shard", "trigram", self.key).write.mode("overwrite").partitionBy("shard").parquet(
+            f"{self.path}/postings/generation={generation}"
+        )
+
+    def _snap(self, docs: DataFrame, generation: int) -> None:
+        self.snapshot(docs).write.mode("overwrite").parquet(f"{self.path}/files/generation={generation}")
 
     def build(self, docs: DataFrame) -> None:
-        """Writes all tables; meta comes last and marks the index as whole."""
-        self.spark.createDataFrame([(0,)], "version int").write.mode("overwrite").parquet(f"{self.path}/meta")
-        self._write(postings(docs, self.key, self.text), "postings")
-        self.snapshot(docs).write.mode("overwrite").parquet(f"{self.path}/files")
-        self.spark.createDataFrame([(VERSION,)], "version int").write.mode("overwrite").parquet(f"{self.path}/meta")
+        """Writes all tables; meta comes last and marks the index as whole. It goes on counting generations, so that nothing is read
+        of what was there before."""
+        generation = self.generation()
+        generation = 0 if generation is None else generation + 1
+        self._write(postings(docs, self.key, self.text), generation)
+        self._snap(docs, generation)
+        # all earlier generations are gone
+        self.snapshot(docs).limit(0).select(self.key, F.lit(0).alias("before")).write.mode("overwrite").parquet(f"{self.path}/gone/generation={generation}")
+        self.spark.createDataFrame([(generation,)], "first int").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/first")
+        self._mark(generation)
+
+    def generation(self) -> int | None:
+        """The number of the last change, None if there is no whole index of this version."""
+        try:
+            found = self.spark.read.schema("version int, generation int").parquet(f"{self.path}/meta").collect()
+        except PySparkException:  # missing or unreadable: the index isn't there
+            return None
+        return found[0].generation if [r.version for r in found] == [VERSION] else None
+
+    def valid(self) -> bool:
+        return self.generation() is not None
+
+    def _paths(self, name: str) -> list[str]:
+        first = self.spark.read.parquet(f"{self.path}/first").first()["first"]
+        return [f"{self.path}/{name}/generation={g}" for g in range(first, self.generation() + 1)]
 
     def postings(self) -> DataFrame:
-        schema = f"trigram int, `{self.key}` {self.files().schema[self.key].dataType.simpleString()}, loc_mask int, next_mask int, shard int"
-        return self.spark.read.schema(schema).parquet(f"{self.path}/postings")
+        """Postings that count: of all generations from the last build on, without documents that went or changed after."""
+        kind = self.files().schema[self.key].dataType.simpleString()
+        schema = f"trigram int, `{self.key}` {kind}, loc_mask int, next_mask int, generation int, shard int"
+        paths = self._paths("postings")
+        found = self.spark.read.schema(schema).option("basePath", f"{self.path}/postings").parquet(*paths)
+        if len(paths) > 1:
+            gone = self.spark.read.schema(f"`{self.key}` {kind}, before int").parquet(*self._paths("gone")).groupBy(F.col(self.key).alias("__gone")).agg(F.max("before").alias("__before"))
+            found = found.join(gone, (F.col(self.key) == F.col("__gone")) & (F.col("generation") < F.col("__before")), "left_anti")
+        return found.drop("generation")
 
     def files(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/files")
-
-    def valid(self) -> bool:
-        try:
-            return [r.version for r in self.spark.read.parquet(f"{self.path}/meta").collect()] == [VERSION]
-        except PySparkException:  # missing or unreadable: the index isn't there
-            return False
+        return self.spark.read.parquet(f"{self.path}/files/generation={self.generation()}")
 
     def stale(self, docs: DataFrame) -> bool:
         return not changes(self.files(), self.snapshot(docs), self.key).isEmpty()
 
-    def search(self, docs: DataFrame, spec: SearchSpec, rebuild: bool = True) -> DataFrame:
-        """Matching lines. A missing, invalid or stale index is built anew, or, without rebuild, not used."""
-        if not self.valid() or self.stale(docs):
+    def narrowed(self, docs: DataFrame, spec: SearchSpec, rebuild: bool = True) -> DataFrame:
+        """docs without those that the index rules out, for any report. A missing, invalid or stale index is built or brought up to date, or,
+        without rebuild, not used. Inverted searches need every document."""
+        if not self.valid():
             if not rebuild:
-                return matching_lines(docs, spec, self.key, self.text)
+                return docs
             self.build(docs)
-        return indexed_lines(docs, self.postings(), spec, self.key, self.text)
+        elif self.stale(docs):
+            if not rebuild:
+                return docs
+            self.refresh(docs)
+        found = candidates(self.postings(), spec, self.key)
+        return docs if found is None else docs.join(found, self.key, "left_semi")
+
+    def search(self, docs: DataFrame, spec: SearchSpec, rebuild: bool = True) -> DataFrame:
+        """Matching lines."""
+        return matching_lines(self.narrowed(docs, spec, rebuild), spec, self.key, self.text)
 
     def refresh(self, docs: DataFrame) -> None:
-        """Brings the index up to docs, extracting trigrams of new and changed documents only."""
+        """Brings the index up to docs: a generation more, with postings of new and changed documents only; nothing that is there is read or written
+        again but the snapshot."""
+        generation = self.generation() + 1
         diff = changes(self.files(), self.snapshot(docs), self.key)
-        kept = self.postings().drop("shard").join(diff, self.key, "left_anti")
-        fresh = postings(docs.join(diff.filter("change != 'removed'"), self.key, "left_semi"), self.key, self.text)
-        self._write(kept.unionByName(fresh), "postings-next")
-        self.snapshot(docs).write.mode("overwrite").parquet(f"{self.path}/files-next")
-        self._write(self.spark.read.parquet(f"{self.path}/postings-next").drop("shard"), "postings")
-        self.spark.read.parquet(f"{self.path}/files-next").write.mode("overwrite").parquet(f"{self.path}/files")
+        fresh = docs.join(diff.filter("change != 'removed'"), self.key, "left_semi")
+        self._write(postings(fresh, self.key, self.text), generation)
+        diff.filter("change != 'added'").select(self.key, F.lit(generation).alias("before")).write.mode("overwrite").parquet(f"{self.path}/gone/generation={generation}")
+        self._snap(docs, generation)
+        self._mark(generation)

@@ -22,5 +22,5 @@ def lines(docs: DataFrame, key: str | list[str] = "doc_id", text: str = "text")
 
 def not_binary(text: Column) -> Column:
     """No NUL among the first 512 bytes."""
-    head = F.decode(F.substring(F.encode(text, "UTF-8"), 1, 512), "ISO-8859-1")
+    head = F.decode(F.substring(F.encode(F.substring(text, 1, 512), "UTF-8"), 1, 512), "ISO-8859-1")
     return F.instr(head, "\x00") == 0

@@ -6,6 +6,7 @@ Trees have to be reachable under the same path from the driver and all executors
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 from datetime import datetime, timezone
 
 import pyarrow as pa
@@ -65,15 +66,16 @@ def _row(path: str, rel: str, depth: int) -> tuple:
     return path, rel, name, py_extension(name), depth, stat.st_size, datetime.fromtimestamp(stat.st_mtime, timezone.utc)
 
 
-def files(spark: SparkSession, roots: str | list[str] = ".", **how) -> DataFrame:
-    """(path, rel_path, name, ext, depth, size, mtime, content) of all files under the roots. Unreadable roots are skipped; a file that vanishes
-    before it is read has null content."""
+def files(spark: SparkSession, roots: str | list[str] = ".", warn: Callable[[str, OSError], None] | None = None, **how) -> DataFrame:
+    """(path, rel_path, name, ext, depth, size, mtime, content) of all files under the roots. Unreadable roots are skipped, and told to warn(root, error);
+    a file that vanishes before it is read has null content."""
     rows: list[tuple] = []
     for root in [roots] if isinstance(roots, str) else roots:
         try:
             rows += list_tree(root, **how)
-        except FileNotFoundError:
-            continue
+        except OSError as error:
+            if warn:
+                warn(root, error)
     listed = spark.createDataFrame(rows, FILES)
     size = sum(r[5] for r in rows)
     listed = listed.repartition(max(1, min(len(rows), size // (32 << 20) + spark.sparkContext.defaultParallelism)))

@@ -21,8 +21,6 @@ class SearchSpec:
     max_count: int | None = None
     before: int = 0
     after: int = 0
-    line_number: bool = True
-    colour: bool = False
 
     def __post_init__(self):
         if "\n" in self.pattern:

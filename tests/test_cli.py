@@ -40,3 +40,11 @@ def test_index(spark, root, tmp_path):
     folder = str(tmp_path / "index")
     assert said(spark, "--index-build", folder, root)[0] == 0
     assert said(spark, "--index", folder, "TODO", root) == said(spark, "TODO", root)
+    for options in (["-m", "1"], ["-C", "1"], ["-A", "1", "-m", "1"], ["-c"], ["-l"], ["-v"], ["-i"], ["-w"], ["--json"], ["-c", "-l", "-m", "1"], ["--color", "always"]):
+        assert said(spark, "--index", folder, *options, "TODO", root) == said(spark, *options, "TODO", root), options
+
+
+def test_paths_that_are_not_there(spark, root, capsys):
+    assert said(spark, "TODO", f"{root}/none", f"{root}/b.py") == (0, [f"{root}/b.py:2:-flag TODO"])
+    assert capsys.readouterr().err == f"quarry: {root}/none: No such file or directory\n"
+    assert said(spark, "TODO", f"{root}/none")[0] == 1
