@@ -120,14 +120,13 @@ def edit_robustness(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     ordered = rows.withColumn("__tie", F.xxhash64("__t")).repartitionByRange(key, "__tie").sortWithinPartitions(key, "__tie").drop("__tie")
     seen = staged(ordered.mapInArrow(run, f"`{key}` {kind}, {_FIELDS}, __part int, __edge int, __text string"), "edited")
     heads = seen.filter("__edge = 1").select("__part", F.col("__text").alias("__head"))
-    # two rows for each partition of the exchange: small whatever the data
+    # a number for each partition of the exchange: small whatever the data; texts meet by it
     w = Window.orderBy("__part")
-    follow = heads.select(
-        "__part",
-        F.coalesce(
-            F.lead("__head").over(w), F.first("__head").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-        ).alias("__next"),
+    after = F.coalesce(
+        F.lead("__part").over(w), F.first("__part").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     )
+    order = heads.select("__part").select("__part", after.alias("__after"))
+    follow = order.join(heads.select(F.col("__part").alias("__after"), F.col("__head").alias("__next")), "__after").select("__part", "__next")
     tails = seen.filter("__edge = 2").select(key, "__part", "__text").join(follow, "__part").select(key, "__text", "__next")
 
     def last(batches):

@@ -144,25 +144,27 @@ def fit(
     label's share. Rows with a null key or label, or without a document, teach nothing; of several labels of one key the
     largest holds. Without documents of both labels every score is the smoothed share of label 1."""
     known = staged(
-        labels.filter(F.col(key).isNotNull() & F.col(label).isin(0, 1)).groupBy(key).agg(F.max(label).cast("int").alias("__y")),
+        labels.filter(F.col(key).isNotNull() & F.col(label).isin(0, 1)).groupBy(F.col(key).alias("__key")).agg(F.max(label).cast("int").alias("__y")),
         "labels",
     )
     counted = {r["__y"]: r["count"] for r in known.groupBy("__y").count().collect()}
     # bounded by 2 * max_bags rows
-    drawn = [known.filter(F.col("__y") == v).orderBy(F.xxhash64(key), key).limit(max_bags) for v in (0, 1)]
+    drawn = [known.filter(F.col("__y") == v).orderBy(F.xxhash64("__key"), "__key").limit(max_bags) for v in (0, 1)]
     picked = staged(drawn[0].unionByName(drawn[1]), "drawn")
 
     def bags(batches):
         for batch in batches:
             found = [passages(t or b"") for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([f.astype("<f4").tobytes() for f in found], pa.binary())], [key, "bag"]
+                [batch.column(0), pa.array([f.astype("<f4").tobytes() for f in found], pa.binary())], ["__key", "bag"]
             )
 
     kind = docs.schema[key].dataType.simpleString()
-    texts = docs.select(key, F.col(text).cast("binary").alias("__text")).join(F.broadcast(picked.select(key)), key, "left_semi")
-    rows = texts.mapInArrow(bags, f"`{key}` {kind}, bag binary").join(F.broadcast(picked), key).select(key, "__y", "bag").collect()
-    rows = sorted({r[0]: r for r in sorted(rows, key=lambda r: (r[0], bytes(r[2])))}.values(), key=lambda r: r[0])
+    rows = docs.select(F.col(key).alias("__key"), F.col(text).cast("binary").alias("__text"))
+    texts = rows.join(F.broadcast(picked.select("__key")), "__key", "left_semi")
+    # rows of one key are one bag, the least
+    found = texts.mapInArrow(bags, f"__key {kind}, bag binary").groupBy("__key").agg(F.min("bag").alias("bag"))
+    rows = sorted(found.join(F.broadcast(picked), "__key").select("__key", "__y", "bag").collect(), key=lambda r: r[0])
     y = np.array([r[1] for r in rows], float)
     have = Counter(y.tolist())
     weight = np.array([counted[int(v)] / have[v] for v in y])

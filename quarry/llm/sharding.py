@@ -2,7 +2,7 @@
 
 Every dimension is quantised to `bits` bits, the cell's place on the Hilbert curve is computed with
 Spark expressions only (Skilling's transform, unrolled), rows are sorted by that place and the order is cut into
-runs, one a shard. Minima and maxima of every dimension are narrow within a run, so a reader that
+runs, one a shard. Minima and maxima of every dimension's cells are narrow within a run, so a reader that
 filters on any of them skips most files.
 
 Only metadata is sorted: key, dimensions, size and checksum, never the text.
@@ -74,13 +74,14 @@ def hilbert_index(dims: list[Column], bits: int) -> Column:
 
 
 def quantised_log(value: Column, bits: int) -> Column:
-    """Eight steps for each doubling, so sizes from a byte to terabytes fill the range evenly."""
+    """With 8 bits six steps for each doubling, so sizes from a byte to terabytes fill the range evenly."""
     top = (1 << bits) - 1
     return F.least(F.floor(F.log2(F.greatest(F.coalesce(value, F.lit(0)), F.lit(0)) + 1) * top / 42), F.lit(top)).cast("long")
 
 
 def quantised_name(value: Column, bits: int) -> Column:
-    """A name's place among names by its first bytes, spread evenly by a hash: equal names, equal cells."""
+    """A cell by a hash of the name: equal names, equal cells, spread evenly however names are spelt. Their order is lost, so a reader
+    prunes by the cell's column, computed in the same way, not by the name's least and greatest."""
     return F.when(value.isNull(), 0).otherwise(F.pmod(F.xxhash64(value), F.lit(1 << bits))).cast("long")
 
 

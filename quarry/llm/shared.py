@@ -29,17 +29,32 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: This process's own part of the shared folder.
+_RUN = uuid.uuid4().hex
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """df written once as Parquet in the shared folder and read back: lineage is cut, lost executors cost nothing."""
-    path = f"{shared_dir(df.sparkSession)}/quarry/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(df.sparkSession)}/quarry/{_RUN}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._staged = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, True)
+
+
+def drop_staged(df: DataFrame) -> None:
+    """Deletes a table that staged has returned, when nothing reads it any more."""
+    _delete(df.sparkSession, df._staged)
 
 
 def clear_staged(spark: SparkSession) -> None:
-    """Deletes what staged has written to the shared folder; results that are still to be read from there must be saved first."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/quarry")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    """Deletes what staged has written in this process; results that are still to be read from there must be saved first."""
+    _delete(spark, f"{shared_dir(spark)}/quarry/{_RUN}")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -127,7 +142,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         small = large.join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
             lowest.select("u", F.col("m").alias("v"))
         )
-        now = staged(small.filter("u != v").distinct(), "stars")
+        done, now = now, staged(small.filter("u != v").distinct(), "stars")
+        drop_staged(done)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
