@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.operators.lines import line_array
-from quarry.operators.match import flagged_lines, has_match, matches, matching_lines, may_match
+from quarry.operators.match import has_match, matches, matching_lines, may_match
 from quarry.plans.automaton import SHALLOW, recurses
 from quarry.plans.pattern import Compiled, compile_pattern
 from quarry.spec import SearchSpec
@@ -63,17 +63,25 @@ def with_context(docs: DataFrame, spec: SearchSpec, key="doc_id", text: str = "t
     """(key..., line_no, line, is_match, group_id): hits with the lines around them, each line once.
 
     group_id counts the separate stretches of a document from 0. max_count cuts hits off first, so the lines behind the last hit that counts stay.
-    A document is one partition of the window: one shuffle by document serves the cap, the context and the groups.
+    Hits, the cap and the context are found in the line array; only the lines that stay are shuffled, by document, to count its stretches.
     """
     keys = _keys(key)
-    by_doc = Window.partitionBy(*keys).orderBy("line_no")
     early = may_match(F.col(text), spec)
-    flagged = flagged_lines(docs if early is None else docs.filter(early), spec, key, text)
-    if spec.max_count is not None:
-        nth = F.sum(F.col("is_match").cast("int")).over(by_doc.rowsBetween(Window.unboundedPreceding, 0))
-        flagged = flagged.withColumn("is_match", F.col("is_match") & (nth <= spec.max_count))
-    near = F.max("is_match").over(by_doc.rowsBetween(-spec.after, spec.before))
-    kept = flagged.withColumn("__near", near).filter("__near").drop("__near")
+    numbered = F.transform(
+        line_array(F.col(text)),
+        lambda line, i: F.struct((i + 1).cast("bigint").alias("line_no"), line.alias("line"), matches(line, spec).alias("is_match")),
+    )
+    flagged = (docs if early is None else docs.filter(early)).select(*keys, numbered.alias("__lines"))
+    hits = F.transform(F.filter("__lines", lambda x: x["is_match"]), lambda x: x["line_no"])
+    flagged = flagged.withColumn("__hits", hits if spec.max_count is None else F.slice(hits, 1, spec.max_count)).filter(F.size("__hits") > 0)
+    spans = F.transform(
+        "__hits",
+        lambda h: F.sequence(F.greatest(h - spec.before, F.lit(1).cast("long")), F.least(h + spec.after, F.size("__lines").cast("long"))),
+    )
+    near = F.transform(F.array_distinct(F.flatten(spans)), lambda i: F.get("__lines", (i - 1).cast("int")))
+    kept = flagged.withColumn("__last", F.element_at("__hits", -1)).withColumn("__near", near).select(*keys, "__last", F.inline("__near"))
+    kept = kept.select(*keys, "line_no", "line", (F.col("is_match") & (F.col("line_no") <= F.col("__last"))).alias("is_match"))
+    by_doc = Window.partitionBy(*keys).orderBy("line_no")
     gap = F.coalesce(F.col("line_no") - F.lag("line_no").over(by_doc) > 1, F.lit(False)).cast("int")
     return kept.withColumn("__gap", gap).withColumn(
         "group_id", F.sum("__gap").over(by_doc.rowsBetween(Window.unboundedPreceding, 0))
