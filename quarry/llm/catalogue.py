@@ -154,11 +154,39 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id",
         "text",
         F.aggregate("__removed", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["begin"] + 1).alias("n_removed"),
-        F.col("__removed").alias("removed"),
+        F.array_join(F.transform("__removed", lambda x: F.concat_ws("-", x["begin"], x["end"])), " ").alias("removed"),
     )
 
 
 QUERIES["op6_line_dedup"] = op6_line_dedup
+#: Windows by their whole content: no hash, no fingerprint and no join of positions.
+ORACLE_SQL["op6_line_dedup"] = r"""
+with split_ as (select doc_id, string_split(text, chr(10)) as l from documents where text is not null),
+lines as (select doc_id, unnest(l) as line, generate_subscripts(l, 1) - 1 as i from split_),
+counted as (select *, len(regexp_extract_all(line, '[^ \t\r\f\v]+')) as w from lines),
+held as (select * from (select *, sum(w) over (partition by doc_id order by i) as upto from counted) where w > 0),
+windows as (
+  select a.doc_id, a.i as b, min(z.i) as e from held a join held z on a.doc_id = z.doc_id and z.i >= a.i and z.upto - a.upto + a.w >= 50 group by a.doc_id, a.i
+  union
+  select z.doc_id, max(a.i) as b, z.i as e from held a join held z on a.doc_id = z.doc_id and z.i >= a.i and z.upto - a.upto + a.w >= 50 group by z.doc_id, z.i
+),
+placed as (
+  select doc_id, b, e, first_value(doc_id) over f as fd, first_value(b) over f as fb, first_value(e) over f as fe
+  from (select w.*, array_to_string(l[b + 1:e + 1], chr(10)) as content from windows w join split_ using (doc_id))
+  window f as (partition by content order by doc_id, b, e)
+),
+gone as (select doc_id, case when fd = doc_id then greatest(b, fe + 1) else b end as b, e from placed where fd <> doc_id or fb <> b),
+marked as (select doc_id, i, line, exists (select 1 from gone g where g.doc_id = lines.doc_id and i between g.b and g.e) as cut from lines),
+runs as (
+  select doc_id, min(i) as b, max(i) as e from (select doc_id, i, i - row_number() over (partition by doc_id order by i) as run from marked where cut) group by doc_id, run
+),
+spans as (select doc_id, string_agg(b || '-' || e, ' ' order by b) as removed from runs group by doc_id),
+kept as (
+  select doc_id, coalesce(string_agg(line, chr(10) order by i) filter (where not cut), '') as text, count(*) filter (where cut) as n_removed from marked group by doc_id
+)
+select d.doc_id, k.text, coalesce(n_removed, 0) as n_removed, coalesce(removed, '') as removed
+from documents d left join kept k using (doc_id) left join spans using (doc_id)
+"""
 
 
 def fold(key: str, parts: int):
@@ -209,3 +237,18 @@ def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op9_html_extract"] = op9_html_extract
+#: The tables' pages have one article each, which holds blocks, inline elements and a few named references only.
+ORACLE_SQL["op9_html_extract"] = r"""
+with body as (
+  select page_id, regexp_extract(regexp_replace(html, '(?s)<(script|style)>.*?</(script|style)>', '', 'g'), '(?s)<article>(.*?)</article>', 1) as inner_html
+  from pages
+), parts as (select page_id, regexp_split_to_array(inner_html, '</?(p|h[1-6]|ul|ol|li|div|table|tr|td|th|blockquote|pre)( [^>]*)?>') as l from body),
+blocks as (select page_id, generate_subscripts(l, 1) as i, unnest(l) as part from parts),
+plain as (select page_id, i, regexp_replace(regexp_replace(part, '<br */?>', ' ', 'g'), '<[^>]+>', '', 'g') as part from blocks),
+read as (
+  select page_id, i, trim(regexp_replace(
+    regexp_replace(replace(regexp_replace(regexp_replace(regexp_replace(part, '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', '"', 'g'), '&#39;', chr(39)), '&amp;?', '&', 'g'), '\s+', ' ', 'g')) as part
+  from plain
+), joined as (select page_id, string_agg(part, chr(10) order by i) filter (where part <> '') as text from read group by page_id)
+select p.page_id, p.url, coalesce(text, '') as text, cast(length(coalesce(text, '')) as bigint) as n_chars from pages p left join joined using (page_id)
+"""
