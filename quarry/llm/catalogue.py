@@ -70,7 +70,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     # the checksum travels in the place of the size's row: both are read off the text at the scan
     meta = docs.select(
         F.struct(F.col("doc_id"), F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("crc")).alias("row"),
-        "lang", "source", size.alias("size"), F.xxhash64("text").alias("same"),
+        "lang", "source", size.alias("size"), sharding.hashed(F.coalesce(F.col("text"), F.lit(""))).alias("same"),
     )
     out = sharding.shard(
         meta,
@@ -88,6 +88,58 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op10_sharding"] = op10_sharding
+#: CRC-32 byte by byte, of which _CRC is what each bit of the lowest byte adds (fixed values); the curve by Skilling's steps over the
+#: distinct cells, three axes a level from the highest bit down.
+_CRC = (0x77073096, 0xEE0E612C, 0x076DC419, 0x0EDB8832, 0x1DB71064, 0x3B6E20C8, 0x76DC4190, 0xEDB88320)
+_CRC_STEP = "c >> 8"
+for _k, _c in enumerate(_CRC):
+    _CRC_STEP = f"xor({_CRC_STEP}, ((xor(c, b) >> {_k}) & 1) * {_c})"
+_ABOVE = "y2 >> 1"
+for _k in range(2, 8):
+    _ABOVE = f"xor({_ABOVE}, y2 >> {_k})"
+ORACLE_SQL["op10_sharding"] = f"""
+with recursive bytes_ as (
+  select doc_id, [cast(4294967295 as bigint)] || list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: cast('0x' || h as bigint)) as l
+  from documents
+), crcs as (select doc_id, xor(list_reduce(l, lambda c, b: {_CRC_STEP}), 4294967295) as text_crc32 from bytes_),
+meta as (
+  select doc_id, text_crc32, octet_length(encode(coalesce(text, ''))) + 8 as size, cast('0x' || md5(coalesce(text, ''))[1:15] as bigint) as same,
+    case when lang is null then 0 else cast('0x' || md5(lang)[1:15] as bigint) % 256 end as lang_cell,
+    case when source is null then 0 else cast('0x' || md5(source)[1:15] as bigint) % 256 end as source_cell
+  from documents join crcs using (doc_id)
+), celled as (select *, least(cast(floor(ln(size + 1) / ln(2) * 255 / 42) as bigint), 255) as size_cell from meta),
+least_ as (
+  select same, lang_cell, source_cell, size_cell from celled
+  qualify row_number() over (partition by same order by lang_cell, source_cell, size_cell) = 1
+), walk as (
+  select distinct lang_cell, source_cell, size_cell, lang_cell as x0, source_cell as x1, size_cell as x2, 0 as step from least_
+  union all
+  select lang_cell, source_cell, size_cell,
+    case when is_set then xor(x0, low) else xor(x0, swap) end, case when axis = 1 and not is_set then xor(x1, swap) else x1 end,
+    case when axis = 2 and not is_set then xor(x2, swap) else x2 end, step + 1
+  from (
+    select *, xor(x0, x) & low as swap, (x >> level) & 1 = 1 as is_set
+    from (
+      select *, 7 - step // 3 as level, step % 3 as axis, (cast(1 as bigint) << (7 - step // 3)) - 1 as low,
+        case step % 3 when 0 then x0 when 1 then x1 else x2 end as x
+      from walk where step < 21
+    )
+  )
+), gray as (select *, x0 as y0, xor(x1, x0) as y1, xor(x2, xor(x1, x0)) as y2 from walk where step = 21),
+flipped as (select *, {_ABOVE} as t from gray),
+curves as (
+  select lang_cell, source_cell, size_cell,
+    cast(sum((((xor(y0, t) >> k) & 1) * 4 + ((xor(y1, t) >> k) & 1) * 2 + ((xor(y2, t) >> k) & 1)) << (3 * k)) as bigint) as curve
+  from flipped, (select cast(unnest(range(8)) as integer) as k) group by lang_cell, source_cell, size_cell
+), placed as (
+  select doc_id, size, text_crc32, curve, lang_cell, source_cell, size_cell,
+    row_number() over (order by curve, same, doc_id, text_crc32, size) - 1 as place, count(*) over () as n
+  from (select doc_id, size, text_crc32, same from celled) c join least_ l using (same) join curves using (lang_cell, source_cell, size_cell)
+)
+select doc_id, size, text_crc32, 'rows' as law, cast(place * {SHARDS} // n as integer) as shard,
+  row_number() over (partition by place * {SHARDS} // n order by place) - 1 as slot, cast(null as integer) as grown_shard, curve, lang_cell, source_cell, size_cell
+from placed
+"""
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -79,10 +79,15 @@ def quantised_log(value: Column, bits: int) -> Column:
     return F.least(F.floor(F.log2(F.greatest(F.coalesce(value, F.lit(0)), F.lit(0)) + 1) * top / 42), F.lit(top)).cast("long")
 
 
+def hashed(value: Column) -> Column:
+    """The first 60 bits of a text's MD5 as a long, which other engines can compute too; null stays null."""
+    return F.conv(F.substring(F.md5(value.cast("binary")), 1, 15), 16, 10).cast("long")
+
+
 def quantised_name(value: Column, bits: int) -> Column:
     """A cell by a hash of the name: equal names, equal cells, spread evenly however names are spelt. Their order is lost, so a reader
     prunes by the cell's column, computed in the same way, not by the name's least and greatest."""
-    return F.when(value.isNull(), 0).otherwise(F.pmod(F.xxhash64(value), F.lit(1 << bits))).cast("long")
+    return F.when(value.isNull(), 0).otherwise(F.pmod(hashed(value), F.lit(1 << bits))).cast("long")
 
 
 def shard(
