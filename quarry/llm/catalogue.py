@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm import chat, decontamination, fingerprints, html_extract, line_dedup, near_dedup, packing, quality, sharding, toxicity
 from quarry.llm.shared import staged, table
+from quarry.llm.simhash_sql import simhash_sql
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -149,6 +150,7 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op3_simhash_near_dedup"] = op3_simhash_near_dedup
+ORACLE_SQL["op3_simhash_near_dedup"] = simhash_sql(size=3, radius=3)
 
 
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
