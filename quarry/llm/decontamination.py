@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.shared import grouped, staged
+from quarry.llm.shared import grouped, pieces, staged
 
 WINDOW = 5
 COVERAGE = 0.8
@@ -203,7 +203,7 @@ def template_windows(
                     yield i, WHOLE + length, j, int(hashes[j].view(np.int64)), "", 1
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             found: list[tuple] = []
 
             def out(batch=batch):

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.hamming import GrayIndex, distance, vote
-from quarry.llm.shared import components, free, grouped, roots, staged
+from quarry.llm.shared import components, free, grouped, pieces, roots, staged
 
 #: Rows of one key that a task takes before the key is split again.
 HOT_ROWS = 200_000
@@ -94,7 +94,7 @@ def common_shingles(docs: DataFrame, key: str, text: str, size: int, bits: int)
     """Shingles of many texts, judged by a part of them; only the order of shingles depends on it."""
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             found = [rows_of(digests(shingles_of(words_of(t or b""), size), bits), bits) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found) if found else [], pa.int64())], ["s"])
 
@@ -310,7 +310,7 @@ def copies(docs: DataFrame, nodes: DataFrame, key: str, text: str, size: int, bi
     texts = dealt.join(rows, (F.col("least.key") == F.col("__key")) & (F.col("least.same") == F.col("__same"))).dropDuplicates(["node"])
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             found = [rows_of(digests(shingles_of(words_of(t or b""), size), bits), bits) for t in batch.column("__text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.list_(pa.int64()))], [*batch.schema.names[:-1], "found"])
 

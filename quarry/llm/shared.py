@@ -151,3 +151,10 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             )
         before = state
     raise RuntimeError("components did not settle")
+
+
+def pieces(batches, rows: int = 256):
+    """The batches in slices of few rows, so that a task holds few decoded texts and results at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.shared import staged
+from quarry.llm.shared import pieces, staged
 
 #: Labelled examples for each label; the rest of the labels is not learnt from.
 MAX_EXAMPLES = 3000
@@ -286,7 +286,7 @@ def document_terms(docs: DataFrame, key: str, text: str) -> DataFrame:
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches):
-        for batch in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
+        for batch in pieces(batches):
             found = [terms_of(t or "") for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -402,7 +402,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
 
     def run(batches):
         cache: dict = {}
-        for batch in batches:
+        for batch in pieces(batches):
             rows = [sent.value.score(t or "", cache) for t in batch.column(1).to_pylist()]
             cols = list(zip(*rows, strict=True)) if rows else ([], [], [])
             yield pa.RecordBatch.from_arrays(
@@ -426,7 +426,7 @@ def rejected(docs: DataFrame, model: Model, threshold: float = 0.5, text: str =
 
     def run(batches):
         cache: dict = {}
-        for batch in batches:
+        for batch in pieces(batches):
             yield batch.filter(
                 pa.array([sent.value.score(t or "", cache)[0] < threshold for t in batch.column(text).to_pylist()], pa.bool_())
             )
