@@ -7,9 +7,12 @@
    hold any share of the pages.
 3. Classes whose tokens occur on enough of the host's pages are valid. They are nested into the host's template: a token belongs to it if the
    element around it does, whose class is its parent. Tag tokens are the template's frame; text tokens in a class of the frame are its constant text.
-4. What is left are slots. In pages with an article (or another main part) the main text is its slots outside menus, headers, footers,
-   sidebars, notices, adverts, forms and reader comments. In others it is all such slots of the page, without the
-   template's constant text and without frame elements that hold little but links on the host's pages (unnamed menus).
+4. What is left are slots, on every page: blocks that are no constant text of the template and stand in no frame element that holds little but
+   links on the host's pages (unnamed menus). The main text is the slots outside menus, headers, footers, sidebars, notices, adverts, forms and reader
+   comments; in pages with an article (or another main part) those in it.
+5. What an article (or another main part) holds is the template's only if its class is that of the element that opens the article: it is in every
+   such article of the host, as often as the article itself (a notice or a menu without a name). Headings and lists of links that differ
+   from page to page belong to the article.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ MIN_PAGES = 3
 MIN_SHARE = 0.3
 #: A frame element is a menu if so much of the text right in it, over all pages of the host, stands in links.
 MENU_SHARE = 0.7
-#: The part of an average page of its host that the constant texts of a class may be.
+#: The part of its pages, or of its article, that the constant texts of a class may be.
 MAX_CONSTANT = 0.5
 #: Template tokens up to which their hashes are sent to every task (8 bytes each); beyond, they are joined to the pages by host.
 MAX_SENT = 2_000_000
@@ -85,12 +88,13 @@ _BLANK = re.compile(r"\s+")
 
 
 class Element:
-    """An open block element: its path so far, whether it hangs in an article (2) or another main part (1), and whether aside of the main text."""
+    """An open block element: its path so far, whether it hangs in an article (2) or another main part (1), whether aside of the main text,
+    and the path of the element that opened the article or part."""
 
-    __slots__ = ("article", "aside", "name", "path")
+    __slots__ = ("article", "aside", "name", "path", "root")
 
-    def __init__(self, name: str, path: str, article: int, aside: bool):
-        self.name, self.path, self.article, self.aside = name, path, article, aside
+    def __init__(self, name: str, path: str, article: int, aside: bool, root: str):
+        self.name, self.path, self.article, self.aside, self.root = name, path, article, aside, root
 
 
 def _joined(path: str, part: str) -> str:
@@ -114,15 +118,16 @@ def _opened(parent: Element | None, name: str, raw: str) -> Element:
         aside = True
     if names and name not in ("html", "body", "article", "main") and name not in _HEADINGS:
         aside = aside or bool((_PURPOSE_NAME if within == 2 and name in _TEXTS else _ASIDE_NAME).search(names))
-    return Element(name, _joined(parent.path if parent else "", name + ("." + names if names else "")), article, aside)
+    path = _joined(parent.path if parent else "", name + ("." + names if names else ""))
+    return Element(name, path, article, aside, path if article > within else parent.root if parent else "")
 
 
-def blocks_of(page: str) -> tuple[list[tuple[str, str, int, bool, int]], Counter]:
-    """([(path, text, in an article, aside, characters in links)], occurrences of tag tokens), in page order.
+def blocks_of(page: str) -> tuple[list[tuple[str, str, int, bool, int, str]], Counter]:
+    """([(path, text, in an article, aside, characters in links, path of the article)], occurrences of tag tokens), in page order.
 
     White space in a block is one space; character references are decoded; markup that doesn't nest is closed as browsers do.
     """
-    out: list[tuple[str, str, int, bool, int]] = []
+    out: list[tuple[str, str, int, bool, int, str]] = []
     tags: Counter = Counter()
     stack: list[Element] = []
     parts: list[str] = []
@@ -136,7 +141,7 @@ def blocks_of(page: str) -> tuple[list[tuple[str, str, int, bool, int]], Counter
             if text:
                 top = stack[-1] if stack else None
                 out.append(
-                    (top.path if top else "", text, top.article if top else 0, bool(top and top.aside), min(linked, len(text)))
+                    (top.path, text, top.article, top.aside, min(linked, len(text)), top.root) if top else ("", text, 0, False, min(linked, len(text)), "")
                 )
         linked = 0
 
@@ -213,11 +218,16 @@ def _hash(*parts: str) -> int:
     return xxhash.xxh64_intdigest("\x00".join(parts).encode("utf-8", "surrogatepass")) >> 1
 
 
+def _is_heading(path: str) -> bool:
+    return path.rpartition("/")[2].partition(".")[0] in _HEADINGS
+
+
 def page_tokens(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
-    """(host, token, up, is_text, pages, high, low, chars, linked): sums over the pages that one task has read. up is the token of the
-    element around; chars and linked count the text right in an element, or of all occurrences of a text, and its part in links; token -1 counts the host's pages and
-    all their text."""
-    names = ["host", "token", "up", "is_text", "pages", "high", "low", "chars", "linked"]
+    """(host, token, up, is_text, pages, high, low, chars, linked, around, root): sums over the pages that one task has read. up is the token of the
+    element around; chars and linked count the text right in an element, or of all occurrences of a text, and its part in links; token -1 counts the host's pages.
+    root is the token of the element that opens the article or main part around the text, 0 outside of any. around counts the text that
+    might be the main text along with a text: that of its root, or of the page. Headings in a root are no text tokens and don't count there."""
+    names = ["host", "token", "up", "is_text", "pages", "high", "low", "chars", "linked", "around", "root"]
 
     def run(batches):
         for batch in (b.slice(at, 2000) for b in batches for at in range(0, b.num_rows, 2000)):
@@ -225,25 +235,40 @@ def page_tokens(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
             for page, u, h in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 host = _hash(host_of(u))
                 blocks, tags = blocks_of(h or "")
-                whole = sums.setdefault((host, -1, 0, False), [0, 0, 0, 0, 0])
+                whole = sums.setdefault((host, -1, 0, False), [0, 0, 0, 0, 0, 0, 0])
                 whole[0] += 1
-                whole[3] += sum(len(b[1]) for b in blocks)
                 token = {path: _hash(path) for path in tags.keys() | {b[0] for b in blocks}}
                 seen = Counter({(token[path], token.get(path.rpartition("/")[0], 0), False): c for path, c in tags.items()})
-                seen.update((_hash(path, text), token[path], True) for path, text, *_ in blocks)
+                roots = ["" if aside else root for _, _, _, aside, _, root in blocks]
+                texts = [None if root and _is_heading(b[0]) else _hash(b[0], b[1]) for root, b in zip(roots, blocks, strict=True)]
+                own = Counter()
+                for t, root, b in zip(texts, roots, blocks, strict=True):
+                    own[root] += len(b[1]) * (t is not None)
+                around = Counter(own)
+                for root, n in own.items():  # articles count in the main part around them
+                    while root := root.rpartition("/")[0]:
+                        if root in own:
+                            around[root] += n
+                around[""] = sum(len(b[1]) for b in blocks)
+                seen.update((t, token[b[0]], True) for t, b in zip(texts, blocks, strict=True) if t is not None)
                 mark = str(page).encode("utf-8", "surrogatepass")
                 for (t, up, is_text), c in seen.items():
-                    into = sums.setdefault((host, t, up, is_text), [0, 0, 0, 0, 0])
+                    into = sums.setdefault((host, t, up, is_text), [0, 0, 0, 0, 0, 0, 0])
                     into[0] += 1
                     vector = xxhash.xxh64_intdigest(mark, c)
                     into[1] += vector >> 32  # halves, so that sums over all pages of a host fit in longs
                     into[2] += vector & 0xFFFFFFFF
-                for path, text, _, _, linked in blocks:
+                once = set()
+                for t, root, (path, text, _, _, linked, _) in zip(texts, roots, blocks, strict=True):
                     up = token.get(path.rpartition("/")[0], 0)
-                    for into in (sums.get((host, token[path], up, False)), sums.get((host, _hash(path, text), token[path], True))):
+                    for into in (sums.get((host, token[path], up, False)), sums.get((host, t, token[path], True))):
                         if into is not None:
                             into[3] += len(text)
                             into[4] += linked
+                            into[6] = max(into[6], token[root] if root else 0)
+                    if t is not None and t not in once:
+                        once.add(t)
+                        into[5] += around[root]
             if sums:
                 columns = [*zip(*sums, strict=True), *zip(*sums.values(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
@@ -270,12 +295,13 @@ def templates(
     A class is the host's tokens of equal occurrence vector. It is valid if its tokens are on min_pages pages and min_share of the
     host's; a class of one page, where any token's vector equals any other's, says nothing. A token whose surrounding element is in no
     valid class has no place in the template and is left out with it. A text is the template's if it is in the class of one of its elements, and the
-    texts of that class are no more than MAX_CONSTANT of what its pages hold on average: else these pages are copies of one another.
+    texts of that class are no more than MAX_CONSTANT of what its pages hold: else these pages are copies of one another. In an article or main part
+    this has to be the class of the element that opens it, the part's own text counts instead of the page's, and frame elements are no menus.
     """
-    totals = [F.sum(c).alias(c) for c in ("pages", "high", "low", "chars", "linked")]
+    totals = [F.sum(c).alias(c) for c in ("pages", "high", "low", "chars", "linked", "around")] + [F.max("root").alias("root")]
     sums = page_tokens(pages, key, url, html).groupBy("host", "token", "up", "is_text").agg(*totals)
     frequent = staged(sums.filter((F.col("pages") >= min_pages) | (F.col("token") == -1)), "tokens")
-    hosts = frequent.filter("token = -1").select("host", F.col("pages").alias("__all"), (F.col("chars") / F.col("pages")).alias("__page"))
+    hosts = frequent.filter("token = -1").select("host", F.col("pages").alias("__all"))
     kept = frequent.filter("token != -1").join(hosts, "host").withColumn(
         "share", F.col("pages") / F.col("__all")
     ).filter(F.col("share") >= min_share)
@@ -285,11 +311,14 @@ def templates(
         F.col("parent").isNotNull() | (F.col("up") == 0) | (F.col("up") == _hash(""))
     )
     frame, texts = nested.filter("not is_text"), nested.filter("is_text")
-    told = texts.groupBy("host", "class").agg(
-        (F.sum("chars") / F.first("pages")).alias("__constant"), F.first("__page").alias("__page")
-    ).filter(F.col("__constant") <= MAX_CONSTANT * F.col("__page")).join(frame, ["host", "class"], "left_semi")
-    menu = ~F.col("is_text") & (F.col("chars") > 0) & (F.col("linked") >= MENU_SHARE * F.col("chars"))
-    return frame.unionByName(texts.join(told.select("host", "class"), ["host", "class"], "left_semi")).select(
+    told = texts.groupBy("host", "class", "root").agg(F.sum("chars").alias("__constant"), F.max("around").alias("__around")).filter(
+        F.col("__constant") <= MAX_CONSTANT * F.col("__around")
+    ).join(frame, ["host", "class"], "left_semi")
+    opened = frame.select("host", F.col("token").alias("root"), F.col("class").alias("__opened"))
+    told = told.join(opened, ["host", "root"], "left").filter((F.col("root") == 0) | (F.col("class") == F.col("__opened")))
+    constant = texts.join(told.select("host", "class", "root"), ["host", "class", "root"], "left_semi")
+    menu = ~F.col("is_text") & (F.col("chars") > 0) & (F.col("linked") >= MENU_SHARE * F.col("chars")) & (F.col("root") == 0)
+    return frame.unionByName(constant.select(*frame.columns)).select(
         "host", "token", "is_text", "class", "parent", "pages", "share", menu.alias("menu")
     )
 
@@ -297,26 +326,25 @@ def templates(
 def main_text(page: str, host: int, dropped) -> str:
     """Blocks of main text joined by line ends. dropped(host, token) tells the template's text tokens and menus.
 
-    Articles come before the main part around them, unless that holds more text of its own than they do: then they are cards in it.
+    Slots are what neither of them leaves out, on every page. Articles come before the main part around them, unless that holds more slots of its
+    own than they do: then they are cards in it.
     """
     blocks, _ = blocks_of(page)
+    slots = [
+        (text, article, linked) for path,
+        text,
+        article,
+        aside,
+        linked,
+        _ in blocks if not aside and not dropped(host, _hash(path, text)) and not dropped(host, _hash(path))
+    ]
     chars = Counter()
-    for _, text, article, aside, linked in blocks:
-        chars[article] += (len(text) - linked * (article < 2)) * (not aside)
-    level = max((article for _, _, article, aside, _ in blocks if not aside), default=0)
+    for text, article, linked in slots:
+        chars[article] += len(text) - linked * (article < 2)
+    level = max((article for _, _, article, aside, *_ in blocks if not aside), default=0)
     if level == 2 and chars[1] > chars[2]:
         level = 1
-    if level:
-        kept = [text for _, text, article, aside, _ in blocks if article >= level and not aside]
-    else:
-        kept = [
-            text for path,
-            text,
-            _,
-            aside,
-            _ in blocks if not aside and not dropped(host, _hash(path, text)) and not dropped(host, _hash(path))
-        ]
-    return "\n".join(kept)
+    return "\n".join(text for text, article, _ in slots if article >= level)
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", max_sent: int = MAX_SENT) -> DataFrame:

@@ -149,3 +149,19 @@ def test_odd_rows(spark):
     assert got.columns == ["page_id", "url", "text"]
     assert sorted((r.page_id or 0, len(r.text)) for r in got.collect()) == [(0, 0), (1, 1), (1, 1), (2, 0), (3, 5 * 50_000 - 1)]
     assert html_extract.extract(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("sent", [0, 1000])
+def test_template_decides_in_articles_and_main_parts_too(spark, sent):
+    page = "<article id='{2}'><h1>Title</h1><p>{0}</p><p>We use cookies here.</p><div><p><a href='/a'>Back</a> <a href='/b'>Next</a></p></div><ul><li><a href='/{1}'>Source {1}</a></li></ul></article>"
+    rows = [(i, "http://e.example/x", page.format(f"Story number {i} tells of {i * 7} days and nights.", i, "post")) for i in range(6)]
+    rows += [(10 + i, "http://f.example/x", f"<main><p>We use cookies here.</p><p>Teaser {i}</p><article><p>The tale of day number {i}.</p></article></main>") for i in range(6)]
+    rows += [(20 + i, "http://g.example/x", f"<main><p>We use cookies here.</p><p>Body {i} {'y' * 30}.</p></main>") for i in range(6)]
+    # an article that stands on three pages, beside longer ones, stays whole
+    rows += [(30 + i, "http://h.example/x", "<nav>All the parts of this site</nav>" + page.format("Copied tale.", 1, "copy")) for i in range(3)]
+    rows += [(40 + i, "http://h.example/x", f"<nav>All the parts of this site</nav><article id='own{i}'><p>{'long ' * 50}{i}</p></article>") for i in range(4)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_extract.extract(df, max_sent=sent).collect()}
+    assert got[3] == "Title\nStory number 3 tells of 21 days and nights.\nSource 3"
+    assert got[12] == "The tale of day number 2." and got[22] == f"Body 2 {'y' * 30}."
+    assert got[31] == "Title\nCopied tale.\nWe use cookies here.\nBack Next\nSource 1" and got[41] == "long " * 50 + "1"
