@@ -158,3 +158,17 @@ def pieces(batches, rows: int = 256):
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+
+
+#: Bytes of rows that Spark hands to Python at once where small_batches was called; Spark's own limit is 64 MB or 10,000 rows.
+BATCH_BYTES = 1 << 21
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on Spark hands rows to Python BATCH_BYTES at a time, unless the session has a smaller limit; a longer row is a batch of its own.
+
+    JVM and worker hold each batch several times (as it grows, on its way and decoded). Rows and results stay the same.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name)) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))

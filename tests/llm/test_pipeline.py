@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).parents[2]))
 import corpus_pipeline
 
+from quarry.llm import shared
+
 SF = "/root/testdata/sf0.01"
 
 
@@ -59,3 +61,21 @@ def test_empty_documents(spark, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{SF}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+@pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
+def test_stages_hand_rows_to_python_in_small_batches(spark, name, stage):
+    session = spark.newSession()
+    docs = session.read.parquet(f"{SF}/documents.parquet")
+    stage(session, docs.limit(20), SF)
+
+    def sizes(batches):
+        for batch in batches:
+            yield batch.from_pydict({"rows": [batch.num_rows], "bytes": [batch.nbytes]})
+
+    texts = session.range(0, 6000, 1, 1).select(F.repeat(F.lit("x"), 1000).alias("text"))
+    got = texts.mapInArrow(sizes, "rows long, bytes long").collect()
+    assert sum(r.rows for r in got) == 6000 and max(r.bytes for r in got) < 1.1 * shared.BATCH_BYTES
+    session.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "1m")
+    shared.small_batches(session)
+    assert session.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "1m"
