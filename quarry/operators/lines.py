@@ -6,17 +6,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def line_array(text: Column) -> Column:
-    """Lines of a text, split at \\n only. A final \\n opens no further line; an empty or null text has none."""
+def line_array(text: Column, opens: bool = False) -> Column:
+    """Lines of a text, split at \\n only. A final \\n opens no further line; an empty or null text has none.
+
+    With opens every \\n opens a line, so the last one may be empty and an empty text is one empty line.
+    """
+    if opens:
+        return F.coalesce(F.split(text, "\n", -1), F.array().cast("array<string>"))
     whole = F.when(text.endswith("\n"), F.substring(text, F.lit(1), F.length(text) - 1)).otherwise(text)  # split once, not to be looked at after
     return F.when(text != "", F.split(whole, "\n", -1)).otherwise(F.array().cast("array<string>"))
 
 
-def lines(docs: DataFrame, key: str | list[str] = "doc_id", text: str = "text") -> DataFrame:
+def lines(docs: DataFrame, key: str | list[str] = "doc_id", text: str = "text", opens: bool = False) -> DataFrame:
     """(key..., line_no, line); line numbers start at 1. A narrow generator: no shuffle."""
     keys = [key] if isinstance(key, str) else list(key)
     return docs.select(
-        *keys, F.posexplode(line_array(F.col(text))).alias("__pos", "line")
+        *keys, F.posexplode(line_array(F.col(text), opens)).alias("__pos", "line")
     ).select(*keys, (F.col("__pos") + 1).cast("bigint").alias("line_no"), "line")
 
 

@@ -77,19 +77,19 @@ def may_match(text: Column, spec: SearchSpec) -> Column | None:
 
 def flagged_lines(docs: DataFrame, spec: SearchSpec, key: str | list[str] = "doc_id", text: str = "text") -> DataFrame:
     """(key..., line_no, line, is_match) for all lines."""
-    return lines(docs, key, text).withColumn("is_match", matches(F.col("line"), spec))
+    return lines(docs, key, text, spec.opens).withColumn("is_match", matches(F.col("line"), spec))
 
 
 def matching_lines(docs: DataFrame, spec: SearchSpec, key: str | list[str] = "doc_id", text: str = "text") -> DataFrame:
     """(key..., line_no, line) of the hits. One narrow stage; the document filter runs below the line generator."""
     early = may_match(F.col(text), spec)
     pruned = docs if early is None else docs.filter(early)
-    return lines(pruned, key, text).filter(matches(F.col("line"), spec))
+    return lines(pruned, key, text, spec.opens).filter(matches(F.col("line"), spec))
 
 
 def has_match(text: Column, spec: SearchSpec) -> Column:
     """A document has a hit; lines are looked at in an array, without a row for each."""
-    found = F.exists(line_array(text), lambda line: matches(line, spec))
+    found = F.exists(line_array(text, spec.opens), lambda line: matches(line, spec))
     early = may_match(text, spec)
     return found if early is None else F.coalesce(early, F.lit(False)) & found
 

@@ -25,7 +25,7 @@ def counts(docs: DataFrame, spec: SearchSpec, key="doc_id", text: str = "text")
     One row of docs is one document.
     """
     early = may_match(F.col(text), spec)
-    n = F.size(F.filter(line_array(F.col(text)), lambda line: matches(line, spec))).cast("bigint")
+    n = F.size(F.filter(line_array(F.col(text), spec.opens), lambda line: matches(line, spec))).cast("bigint")
     if spec.max_count is not None:
         n = F.least(n, F.lit(spec.max_count).cast("bigint"))
     # a filter on n would be pushed below and count twice; a generator of none or one isn't
@@ -53,7 +53,7 @@ def first_matches(docs: DataFrame, spec: SearchSpec, key="doc_id", text: str = "
         return matching_lines(docs, spec, key, text)
     early = may_match(F.col(text), spec)
     numbered = F.transform(
-        line_array(F.col(text)), lambda line, i: F.struct((i + 1).cast("bigint").alias("line_no"), line.alias("line"))
+        line_array(F.col(text), spec.opens), lambda line, i: F.struct((i + 1).cast("bigint").alias("line_no"), line.alias("line"))
     )
     hits = F.slice(F.filter(numbered, lambda x: matches(x["line"], spec)), 1, spec.max_count)
     return (docs if early is None else docs.filter(early)).select(*_keys(key), F.inline(hits))
@@ -68,7 +68,7 @@ def with_context(docs: DataFrame, spec: SearchSpec, key="doc_id", text: str = "t
     keys = _keys(key)
     early = may_match(F.col(text), spec)
     numbered = F.transform(
-        line_array(F.col(text)),
+        line_array(F.col(text), spec.opens),
         lambda line, i: F.struct((i + 1).cast("bigint").alias("line_no"), line.alias("line"), matches(line, spec).alias("is_match")),
     )
     flagged = (docs if early is None else docs.filter(early)).select(*keys, numbered.alias("__lines"))

@@ -9,7 +9,8 @@ from dataclasses import dataclass
 class SearchSpec:
     """One search. fixed wins over a regular expression reading of pattern; an empty pattern matches every line.
 
-    byte_mode matches over the UTF-8 bytes, one character each, instead of code points.
+    byte_mode matches over the UTF-8 bytes, one character each, instead of code points. With opens a final line end opens one more, empty line,
+    as splitting by SQL does, and an empty text is one empty line.
     """
 
     pattern: str
@@ -21,6 +22,7 @@ class SearchSpec:
     max_count: int | None = None
     before: int = 0
     after: int = 0
+    opens: bool = False
 
     def __post_init__(self):
         if "\n" in self.pattern:
