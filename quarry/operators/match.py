@@ -94,25 +94,36 @@ def has_match(text: Column, spec: SearchSpec) -> Column:
     return found if early is None else F.coalesce(early, F.lit(False)) & found
 
 
+#: Needles of at most so many characters in all are sent to every task; those of larger tables meet the lines in a shuffle.
+MAX_SENT = 4_000_000
+
+
 def lines_with_needles(
     docs: DataFrame, needles: DataFrame, needle: str = "needle", key: str = "doc_id", text: str = "text", stem: int = 8
 ) -> DataFrame:
     """(key, line_no, line) of lines that hold any of a table of needles, of any length; null needles are ignored.
 
-    An equi-join on the needles' first characters, as many as the shortest needle has, `stem` at most: lines give all their different
-    stems, so nothing is compared with every needle, and neither side has to be small. An empty needle is in every line.
+    A few needles are looked for one by one. More of them are an equi-join on their first characters, `stem` at most, fewer of shorter needles:
+    lines give all their different stems of these lengths, so nothing is compared with every needle. Up to MAX_SENT the needles go to the
+    lines, and only hits are shuffled; beyond, neither side has to be small. An empty needle is in every line.
     """
     wanted = needles.filter(F.col(needle).isNotNull()).select(F.col(needle).alias("__needle")).distinct()
-    shortest = wanted.agg(F.min(F.length("__needle"))).first()[0]
+    size = F.length("__needle")
+    found = wanted.agg(
+        F.count("*").alias("n"), F.sum(size).alias("chars"), F.array_sort(F.collect_set(F.least(size, F.lit(stem)))).alias("stems")
+    ).first()
     each = lines(docs, key, text)
-    if shortest is None:
+    if not found.n:
         return each.limit(0)
-    if not shortest:
+    if not found.stems[0]:
         return each
-    stem = min(stem, shortest)
+    if found.n <= FEW and found.chars <= MAX_SENT:
+        texts = [r[0] for r in wanted.collect()]
+        return lines(docs.filter(any_of(F.col(text), texts)), key, text).filter(any_of(F.col("line"), texts))
     wanted = wanted.withColumn("__stem", F.substring("__needle", 1, stem))
-    stems = each.withColumn(
-        "__stem", F.explode(F.array_distinct(F.regexp_extract_all("line", F.lit(f"(?s)(?=(.{{{stem}}}))"), F.lit(1))))
-    )
+    if found.n + found.chars <= MAX_SENT:
+        wanted = F.broadcast(wanted)
+    given = [F.array_distinct(F.regexp_extract_all("line", F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1))) for k in found.stems]
+    stems = each.withColumn("__row", F.monotonically_increasing_id()).withColumn("__stem", F.explode(F.concat(*given)))
     hits = stems.join(wanted, "__stem").filter(F.col("line").contains(F.col("__needle")))
-    return hits.select(key, "line_no", "line").distinct()
+    return hits.select("__row", key, "line_no", "line").distinct().drop("__row")

@@ -1,0 +1,43 @@
+"""Tables of needles of every size: which plan they get, and the same lines by all of them."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from quarry.operators import match
+
+TEXTS = ["TODO first\nplain\nTODO", "@ and zq\n\nnothing", None, "", "öß 😀@\nplain", "plain"]
+FEW = ["@", "TODO f", "öß", None, "@"]
+MANY = [*FEW, "plain", "zq", "😀@", "th", "long needle that no line has", *[f"none {i}" for i in range(40)]]
+
+
+def rows(df):
+    return sorted(map(tuple, df.select("doc_id", "line_no", "line").collect()))
+
+
+@pytest.mark.parametrize("needles", [FEW, MANY])
+@pytest.mark.parametrize("sent", [match.MAX_SENT, 0])
+def test_needles_of_every_size(spark, monkeypatch, needles, sent):
+    monkeypatch.setattr(match, "MAX_SENT", sent)
+    # one document twice: a row of the result for each
+    docs = spark.createDataFrame([*enumerate(TEXTS), (0, TEXTS[0])], "doc_id long, text string").repartition(3)
+    table = spark.createDataFrame([(n,) for n in needles], "needle string")
+    want = [
+        (d, i + 1, line)
+        for d, t in [*enumerate(TEXTS), (0, TEXTS[0])]
+        for i, line in enumerate((t or "").split("\n"))
+        if t and any(n in line for n in needles if n)
+    ]
+    assert rows(match.lines_with_needles(docs, table)) == sorted(want)
+
+
+
+
+def test_lines_are_not_shuffled_for_needles_of_unknown_size(spark, tmp_path):
+    spark.range(100).select(F.col("id").alias("doc_id"), F.concat(F.lit("line @"), "id").alias("text")).write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    few = match.lines_with_needles(docs, spark.createDataFrame([("@1",), ("@",)], "needle string"))
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and few.count() == 100
+    many = match.lines_with_needles(docs, spark.createDataFrame([(f"@{i}",) for i in range(50)], "needle string"))
+    plan = many._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and many.count() == 100
