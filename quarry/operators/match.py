@@ -29,9 +29,12 @@ def _subject(text: Column, spec: SearchSpec) -> Column:
 
 
 def _bounded(subject: Column, c: Compiled) -> Column:
-    """Short lines by java.util.regex, others, on which it might not end, by the pattern's automaton."""
-    by_table = c.automaton.column(subject)
-    found = by_table if not c.limit else F.when(F.length(subject) <= c.limit, subject.rlike(c.java)).otherwise(by_table)
+    """Short lines by java.util.regex, others, on which it might not end, by the pattern's automaton; all by a linear form of the pattern, if there is one."""
+    if c.linear is not None:
+        found = subject.rlike(c.linear)
+    else:
+        by_table = c.automaton.column(subject)
+        found = by_table if not c.limit else F.when(F.length(subject) <= c.limit, subject.rlike(c.java)).otherwise(by_table)
     return subject.contains(c.required) & found if c.required and not c.spec.ignore_case else found
 
 

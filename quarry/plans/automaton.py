@@ -9,11 +9,12 @@ from __future__ import annotations
 
 from bisect import bisect_right
 from dataclasses import dataclass
+from math import inf, prod
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quarry.plans.pattern import Any, Bound, Char, Either, Node, Repeat, Seq, Set, _SetName
+from quarry.plans.pattern import Any, Bound, Char, Either, Node, Repeat, Seq, Set, _SetName, java
 
 #: Larger automata are not made.
 MAX_NODES, MAX_STATES, MAX_CELLS = 4_000, 2_000, 100_000
@@ -23,6 +24,8 @@ NAMED = {"d": ((48, 58),), "w": WORD, "s": ((9, 11), (13, 14), (32, 33))}
 
 #: Lines of up to so many characters go to java.util.regex if it can't recurse more than this, or take many steps for each character.
 SHALLOW, LONG, STEPS = 500, 4_096, 10_000_000
+#: A pattern that can be read in at most so many ways from each place is looked for at any length.
+WAYS = 64
 
 
 class TooLarge(ValueError):
@@ -269,3 +272,99 @@ def safe_length(node: Node, ignore_case: bool = False) -> int | None:
     if depth:  # a choice that is repeated and can be read in several ways: steps may double with each character
         return 0
     return min(LONG, int(STEPS ** (1 / (repeats + 1))))
+
+
+def _nullable(node: Node) -> bool:
+    """Surely matches nothing at all, whatever is around it."""
+    match node:
+        case Seq(items):
+            return all(map(_nullable, items))
+        case Either(items):
+            return any(map(_nullable, items))
+        case Repeat(item, least, _):
+            return not least or _nullable(item)
+    return False
+
+
+def _plain(node: Node) -> Node:
+    """The same texts by fewer ways of reading them: a choice of single characters is one set, and in a repeated group that begins with a repeat
+    and may end there, the group's repeats do for those of its beginning."""
+    match node:
+        case Seq(items):
+            made = tuple(map(_plain, items))
+            return made[0] if len(made) == 1 else Seq(made)
+        case Either(items):
+            made = tuple(map(_plain, items))
+            sets = [Set((i.char,)) if isinstance(i, Char) else i for i in made]
+            if all(isinstance(i, Set) and not i.negated and not any(isinstance(p, _SetName) and p.isupper() for p in i.parts) for i in sets):
+                return Set(tuple(p for i in sets for p in i.parts))
+            return Either(made)
+        case Repeat(item, least, most):
+            item = _plain(item)
+            if most is None:
+                first, *rest = item.items if isinstance(item, Seq) and item.items else (item,)
+                if isinstance(first, Repeat) and first.most is None and first.least <= 1 and not rest:
+                    return Repeat(first.item, least if first.least else 0, None)
+                if isinstance(first, Repeat) and first.most is None and first.least == 1 and all(map(_nullable, rest)):
+                    item = Seq((first.item, *rest))
+            return Repeat(item, least, most)
+    return node
+
+
+def _found(node: Node) -> Node:
+    """A tree that is found in the same lines, maybe at other places: repeats at its ends needn't go on."""
+    if isinstance(node, Either):
+        return Either(tuple(map(_found, node.items)))
+    items = list(node.items if isinstance(node, Seq) else (node,))
+    for at in (0, -1):
+        while items and isinstance(items[at], Repeat) and items[at].most is None:
+            item, least = items[at].item, items[at].least
+            if least:
+                items[at] = item if least == 1 else Repeat(item, least, least)
+                break
+            items.pop(at)
+    return items[0] if len(items) == 1 else Seq(tuple(items))
+
+
+def _bounds(node: Node) -> int:
+    match node:
+        case Bound():
+            return 1
+        case Seq(items) | Either(items):
+            return sum(map(_bounds, items))
+        case Repeat(item, _, _):
+            return _bounds(item)
+    return 0
+
+
+def _ways(node: Node) -> float:
+    """In how many ways a matcher may read it, at most; infinite with unbounded repeats."""
+    match node:
+        case Seq(items):
+            return prod(map(_ways, items))
+        case Either(items):
+            return sum(map(_ways, items))
+        case Repeat(item, least, most):
+            each = _ways(item)
+            if most is None or each > 1 and most > WAYS:
+                return inf
+            return most - least + 1 if each == 1 else sum(each**k for k in range(least, most + 1))
+    return 1
+
+
+def linear(node: Node, ignore_case: bool = False) -> str | None:
+    """A Java regular expression that tells whether a line holds the pattern, at any length in linear time and without recursion; None if none is found.
+
+    It can be read in few ways at each place, without an unbounded repeat, or it begins where the line does, takes each next character in one place only, and its repeats, which
+    then have nothing to give back, are possessive: java.util.regex runs those in a loop. A bound but at the ends could be met by giving back.
+    """
+    node = _found(_plain(node))
+    if _ways(node) <= WAYS and _repeats(node)[1] <= SHALLOW:
+        return java(node)
+    items = node.items if isinstance(node, Seq) else ()
+    if not items or items[0] != Bound("^") or _bounds(node) != 1 + (items[-1] == Bound("$")):
+        return None
+    try:
+        return java(node, True) if _one_way(node, ignore_case) else None
+    except TooLarge:
+        return None
