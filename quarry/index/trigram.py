@@ -9,8 +9,11 @@ modulo 8 (255 at the end of a document). A row of a corpus is a document, and ke
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.ipc
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +41,8 @@ def trigram_code(chars: Column) -> Column:
 
 #: Bytes of a text that are folded at once, a multiple of 8: bounds memory, not results.
 PIECE = 1 << 22
+#: Postings that are packed for the shuffle at once, at least: what compresses well; bounds memory, not results.
+PACKED = 400_000
 
 
 def _merged(code: np.ndarray, loc: np.ndarray, nxt: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -71,35 +76,36 @@ def folded(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return out
 
 
+def _fold(batches, names: list[str]):
+    """Batches of (key, bytes) to batches of (trigram, key, loc_mask, next_mask)."""
+    for batch in batches:
+        held, rows, count = [], [], 0
+
+        def out(batch=batch):
+            code, loc, nxt = (np.concatenate(x) for x in zip(*held, strict=True))
+            keys = batch.column(0).take(pa.array(np.repeat(rows, [len(h[0]) for h in held])))
+            return pa.RecordBatch.from_arrays([pa.array(code), keys, pa.array(loc), pa.array(nxt)], names)
+
+        for i in range(batch.num_rows):
+            data = batch.column(1)[i].as_py()
+            found = folded(data) if data else ((),)
+            if len(found[0]):
+                held.append(found)
+                rows.append(i)
+                count += len(found[0])
+            if count > 200_000:
+                yield out()
+                held, rows, count = [], [], 0
+        if held:
+            yield out()
+
+
 def _folded_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(trigram, key, loc_mask, next_mask): folded inside the task that reads the text, so that no text is shuffled."""
     kind = docs.schema[key].dataType.simpleString()
-
-    def run(batches):
-        names = ["trigram", key, "loc_mask", "next_mask"]
-        for batch in batches:
-            held, rows, count = [], [], 0
-
-            def out(batch=batch):
-                code, loc, nxt = (np.concatenate(x) for x in zip(*held, strict=True))
-                keys = batch.column(0).take(pa.array(np.repeat(rows, [len(h[0]) for h in held])))
-                return pa.RecordBatch.from_arrays([pa.array(code), keys, pa.array(loc), pa.array(nxt)], names)
-
-            for i in range(batch.num_rows):
-                data = batch.column(1)[i].as_py()
-                found = folded(data) if data else ((),)
-                if len(found[0]):
-                    held.append(found)
-                    rows.append(i)
-                    count += len(found[0])
-                if count > 200_000:
-                    yield out()
-                    held, rows, count = [], [], 0
-            if held:
-                yield out()
-
+    names = ["trigram", key, "loc_mask", "next_mask"]
     return docs.select(key, F.col(text).cast("binary").alias("__bytes")).mapInArrow(
-        run, f"trigram int, `{key}` {kind}, loc_mask int, next_mask int"
+        lambda batches: _fold(batches, names), f"trigram int, `{key}` {kind}, loc_mask int, next_mask int"
     )
 
 
@@ -221,6 +227,69 @@ def indexed_lines(docs: DataFrame, postings_: DataFrame, spec: SearchSpec, key:
     return matching_lines(docs if found is None else docs.join(found, key, "left_semi"), spec, key, text)
 
 
+#: Keys of at most so many bytes, with 16 more for each, are sent to the texts; more of them meet the texts in a shuffle.
+MAX_SENT = 32_000_000
+
+
+def _with_keys(docs: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """docs that have one of the keys. Counts them first, as Spark knows no size of a filtered join or group and would shuffle every text."""
+    sent = keys.agg(F.coalesce(F.sum(F.octet_length(F.col(key).cast("string")) + 16), F.lit(0))).first()[0]
+    return docs.join(F.broadcast(keys) if sent <= MAX_SENT else keys, key, "left_semi")
+
+
+def _dealt(docs: DataFrame, key: str, text: str, salts: int) -> DataFrame:
+    """(shard, salt, packed): postings() of many documents in one binary for each shard, sorted and compressed for the shuffle."""
+    names = ["trigram", key, "loc_mask", "next_mask"]
+
+    def pack(table: pa.Table) -> list[tuple[int, int, bytes]]:
+        code, loc, nxt = (table.column(n).to_numpy() for n in ("trigram", "loc_mask", "next_mask"))
+        shard = shard_of(code.astype(np.int64))
+        order = np.lexsort((code, shard))
+        whole = pa.table([code[order], table.column(key).take(pa.array(order)), loc[order].astype(np.uint8), nxt[order].astype(np.uint8)], names).combine_chunks()
+        starts = np.flatnonzero(np.r_[True, np.diff(shard[order]) != 0])
+        salt, out = zlib.crc32(str(table.column(key)[0]).encode()) % salts, []
+        for a, b in zip(starts, [*starts[1:], len(code)], strict=True):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, whole.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+                stream.write_table(whole.slice(a, b - a))
+            out.append((int(shard[order[a]]), salt, sink.getvalue().to_pybytes()))
+        return out
+
+    def run(batches):
+        held, n = [], 0
+
+        def out():
+            shard, salt, packed = zip(*pack(pa.Table.from_batches(held)), strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(salt, pa.int32()), pa.array(packed, pa.binary())], ["shard", "salt", "packed"])
+
+        for batch in _fold(batches, names):
+            held.append(batch)
+            n += batch.num_rows
+            if n >= PACKED:
+                yield out()
+                held, n = [], 0
+        if held:
+            yield out()
+
+    whole = docs.filter(not_binary(F.col(text))).select(key, F.col(text).cast("binary").alias("__bytes"))
+    return whole.mapInArrow(run, "shard int, salt int, packed binary")
+
+
+def _unpacked(dealt: DataFrame, key: str, kind: str) -> DataFrame:
+    """(trigram, key, loc_mask, next_mask, shard) of _dealt's binaries."""
+    names = ["trigram", key, "loc_mask", "next_mask", "shard"]
+
+    def run(batches):
+        for batch in batches:
+            for shard, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                with pa.ipc.open_stream(packed.as_buffer()) as stream:
+                    for part in stream:
+                        loc, nxt = part.column(2).cast(pa.int32()), part.column(3).cast(pa.int32())
+                        yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), loc, nxt, pa.array(np.full(len(part), shard, np.int32))], names)
+
+    return dealt.select("shard", "packed").mapInArrow(run, f"trigram int, `{key}` {kind}, loc_mask int, next_mask int, shard int")
+
+
 class TrigramIndex:
     """The index of one corpus in a folder: build, check, refresh, search; falls back to a full scan."""
 
@@ -234,15 +303,16 @@ class TrigramIndex:
         """The last step of a change: what was written for this generation counts from now on."""
         self.spark.createDataFrame([(VERSION, generation)], "version int, generation int").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/meta")
 
-    def _write(self, made: DataFrame, generation: int) -> None:
+    def _write(self, docs: DataFrame, generation: int) -> None:
         """Deals postings by shard, a shard to several tasks if there are more tasks than shards: common trigrams don't fill one.
 
-        Nothing is sampled, so postings are made once.
+        Nothing is sampled, so postings are made once. The number of tasks is given, as by their packed size too many postings would be sorted in one.
         """
-        salts = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // SHARDS)
-        sharded = made.withColumn("shard", shard_of(F.col("trigram").cast("bigint")).cast("int"))
-        dealt = sharded.repartition("shard", F.pmod(F.xxhash64(self.key), F.lit(salts)))
-        dealt.sortWithinPartitions("shard", "trigram", self.key).write.mode("overwrite").partitionBy("shard").parquet(
+        tasks = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        salts = max(1, tasks // SHARDS)
+        dealt = _dealt(docs, self.key, self.text, salts).repartition(tasks, "shard", "salt")
+        made = _unpacked(dealt, self.key, docs.schema[self.key].dataType.simpleString())
+        made.sortWithinPartitions("shard", "trigram", self.key).write.mode("overwrite").partitionBy("shard").parquet(
             f"{self.path}/postings/generation={generation}"
         )
 
@@ -254,7 +324,7 @@ class TrigramIndex:
         of what was there before."""
         generation = self.generation()
         generation = 0 if generation is None else generation + 1
-        self._write(postings(docs, self.key, self.text), generation)
+        self._write(docs, generation)
         self._snap(docs, generation)
         # all earlier generations are gone
         self.snapshot(docs).limit(0).select(self.key, F.lit(0).alias("before")).write.mode("overwrite").parquet(f"{self.path}/gone/generation={generation}")
@@ -305,7 +375,7 @@ class TrigramIndex:
                 return docs
             self.refresh(docs)
         found = candidates(self.postings(), spec, self.key)
-        return docs if found is None else docs.join(found, self.key, "left_semi")
+        return docs if found is None else _with_keys(docs, found, self.key)
 
     def search(self, docs: DataFrame, spec: SearchSpec, rebuild: bool = True) -> DataFrame:
         """Matching lines."""
@@ -315,9 +385,8 @@ class TrigramIndex:
         """Brings the index up to docs: a generation more, with postings of new and changed documents only; nothing that is there is read or written
         again but the snapshot."""
         generation = self.generation() + 1
-        diff = changes(self.files(), self.snapshot(docs), self.key)
-        fresh = docs.join(diff.filter("change != 'removed'"), self.key, "left_semi")
-        self._write(postings(fresh, self.key, self.text), generation)
+        self._snap(docs, generation)  # not read before meta names it, but by what follows here, so texts are hashed once
+        diff = changes(self.files(), self.spark.read.parquet(f"{self.path}/files/generation={generation}"), self.key)
+        self._write(_with_keys(docs, diff.filter("change != 'removed'").select(self.key), self.key), generation)
         diff.filter("change != 'added'").select(self.key, F.lit(generation).alias("before")).write.mode("overwrite").parquet(f"{self.path}/gone/generation={generation}")
-        self._snap(docs, generation)
         self._mark(generation)

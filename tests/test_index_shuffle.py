@@ -1,0 +1,49 @@
+"""What an index shuffles: packed postings, and texts only where too many keys are asked for."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from quarry.index import trigram
+from quarry.operators import match
+from quarry.spec import SearchSpec
+
+
+def rows(df, *cols):
+    return sorted(map(tuple, df.select(*cols).collect()))
+
+
+@pytest.mark.parametrize("sent", [trigram.MAX_SENT, 0])
+@pytest.mark.parametrize("packed", [trigram.PACKED, 50])
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_a_refreshed_index_holds_every_posting(spark, tmp_path, monkeypatch, sent, packed, kind):
+    monkeypatch.setattr(trigram, "MAX_SENT", sent)
+    monkeypatch.setattr(trigram, "PACKED", packed)
+    texts = F.when(F.col("id") == 7, None).when(F.col("id") == 8, "").otherwise(F.concat(F.lit("some TODO ö "), F.md5(F.col("id").cast("string"))))
+    docs = spark.range(60).select(F.col("id").cast(kind).alias("doc_id"), texts.alias("text")).repartition(3)
+    index = trigram.TrigramIndex(spark, str(tmp_path / "index"))
+    index.build(docs.filter("cast(doc_id as long) < 40").withColumn("text", F.when(F.col("doc_id") == "3", "old").otherwise(F.col("text"))))
+    index.refresh(docs.filter("doc_id <> '5'"))
+    now = docs.filter("doc_id <> '5'")
+    columns = ["trigram", "doc_id", "loc_mask", "next_mask"]
+    assert rows(index.postings(), *columns) == rows(trigram.postings(now), *columns)
+    assert index.postings().filter(F.col("shard") != trigram.shard_of(F.col("trigram").cast("long"))).count() == 0
+    spec = SearchSpec("TODO")
+    assert rows(match.matching_lines(index.narrowed(now, spec), spec), "doc_id", "line") == rows(match.matching_lines(now, spec), "doc_id", "line")
+
+
+def test_texts_are_not_shuffled(spark, tmp_path):
+    spark.range(2000).select(F.col("id").alias("doc_id"), F.concat(F.lit("TODO "), F.repeat(F.md5(F.col("id").cast("string")), 20)).alias("text")).write.parquet(
+        str(tmp_path / "d")
+    )
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    keys = docs.filter("doc_id % 2 = 0").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 0").select("doc_id")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = trigram._with_keys(docs, keys, "doc_id")._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        # a row of the shuffle has a word for each of its columns
+        dealt = trigram._dealt(docs.coalesce(1), "doc_id", "text", 1).agg(F.sum(F.length("packed")), F.count("*")).first()
+        assert dealt[0] < 8 * trigram.postings(docs).count() and dealt[1] == trigram.SHARDS
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
